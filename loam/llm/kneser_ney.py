@@ -201,6 +201,22 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == wanted, values[i], 0.0)
 
 
+def _interpolate(own: tuple[np.ndarray, np.ndarray], union: np.ndarray, contexts: np.ndarray, base: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the grams ``union``, and log weights of what is below each context: 0 where it is not seen."""
+    grams, c = own
+    once, twice = (c == 1).sum(), (c == 2).sum()
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    heads, total, kinds = _grouped(grams >> bits, c)
+
+    def weight(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = _at(heads, total, wanted)
+        return t, np.divide(discount * _at(heads, kinds, wanted), t, out=np.ones(len(wanted)), where=t > 0)
+
+    t, w = weight(union >> bits)
+    p = np.divide(np.maximum(_at(grams, c, union) - discount, 0), t, out=np.zeros(len(union)), where=t > 0) + w * base
+    return p, np.log(weight(contexts)[1])
+
+
 def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_below: int = 0, unigrams: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
     """The model of {label: (distinct grams, counts)}.
 
@@ -209,49 +225,33 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_b
     of single characters, where ``counts`` are one shard's.
     """
     bits, labels = 60 // order, sorted(counts)
-    empty = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    everything = np.concatenate([counts[k][0] for k in labels] or [empty[0]]), np.concatenate([counts[k][1] for k in labels] or [empty[1]])
-    pooled_grams, pooled_n, _ = _grouped(*everything)
-    pooled = _levels(pooled_grams, pooled_n, order)
-    levels = {k: _levels(*(a[i] for a in counts[k]), order) for k in labels for i in [np.argsort(counts[k][0])]}
+    counts = {k: tuple(x[np.argsort(counts[k][0])] for x in counts[k]) for k in labels}
+    none = np.zeros(0, np.int64)
+    grams, n, _ = _grouped(np.concatenate([none, *(counts[k][0] for k in labels)]), np.concatenate([none, *(counts[k][1] for k in labels)]))
+    pooled = _levels(grams, n, order)
+    levels = {k: _levels(*counts[k], order) for k in labels}
     if unigrams is not None:
+        pooled[1] = _grouped(np.concatenate([unigrams[k][0] for k in labels]), np.concatenate([unigrams[k][1] for k in labels]))[:2]
         for k in labels:
             levels[k][1] = unigrams[k]
-        pooled[1] = _grouped(np.concatenate([unigrams[k][0] for k in labels]), np.concatenate([unigrams[k][1] for k in labels]))[:2]
     alphabet = len(pooled[1][0]) + 1
     model = Model(order, labels, floor=np.full(len(labels), -np.log(alphabet), np.float32))
-    lower = None
+    lower = np.full((len(pooled[1][0]), len(labels)), 1 / alphabet)
     for n in range(1, order + 1):
         union = pooled[n][0]
-        p = np.zeros((len(union), len(labels)))
-        context = union >> bits
-        contexts = np.unique(context)
-        back = np.zeros((len(contexts), len(labels)))
+        contexts = np.unique(union >> bits)
         if n > 1:
-            i = np.searchsorted(pooled[n - 1][0], union & ((1 << (bits * (n - 1))) - 1))
-        for j, k in enumerate(labels):
-            grams, c = pooled[n] if n < shared_below else levels[k][n]
-            base = lower[i, j] if n > 1 else np.full(len(union), 1 / alphabet)
-            if not len(grams):
-                p[:, j] = base
-                continue
-            once, twice = (c == 1).sum(), (c == 2).sum()
-            discount = once / (once + 2 * twice) if once and twice else 0.5
-            heads, total, kinds = _grouped(grams >> bits, c)
-            total_here = _at(heads, total, context)
-            weight = np.divide(discount * _at(heads, kinds, context), total_here, out=np.ones(len(union)), where=total_here > 0)
-            own = np.divide(np.maximum(_at(grams, c, union) - discount, 0), total_here, out=np.zeros(len(union)), where=total_here > 0)
-            p[:, j] = own + weight * base
-            t = _at(heads, total, contexts)
-            back[:, j] = np.log(np.divide(discount * _at(heads, kinds, contexts), t, out=np.ones(len(contexts)), where=t > 0))
+            lower = lower[np.searchsorted(pooled[n - 1][0], union & ((1 << (bits * (n - 1))) - 1))]
+        steps = [_interpolate(pooled[n] if n < shared_below else levels[k][n], union, contexts, lower[:, j], bits) for j, k in enumerate(labels)]
+        p, back = (np.stack([s[i] for s in steps], 1) if steps else np.zeros((len(x), 0)) for i, x in ((0, union), (1, contexts)))
         lower = p
         table = HashArray(union)
         model.grams[n], model.logp[n] = table, np.log(p)[table.by].astype(np.float32)
         if n > 1:
             table = HashArray(contexts)
             model.contexts[n], model.back[n] = table, back[table.by].astype(np.float32)
-        else:
-            model.floor = model.floor + back[0].astype(np.float32) if len(back) else model.floor
+        elif len(back):
+            model.floor = model.floor + back[0].astype(np.float32)
     top = {k: (grams, n) for k, (grams, n) in counts.items()}
     stats = []
     for j, k in enumerate(labels):

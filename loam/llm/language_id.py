@@ -60,30 +60,44 @@ class Scorer:
             out[k] = c[label == k][by], n[label == k][by].astype(np.float64)
         return out
 
-    def sums(self, docs: DataFrame, text: str) -> DataFrame:
-        """``docs`` with log_probs (array, by label), n_scored and has_letter.  A null text counts as empty."""
-        order, added = self.order, "log_probs array<double>, n_scored long, has_letter boolean"
-        bits, shards, k = 60 // order, self.shards, len(self.labels)
+    def apply(self, docs: DataFrame, text: str, added: str, finish: Callable[[np.ndarray, np.ndarray, kn.Stream], list], words: bool = False) -> DataFrame:
+        """``docs`` with the columns ``added``, which ``finish`` makes of a batch's sums.
+
+        It gets the log-probability sums (units, labels), the text of each unit,
+        and the stream.  A unit is a text or, with ``words``, one of its words.
+        A null text counts as empty.
+        """
+        order, shards, k = self.order, self.shards, len(self.labels)
+        bits, carried = 60 // order, "__sums"
 
         def scorer(shard: int) -> Callable[[pa.RecordBatch], list]:
             held = docs.sparkSession.sparkContext.broadcast(self.model(shard))
 
             def each(batch: pa.RecordBatch) -> list:
-                texts = batch.column(0).to_pylist()
-                s = kn.stream(texts, order)
-                mine = (s.codes >> bits & ((1 << bits) - 1)) % shards == shard if shards > 1 else slice(None)
+                s = kn.stream(batch.column(0).to_pylist(), order)
+                mask = (1 << bits) - 1
+                if words:
+                    unit = np.cumsum((s.codes & mask) == 32) - 1
+                    owner = np.zeros(int(unit[-1]) + 1 if len(unit) else 0, np.int64)
+                    owner[unit] = s.doc
+                else:
+                    unit, owner = s.doc, np.arange(batch.num_rows)
+                mine = (s.codes >> bits & mask) % shards == shard if shards > 1 else slice(None)
                 scores = held.value.score(s.codes[mine])
-                doc = s.doc[mine]
-                totals = np.stack([np.bincount(doc, weights=scores[:, j], minlength=len(texts)) for j in range(k)], 1) if k else np.zeros((len(texts), 0))
-                if batch.num_columns > 1:
-                    totals += np.array(batch.column(1).to_pylist()).reshape(len(texts), k)
-                return [list(totals), np.bincount(s.doc, minlength=len(texts)), s.letters]
+                sums = np.stack([np.bincount(unit[mine], weights=scores[:, j], minlength=len(owner)) for j in range(k)], 1) if k else np.zeros((len(owner), 0))
+                if shard:
+                    sums += batch.column(1).flatten().to_numpy().reshape(len(owner), k)
+                if shard == shards - 1:
+                    return finish(sums, owner, s)
+                ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)) * k
+                return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sums.ravel()))]
 
             return each
 
-        out = map_texts(docs, [text], added, scorer(0))
-        for shard in range(1, shards):
-            out = map_texts(materialize(out), [text, "log_probs"], added, scorer(shard))
+        last = shards - 1
+        for shard in range(shards):
+            out = docs if not shard else materialize(out)
+            out = map_texts(out, [text, carried] if shard else [text], added if shard == last else f"{carried} array<double>", scorer(shard), drop=(carried,))
         return out
 
 
@@ -105,29 +119,23 @@ def identify(docs: DataFrame, scorer: Scorer, text: str = "text", reject_at: flo
     given.  Ties go to the first language in order.
     """
     labels = scorer.labels
-    # Where there are shards the losses of the models differ in scope: their training-weighted means are added up.
-    models = [scorer.model(s) for s in range(scorer.shards)]
+    # Where there are shards their losses, weighted by training text, make up the label's.
+    models = [scorer.model(shard) for shard in range(scorer.shards)]
     weight = np.array([m.weight for m in models])
     mean = np.average(np.array([m.mean for m in models]), axis=0, weights=weight) if labels else np.zeros(0)
     spread = np.sqrt(np.average(np.array([m.deviation for m in models]) ** 2, axis=0, weights=weight)) if labels else np.zeros(0)
 
-    def decide(batch: pa.RecordBatch) -> list:
-        n = np.maximum(np.array(batch.column(1).to_pylist(), dtype=np.float64), 1)
-        sums = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(batch.num_rows, len(labels))
-        known = np.array(batch.column(2).to_pylist(), dtype=bool) & bool(labels)
+    def decide(sums: np.ndarray, owner: np.ndarray, stream: kn.Stream) -> list:
+        rows = len(owner)
         if not labels:
-            return [["und"] * len(n), [0.0] * len(n), [None] * len(n), [True] * len(n)]
+            return [["und"] * rows, [0.0] * rows, [None] * rows, [True] * rows]
+        n = np.maximum(np.bincount(stream.doc, minlength=rows), 1).astype(np.float64)
+        known = stream.letters
         loss = -sums / n[:, None]
         best = loss.argmin(1)
-        lowest = loss[np.arange(len(n)), best]
+        lowest = loss[np.arange(rows), best]
         share = 1 / np.exp((lowest[:, None] - loss) * np.sqrt(n)[:, None]).sum(1)
         far = (lowest - mean[best]) / (spread[best] / np.sqrt(n)) > reject_at
-        return [
-            [labels[b] if k else "und" for b, k in zip(best, known, strict=True)],
-            np.where(known, share, 0.0),
-            [float(x) if k else None for x, k in zip(lowest, known, strict=True)],
-            far | ~known,
-        ]
-
-    scored = scorer.sums(docs, text)
-    return map_texts(scored, ["log_probs", "n_scored", "has_letter"], "lang_pred string, score double, cross_entropy double, rejected boolean", decide, drop=("log_probs", "n_scored", "has_letter"))
+        return [[labels[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, share, 0.0), pa.array(lowest, mask=~known), far | ~known]
+
+    return scorer.apply(docs, text, "lang_pred string, score double, cross_entropy double, rejected boolean", decide)

@@ -1,4 +1,9 @@
-"""Toxicity as the log-likelihood ratio of class-conditional Kneser-Ney character models."""
+"""Toxicity by class-conditional Kneser-Ney character models.
+
+Word by word, the log-likelihoods of the toxic and the ordinary model are
+compared; what toxic words have in excess, normalised by the text's length, is
+turned into a probability.
+"""
 
 from __future__ import annotations
 
@@ -13,45 +18,47 @@ from .language_id import MAX_GRAMS, ORDER, Scorer
 
 #: Orders below this one are counted over both classes together: what neither class shows often backs off alike.
 SHARED_BELOW = 2
-#: Characters of ordinary text that every text is taken to begin with; an empty text scores as these do.
-PRIOR_CHARS = 20
-BINS, REACH = 4096, 1.0
+#: Nats by which a word must be likelier in toxic text before it counts; what rare words owe to chance stays below.
+MARGIN = 3.0
+#: Words that every text is taken to have besides its own, of no account; an empty text has these alone.
+PRIOR_WORDS = 5
+BINS, REACH = 8192, 4.0
 
 
 class Toxicity:
-    """Learned models and the logistic curve from the ratio per character to a probability."""
+    """Learned models and the logistic curve from the excess of a text to a probability."""
 
-    def __init__(self, scorer: Scorer, slope: float, offset: float, ordinary: float) -> None:
-        self.scorer, self.slope, self.offset, self.ordinary = scorer, slope, offset, ordinary
+    def __init__(self, scorer: Scorer, slope: float, offset: float) -> None:
+        self.scorer, self.slope, self.offset = scorer, slope, offset
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with log_ratio (per character) and score (0 to 1).
+        """``docs`` with excess and score (0 to 1).
 
         A null text counts as empty.  If only one class was learned, that class
         alone decides: score is 1.0 if it is the toxic one, else 0.0.
         """
         slope, offset = self.slope, self.offset
-        out = ratios(docs, self.scorer, text, self.ordinary)
 
         def curve(batch: pa.RecordBatch) -> list:
-            x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
-            return [1 / (1 + np.exp(-np.clip(slope * x + offset, -500, 500)))]
+            x = batch.column(0).to_numpy()
+            with np.errstate(over="ignore"):
+                return [1 / (1 + np.exp(-(slope * x + offset)))]
 
-        return map_texts(out, ["log_ratio"], "score double", curve)
+        return map_texts(excess(docs, self.scorer, text), ["excess"], "score double", curve)
 
 
-def ratios(docs: DataFrame, scorer: Scorer, text: str, ordinary: float) -> DataFrame:
-    """``docs`` with log_ratio: toxic less ordinary log-likelihood per character, drawn to ``ordinary`` in short texts."""
+def excess(docs: DataFrame, scorer: Scorer, text: str) -> DataFrame:
+    """``docs`` with excess: of each word's log-likelihood ratio what is over ``MARGIN``, by the number of words; its square root."""
     both = scorer.labels == ["0", "1"]
 
-    def ratio(batch: pa.RecordBatch) -> list:
-        n = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+    def finish(sums: np.ndarray, owner: np.ndarray, stream: kn.Stream) -> list:
+        rows = len(stream.letters)
         if not both:
-            return [np.zeros(len(n))]
-        sums = np.array(batch.column(0).to_pylist(), dtype=np.float64).reshape(len(n), 2)
-        return [(sums[:, 1] - sums[:, 0] + PRIOR_CHARS * ordinary) / (n + PRIOR_CHARS)]
+            return [np.zeros(rows)]
+        over = np.maximum(sums[:, 1] - sums[:, 0] - MARGIN, 0)
+        return [np.sqrt(np.bincount(owner, weights=over, minlength=rows) / (np.bincount(owner, minlength=rows) + PRIOR_WORDS))]
 
-    return map_texts(scorer.sums(docs, text), ["log_probs", "n_scored"], "log_ratio double", ratio, drop=("log_probs", "n_scored", "has_letter"))
+    return scorer.apply(docs, text, "excess double", finish, words=True)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -74,8 +81,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
     """Learn from every row with a label of 0 or 1; other rows are left out, a null text counts as empty.
 
     Rows are dealt into two folds by a hash of ``key``.  The curve is fitted to
-    ratios that each fold's rows get from the models of the other fold, counted
-    in fixed bins, so that all rows count and the driver sees at most
+    what each fold's rows get from the models of the other fold, counted in
+    fixed bins, so that all rows count and the driver sees at most
     2 * ``BINS`` numbers.  The final models have the counts of both folds.
     """
     rows = labelled.where(F.col(f"`{label}`").isin(0, 1)).select(
@@ -85,16 +92,14 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
     tagged = materialize(kn.gram_counts(rows.withColumn("tag", F.concat_ws("/", "fold", "y")), "text", "tag", order).select(F.substring("label", 1, 1).cast("int").alias("fold"), F.substring("label", 3, 1).alias("label"), "gram", "n"))
     whole = Scorer(materialize(tagged.groupBy("label", "gram").agg(F.sum("n").alias("n"))), order, max_grams, SHARED_BELOW)
     if whole.labels != ["0", "1"]:
-        return Toxicity(whole, 0.0, 500.0 if whole.labels == ["1"] else -500.0, 0.0)
+        return Toxicity(whole, 0.0, 1000.0 if whole.labels == ["1"] else -1000.0)
     found = None
     for fold in (0, 1):
         other = Scorer(tagged.where(F.col("fold") == 1 - fold).drop("fold"), order, max_grams, SHARED_BELOW)
         if other.labels != ["0", "1"]:
             other = whole  # too few rows for folds
-        part = ratios(rows.where(F.col("fold") == fold), other, "text", 0.0).select("y", F.floor((F.col("log_ratio") + REACH) * (BINS / 2 / REACH)).cast("int").alias("bin"))
+        part = excess(rows.where(F.col("fold") == fold), other, "text").select("y", F.floor(F.col("excess") * (BINS / REACH)).cast("int").alias("bin"))
         found = part if found is None else found.unionByName(part)
-    bins = found.select("y", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), "bin")).alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
+    bins = found.select("y", F.least(F.lit(BINS - 1), "bin").alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
     y, b, n = (np.array([r[i] for r in bins], dtype=np.float64) for i in range(3))
-    x = (b + 0.5) * (2 * REACH / BINS) - REACH
-    slope, offset = _logistic(x, y, n)
-    return Toxicity(whole, slope, offset, float(np.average(x[y == 0], weights=n[y == 0])))
+    return Toxicity(whole, *_logistic(b * (REACH / BINS), y, n))
