@@ -4,12 +4,680 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from loam.functions import extract, text, urls
+from loam.functions import fixed_values as V
+from loam.operators import crawl, dedup, index, maintain, queryspec, search
+from loam.operators.tables import new_path
+from loam.sources import files
+from loam.streaming import crawl_stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+from . import corpora as c
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def pattern(words: list[str]) -> str:
+    return urls.alternation(words).replace("'", "''")
+
+
+def has(column: str, words: list[str]) -> str:
+    return f"regexp_matches({column}, '{pattern(words)}')"
+
+
+# URLs and hosts
+
+
+@query(f"WITH {c.SITES} SELECT page_id, scheme, host, path, query, site FROM PS")
+def url_parts(spark, sf):
+    u = F.col("url")
+    host = urls.host_of(u)
+    return c.page_urls(spark, sf).select("page_id", urls.scheme(u).alias("scheme"), host.alias("host"), urls.path_of(u).alias("path"), urls.query_of(u).alias("query"), urls.site_key(host).alias("site"))
+
+
+TRACKING = f"(lower(p.name) IN ({c.quoted(V.TRACKING_PARAMS)}) OR " + " OR ".join(f"(starts_with(site, '{s}') AND lower(p.name) IN ({c.quoted(p)}))" for s, p in V.SITE_TRACKING_PARAMS.items()) + ")"
+PAIRS = "list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {'name': string_split(x, '=')[1], 'value': CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END})"
+
+
+@query(f"""WITH {c.SITES}, Q AS (SELECT *, regexp_extract(authority, ':([0-9]+)$', 1) AS port, list_sort(list_filter({PAIRS}, lambda p: NOT {TRACKING})) AS kept FROM PS)
+SELECT page_id, CASE WHEN host <> '' AND NOT contains(authority, '@') THEN scheme || '://' || host || CASE WHEN port = '' OR port = (CASE WHEN scheme = 'http' THEN '80' ELSE '443' END) THEN '' ELSE ':' || port END
+ || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(list_transform(kept, lambda p: p.name || '=' || p.value), '&') END END AS canonical FROM Q""")
+def url_normalize(spark, sf):
+    return c.page_urls(spark, sf).select("page_id", urls.normalize(F.col("url")).alias("canonical"))
+
+
+@query()
+def url_normalize_exact(spark, sf):
+    x = c.page_urls(spark, sf).select("page_id", urls.normalize_exact("url").alias("canonical"))
+    return x.select("page_id", "canonical", urls.url_key("canonical").alias("url_key"))
+
+
+@query(f"WITH {c.SITES} SELECT site, count(*) AS pages, count(DISTINCT host) AS hosts FROM PS GROUP BY site")
+def site_page_counts(spark, sf):
+    host = urls.host_of(F.col("url"))
+    return c.page_urls(spark, sf).select(host.alias("host"), urls.site_key(host).alias("site")).groupBy("site").agg(F.count("*").alias("pages"), F.count_distinct("host").alias("hosts"))
+
+
+SEGMENTS = "list_filter(string_split(path, '/'), lambda s: s <> '')"
+GENERATED = "(regexp_matches(lower(s), '^[0-9a-f]{20,}$') OR (regexp_matches(lower(s), '^[0-9a-z]{24,}$') AND regexp_matches(s, '[0-9]')))"
+SKIP = f"""(host = 'web.archive.org' AND (starts_with(path, '/web/') OR starts_with(path, '/save/')))
+ OR (regexp_matches(host, '[.](?:{pattern(V.WIKI_FAMILIES)})$') AND string_split(host, '.')[1] NOT IN ({c.quoted(V.WIKI_EDITIONS)}))
+ OR contains(path, '/w/index.php') OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(?:{pattern(V.WIKI_NAMESPACES)})') OR regexp_matches(lower(path), '(?:{pattern(V.SKIPPED_EXTENSIONS)})$')
+ OR {has('lower(path)', V.SKIPPED_FRAGMENTS + V.TRAP_FRAGMENTS)} OR ends_with(lower(path), '/login') OR len({SEGMENTS}) > 10 OR strlen(path) > 220 OR len(list_filter({SEGMENTS}, lambda s: {GENERATED})) >= 2
+ OR len(list_filter({PAIRS}, lambda p: lower(p.name) IN ({c.quoted(V.SESSION_PARAMS + V.COPY_PARAMS)}))) > 0 OR len({PAIRS}) > 10"""
+
+
+@query(f"WITH {c.PARTS} SELECT page_id, ({SKIP}) AS skipped FROM PP")
+def skip_url_flags(spark, sf):
+    return c.page_urls(spark, sf).select("page_id", urls.skip_url(F.col("url")).alias("skipped"))
+
+
+YEAR = "'^(19[0-9][0-9]|20[0-9][0-9]|2100)$'"
+
+
+@query(f"""WITH {c.PARTS}, S AS (SELECT *, list_transform({SEGMENTS}, lambda s: lower(s)) AS seg FROM PP)
+SELECT page_id, coalesce((host = 'web.archive.org' AND starts_with(path, '/web/')) OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(?:{pattern(V.HUB_NAMESPACES)})') OR list_contains(seg, 'amp')
+ OR len(list_filter(seg[1:len(seg) - 1], lambda s: s IN ({c.quoted(V.LISTING_SEGMENTS)}))) > 0 OR coalesce(seg[1] IN ({c.quoted(V.AUTH_SEGMENTS)}) OR seg[len(seg)] IN ({c.quoted(V.AUTH_SEGMENTS)}), false)
+ OR (len(seg) >= 2 AND seg[1] IN ({c.quoted(V.PROFILE_SEGMENTS)})) OR coalesce(regexp_matches(seg[len(seg)], {YEAR}), false)
+ OR (len(seg) >= 2 AND regexp_matches(seg[len(seg)], '^[0-9]{{1,2}}$') AND (regexp_matches(seg[len(seg) - 1], {YEAR}) OR regexp_matches(seg[len(seg) - 1], '^[0-9]{{1,2}}$')))
+ OR contains(query, 'replytocom') OR starts_with(query, 's=') OR contains(query, '&s=') OR contains(query, 'share='), false) AS hub FROM S""")
+def skip_index_flags(spark, sf):
+    return c.page_urls(spark, sf).select("page_id", urls.skip_index_url(F.col("url")).alias("hub"))
+
+
+@query(f"WITH {c.PARTS} SELECT page_id, host FROM PP WHERE NOT EXISTS (SELECT 1 FROM (VALUES {', '.join(f'({c.quoted([b])})' for b in c.BLOCKED)}) b(d) WHERE host = d OR ends_with(host, '.' || d))")
+def blocklist_antijoin(spark, sf):
+    rows = c.page_urls(spark, sf).select("page_id", urls.host_of(F.col("url")).alias("host"))
+    return crawl.not_blocked(rows, spark.createDataFrame([(b,) for b in c.BLOCKED], "domain string")).select("page_id", "host")
+
+
+@query(f"WITH {c.PARTS} SELECT host, count(*) AS pages FROM PP WHERE EXISTS (SELECT 1 FROM (VALUES {', '.join(f'({c.quoted([b])})' for b in c.BLOCKED)}) b(d) WHERE host = d OR ends_with(host, '.' || d)) GROUP BY host")
+def blocklist_hits(spark, sf):
+    rows = c.page_urls(spark, sf).select("page_id", urls.host_of(F.col("url")).alias("host"))
+    bad = crawl.blocked_hosts(rows, spark.createDataFrame([(b,) for b in c.BLOCKED], "domain string"))
+    return rows.join(bad, "host", "left_semi").groupBy("host").agg(F.count("*").alias("pages"))
+
+
+BARE = "regexp_replace(host, '^(www[.])+', '')"
+ends = lambda xs: " OR ".join(f"ends_with(h, '{x}')" for x in xs)
+
+
+@query(f"WITH {c.PARTS}, H AS (SELECT *, {BARE} AS h FROM PP) SELECT page_id, h IN ({c.quoted(V.MEDIA_HOSTS)}) OR {ends(V.MEDIA_ENDINGS)} AS media, h IN ({c.quoted(V.WIKI_HOSTS)}) OR {ends(V.WIKI_ENDINGS)} AS wiki, {has('lower(path)', V.FORUM_FRAGMENTS)} AS forum FROM H")
+def host_class(spark, sf):
+    host = urls.host_of(F.col("url"))
+    return c.page_urls(spark, sf).select("page_id", urls.is_media_host(host).alias("media"), urls.is_wiki_host(host).alias("wiki"), urls.is_forum_path(urls.path_of(F.col("url"))).alias("forum"))
+
+
+def quality_sql(host: str) -> str:
+    h = f"regexp_replace({host}, '^(www[.])+', '')"
+    tiers = " ".join("WHEN " + " OR ".join(f"{h} = '{d}' OR ends_with({h}, '.{d}')" for d in ds) + f" THEN {w}" for w, ds in V.HOST_TIERS)
+    return f"CAST(CASE {tiers} ELSE 1.0 END AS DOUBLE)"
+
+
+@query(f"WITH {c.PARTS} SELECT page_id, {quality_sql('host')} AS weight FROM PP")
+def host_quality(spark, sf):
+    return c.page_urls(spark, sf).select("page_id", urls.host_quality(urls.host_of(F.col("url"))).alias("weight"))
+
+
+IPS = ["8.8.8.8", "10.0.0.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "127.0.0.1", "169.254.1.1", "100.64.0.1", "100.128.0.1", "198.18.0.1", "198.20.0.1", "224.0.0.1", "0.1.2.3", "255.255.255.255", "192.0.2.5", "203.0.113.9", "1.2.3", "1.2.3.400"]
+
+
+@query(f"""WITH I AS (SELECT ip, list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT)) AS o FROM (VALUES {', '.join(f"('{i}')" for i in IPS)}) v(ip)), N AS (SELECT ip, o, CASE WHEN len(o) = 4 AND list_max(o) <= 255 THEN ((CAST(o[1] AS BIGINT) * 256 + o[2]) * 256 + o[3]) * 256 + o[4] END AS n FROM I)
+SELECT ip, n IS NOT NULL AND NOT (o[1] IN (0, 10, 127) OR o[1] BETWEEN 224 AND 239 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 2851995648 AND 2852061183 OR n = 4294967295
+ OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 1681915904 AND 1686110207 OR n BETWEEN 3323068416 AND 3323199487) AS public FROM N""")
+def public_ip(spark, sf):
+    return spark.createDataFrame([(i,) for i in IPS], "ip string").select("ip", F.coalesce(urls.public_ipv4(F.col("ip")), F.lit(False)).alias("public"))
+
+
+# texts
+
+
+ALNUM = r"length(regexp_replace({}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+
+
+@query(f"SELECT doc_id, {ALNUM.format('text')} AS letters, {ALNUM.format('text')} >= 200 AS indexable FROM documents")
+def text_gate(spark, sf):
+    d = c.table(spark, sf, "documents")
+    return d.select("doc_id", text.alnum_count(F.col("text")).cast("long").alias("letters"), text.is_indexable(F.lit(""), F.col("text")).alias("indexable"))
+
+
+@query(rf"""WITH B AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+M AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda t: t IN ({c.quoted(V.FUNCTION_WORDS)}))) AS common, len(list_distinct(w)) AS kinds FROM B)
+SELECT doc_id, n AS n_tokens, n >= 60 AND (common / n < 0.12 OR kinds / n > 0.92) AS babble FROM M""")
+def babble_flags(spark, sf):
+    d = c.table(spark, sf, "documents")
+    return d.select("doc_id", text.babble_measures(F.col("text"))["n"].cast("long").alias("n_tokens"), text.is_babble(F.col("text")).alias("babble"))
+
+
+@query(f"WITH T AS (SELECT * FROM (VALUES {', '.join(f'({c.quoted([t])})' for t in c.TITLES)}) v(title)) SELECT title, {has('lower(trim(title))', V.JUNK_PHRASES)} OR lower(trim(title)) IN ({c.quoted(V.AUTH_TITLES)}) AS junk FROM T")
+def junk_title(spark, sf):
+    return spark.createDataFrame([(t,) for t in c.TITLES], "title string").select("title", text.junk_title(F.col("title")).alias("junk"))
+
+
+@query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Just a moment' WHEN 1 THEN '' ELSE 'Title ' || doc_id END AS given, title FROM D)
+SELECT doc_id, CASE WHEN given <> '' AND given <> 'Just a moment' THEN given WHEN title <> '' THEN title ELSE 'untitled' END AS shown FROM T""")
+def title_cleanup(spark, sf):
+    given = F.when(F.col("doc_id") % 4 == 0, "Just a moment").when(F.col("doc_id") % 4 == 1, "").otherwise(F.concat(F.lit("Title "), "doc_id"))
+    return c.corpus(spark, sf).select("doc_id", text.display_title(given, F.col("body")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE (SELECT string_agg(ch, '' ORDER BY i) FROM (SELECT i, ch, sum(strlen(ch)) OVER (ORDER BY i) AS b FROM (SELECT unnest(range(1, 1001)) AS i, unnest(list_transform(range(1, 1001), lambda i: text[i:i])) AS ch)) WHERE b <= 1000) END AS clipped FROM documents")
+def clip_text(spark, sf):
+    return c.table(spark, sf, "documents").select("doc_id", text.clip_text(F.col("text"), 1000).alias("clipped"))
+
+
+@query()
+def page_extract(spark, sf):
+    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
+    return p.select("page_id", "e.title", "e.text", F.size("e.links").alias("n_links"), "e.noindex", "e.canonical")
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS n_links FROM pages")
+def page_titles(spark, sf):
+    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
+    return p.select("page_id", "e.title", F.size("e.links").cast("long").alias("n_links"))
+
+
+HREFS = """LK AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href, unnest(range(len(regexp_extract_all(html, 'href="([^"]*)"', 1)))) AS pos FROM pages), LU AS (SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END AS link FROM LK)"""
+
+
+def _links(spark, sf) -> DataFrame:
+    p = c.table(spark, sf, "pages")
+    each = p.select("page_id", F.regexp_extract("url", "^(https?://[^/?#]*)", 1).alias("origin"), F.posexplode(extract.hrefs(F.col("html"))).alias("at", "href"))
+    return each.select("page_id", F.col("at").cast("long").alias("at"), F.when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.col("href")).alias("link"))
+
+
+@query(f"WITH {HREFS} SELECT page_id, pos, link FROM LU")
+def outlinks(spark, sf):
+    return _links(spark, sf).withColumnRenamed("at", "pos")
+
+
+@query(f"WITH {HREFS} SELECT page_id, pos, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM LU WHERE starts_with(link, 'http') AND NOT ends_with(link, '.')) WHERE n <= 3")
+def outlink_cap(spark, sf):
+    ok = F.col("link").startswith("http") & ~F.col("link").endswith(".")
+    return crawl.first_links(_links(spark, sf).where(ok), 3).withColumnRenamed("at", "pos")
+
+
+@query()
+def outlinks_accepted(spark, sf):
+    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url")["links"].alias("links"))
+    return crawl.outlinks(p, most=80, blocklist=files.read_blocklist(spark))
+
+
+SITEMAP = "<urlset><url><loc> https://a.test/1 </loc></url><url><loc>ftp://x</loc></url><url><loc>https://a.test/2?a=1&amp;b=2</loc></url></urlset>"
+FEED = "<rss><channel><item><link>https://a.test/1</link></item><item><link> https://a.test/2 </link></item></channel><link href='https://a.test/3'/><link href=\"https://a.test/4\"/><link href=https://a.test/5></rss>"
+
+
+@query(f"SELECT unnest(list_filter(list_transform(regexp_extract_all('{SITEMAP}', '<loc>(.*?)</loc>', 1), lambda x: trim(x)), lambda x: starts_with(x, 'http'))) AS url")
+def sitemap_locs(spark, sf):
+    return spark.createDataFrame([(SITEMAP,)], "body string").select(F.explode(extract.sitemap_urls(F.col("body"))).alias("url"))
+
+
+@query("SELECT unnest(['https://a.test/1', 'https://a.test/2', 'https://a.test/3', 'https://a.test/4', 'https://a.test/5']) AS url")
+def feed_links(spark, sf):
+    return spark.createDataFrame([(FEED,)], "body string").select(F.explode(extract.feed_links(F.col("body"))).alias("url"))
+
+
+ROBOTS = "User-agent: *\nCrawl-delay: 2 # slow\nSitemap: https://a.test/s.xml\nUser-agent: other\nCrawl-delay: 9\nUser-agent: loam\nCrawl-delay: 1.5\nDisallow: /private\nAllow: /private/open"
+
+
+@query("SELECT * FROM (VALUES ('loam', 1500), ('x', 2000), ('other', 9000)) v(agent, delay_ms)")
+def robots_delay(spark, sf):
+    r = spark.createDataFrame([(ROBOTS,)], "body string")
+    one = lambda a: r.select(F.lit(a).alias("agent"), files.crawl_delay_ms(F.col("body"), a).cast("int").alias("delay_ms"))
+    return one("loam").unionByName(one("x")).unionByName(one("other"))
+
+
+@query("SELECT * FROM (VALUES ('/private/a', false), ('/private/open/b', true), ('/', true)) v(path, allowed)")
+def robots_allow(spark, sf):
+    r = spark.createDataFrame([("/private/a",), ("/private/open/b",), ("/",)], "path string")
+    return r.select("path", files.robots_allowed("loam/1.0")(F.lit(ROBOTS), F.col("path")).alias("allowed"))
+
+
+# duplicates and authority
+
+
+@query("SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def exact_dups(spark, sf):
+    return c.table(spark, sf, "documents").groupBy(F.md5("text").alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+def _prints(spark, sf) -> DataFrame:
+    d = c.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("id"), text.simhash64(text.normalized(F.col("text"))).alias("simhash"))
+
+
+@query()
+def simhash_pairs(spark, sf):
+    from loam.operators.tables import saved
+
+    return dedup.hamming_pairs(saved(_prints(spark, sf)), 3)
+
+
+HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(f"""WITH H AS (SELECT doc_id, {HASH60.format('text')} AS h FROM documents), L AS (SELECT h & 65535 AS h, min(doc_id) AS first FROM H GROUP BY h & 65535)
+SELECT a.first AS a, b.first AS b FROM L a JOIN L b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 1 WHERE a.h <> 0 AND b.h <> 0""")
+def hamming_join(spark, sf):
+    d = c.table(spark, sf, "documents")
+    h = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").bitwiseAND(65535)
+    leaves = d.select("doc_id", h.alias("simhash")).groupBy("simhash").agg(F.min("doc_id").alias("id"))
+    return dedup.hamming_pairs(leaves, 1, 16)
+
+
+@query()
+def near_dup_greedy(spark, sf):
+    from loam.operators.tables import saved
+
+    return dedup.greedy_kept(saved(_prints(spark, sf)), 3)
+
+
+@query(f"WITH {HREFS} SELECT host, count(*) AS inlinks, round(ln(1 + count(*)), 6) AS authority FROM (SELECT lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) AS host FROM LU) WHERE host <> '' GROUP BY host")
+def inlink_authority(spark, sf):
+    return crawl.host_authority(_links(spark, sf), "link").withColumn("authority", F.round("authority", 6))
+
+
+@query(f"""WITH {HREFS}, E AS (SELECT page_id AS seq, lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) AS host FROM LU), P AS (SELECT page_id AS seq, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS host FROM pages)
+SELECT p.seq, p.host, count(e.seq) AS inlinks FROM P p LEFT JOIN E e ON e.host = p.host AND e.seq <= p.seq GROUP BY p.seq, p.host""")
+def running_authority(spark, sf):
+    edges = _links(spark, sf).select(F.col("page_id").alias("seq"), urls.host_of(F.col("link")).alias("host"))
+    docs = c.table(spark, sf, "pages").select(F.col("page_id").alias("seq"), urls.host_of(F.col("url")).alias("host"))
+    return crawl.running_authority(docs, edges)
+
+
+@query()
+def crawl_documents(spark, sf):
+    return crawl.documents(c.table(spark, sf, "pages")).select("page_id", "url", "site", "title", "n_outlinks", "inlinks", F.round("authority", 6).alias("authority"))
+
+
+# the index
+
+
+@query(f"WITH {c.CORPUS}, T AS (SELECT 'title' AS field, {c.tokens_sql('title')} AS t FROM D UNION ALL SELECT 'body', {c.tokens_sql('body')} FROM D UNION ALL SELECT 'description', {c.tokens_sql('description')} FROM D) SELECT field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len FROM T GROUP BY field")
+def token_stats(spark, sf):
+    return index.build(c.corpus(spark, sf), []).field_stats.withColumn("avg_len", F.round("avg_len", 6))
+
+
+@query(f"WITH {c.CORPUS}, T AS (SELECT doc_id, unnest(list_distinct({c.tokens_sql('body')})) AS term FROM D) SELECT term, count(*) AS df FROM T GROUP BY term HAVING count(*) >= 5")
+def term_df(spark, sf):
+    return index.build(c.corpus(spark, sf), None, ("body",)).term_stats.where("df >= 5").select("term", "df")
+
+
+@query(f"WITH {c.CORPUS}, T AS (SELECT doc_id, unnest({c.tokens_sql('title')}) AS term FROM D) SELECT doc_id, term, count(*) AS tf FROM T GROUP BY doc_id, term")
+def postings_len(spark, sf):
+    return index.build(c.corpus(spark, sf), None, ("title",)).postings.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+
+
+BOOSTS, BODY = {"title": 4.0, "body": 1.0, "description": 2.0}, {"body": 1.0}
+
+
+def _scored(spark, sf, clauses, need=None, boosts=None, top=20) -> DataFrame:
+    terms = [t for x in clauses for t in x.terms]
+    idx = index.build(c.corpus(spark, sf), terms)
+    found = search.retrieve(idx, clauses, need, boosts)
+    out = found.select("doc_id", F.round("bm25", 6).alias("score"))
+    return out.orderBy(F.desc("score"), "doc_id").limit(top) if top else out
+
+
+TOP = " SELECT doc_id, round(bm25, 6) AS score FROM SC ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20"
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BODY) + TOP)
+def bm25_and(spark, sf):
+    return _scored(spark, sf, [queryspec.Clause((t,), ("body",)) for t in ("tion", "that")], boosts=BODY)
+
+
+@query("WITH " + c.bm25_sql(["tion", "that", "thble"], 1, BODY) + TOP)
+def bm25_or(spark, sf):
+    return _scored(spark, sf, [queryspec.Clause((t,), ("body",)) for t in ("tion", "that", "thble")], 1, BODY)
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + TOP)
+def bm25_field_boost(spark, sf):
+    return _scored(spark, sf, queryspec.clauses("tion that"))
+
+
+FLAT = {"title": 1.0, "body": 1.0}
+
+
+@query("WITH " + c.bm25_sql(["that", "thble", "tion"], 2, FLAT) + TOP)
+def two_of_n(spark, sf):
+    idx = index.build(c.corpus(spark, sf), ["tion", "that", "thble"])
+    found = search.two_of_n(idx, queryspec.parse("tion that thble"))
+    return found.select("doc_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("WITH " + c.bm25_sql(["that", "thble", "tion"], 1, FLAT) + ", AN AS (SELECT term FROM DF GROUP BY term ORDER BY sum(df), term LIMIT 1) SELECT doc_id, round(bm25, 6) AS score FROM SC WHERE doc_id IN (SELECT doc_id FROM PO WHERE term = (SELECT term FROM AN)) ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20")
+def anchored(spark, sf):
+    spec = queryspec.parse("tion that thble")
+    idx = index.build(c.corpus(spark, sf), ["tion", "that", "thble"])
+    found = search.anchored(idx, spec, search.anchor(idx, spec) or "that")
+    return found.select("doc_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, ' ' || array_to_string({c.tokens_sql('title')}, ' ') || ' ' AS a, ' ' || array_to_string({c.tokens_sql('body')}, ' ') || ' ' AS b FROM D)
+SELECT doc_id FROM T WHERE contains(a, ' is the ') OR contains(b, ' is the ')""")
+def phrase(spark, sf):
+    return _scored(spark, sf, queryspec.clauses('"is the"'), top=0).select("doc_id")
+
+
+@query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, list_concat({c.tokens_sql('title')}, {c.tokens_sql('body')}) AS t FROM D) SELECT doc_id FROM T WHERE list_contains(t, 'that') AND NOT list_contains(t, 'tion')""")
+def exclude_term(spark, sf):
+    return _scored(spark, sf, queryspec.clauses("that -tion"), top=0).select("doc_id")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE list_contains({c.tokens_sql('title')}, 'the')")
+def intitle(spark, sf):
+    return _scored(spark, sf, queryspec.clauses(queryspec.parse("intitle:the").text), top=0).select("doc_id")
+
+
+def _filtered(spark, sf, q: str, kind: str | None = None) -> DataFrame:
+    return c.corpus(spark, sf).where(search.spec_filter(queryspec.parse(q), kind)).select("doc_id")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE contains(lower(url), '/d/1') AND contains(lower(url), 'src')")
+def inurl(spark, sf):
+    return _filtered(spark, sf, "inurl:/d/1 -inurl:SRC")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE host IN ('src1.test', 'src2.test')")
+def site_filter(spark, sf):
+    return _filtered(spark, sf, 'site:"src1.test" site:SRC2.test -site:src3.test')
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE fetched_at >= 1704153600 AND fetched_at <= 1706745599")
+def date_range(spark, sf):
+    return _filtered(spark, sf, "after:2024-01-02 before:2024-01")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE kind = 'rss'")
+def kind_filter(spark, sf):
+    return _filtered(spark, sf, "", "RSS")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE host = 'src4.test' ORDER BY doc_id LIMIT 200")
+def site_only(spark, sf):
+    idx = index.build(c.corpus(spark, sf), [])
+    return search.candidates(idx, queryspec.parse("site:src4.test"), 20).select("doc_id")
+
+
+@query(f"WITH {c.CORPUS}, H AS (SELECT doc_id, regexp_replace(host, '[.]test$', '.dev') AS host FROM D) SELECT doc_id FROM H WHERE regexp_matches(host, '^(.*[.])?src11[.](com|org|net|io|dev|app|network|co|gg|tv)$') ORDER BY doc_id LIMIT 20")
+def nav_lane(spark, sf):
+    d = c.corpus(spark, sf).withColumn("host", F.regexp_replace("host", r"\.test$", ".dev"))
+    return search.navigation(index.build(d, []), "a src11")
+
+
+RERANK = f"""R AS (SELECT D.*, bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM SC JOIN D USING (doc_id)),
+T AS (SELECT *, lower(title) AS lt, greatest({c.NOW} - fetched_at, 0) / 86400.0 AS days, (CAST(contains(lower(title), 'tion') AS INT) + CAST(contains(lower(title), 'that') AS INT)) / 2.0 AS th, (CAST(contains(lower(url), 'tion') AS INT) + CAST(contains(lower(url), 'that') AS INT)) / 2.0 AS uh FROM R WHERE rank <= 200),
+S AS (SELECT *, bm25 * (1 + least(authority, 10) * 0.15) * CASE WHEN kind = 'rss' THEN 1 / (1 + days / 60 * 0.4) ELSE 1 / (1 + days / 365 * 0.2) END * (1 + th * 0.4 + CASE WHEN contains(lt, 'tion that') THEN 0.35 ELSE 0 END) * (1 + uh * 0.2)
+ * CASE WHEN (length(lt) - length(replace(lt, ' - ', ''))) / 3 + (length(lt) - length(replace(lt, ' | ', ''))) / 3 + (length(lt) - length(replace(lt, ': ', ''))) / 2 + length(lt) - length(replace(lt, '·', '')) >= 2
+   AND ({' + '.join(f"CAST(contains(lt, '{w}') AS INT)" for w in V.BAIT_WORDS)}) >= 2 THEN 0.7 ELSE 1 END AS score FROM T)"""
+
+
+def _candidates(spark, sf) -> tuple[DataFrame, queryspec.QuerySpec]:
+    spec = queryspec.parse("tion that")
+    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
+    return search.candidates(idx, spec, 20).join(idx.docs, "doc_id"), spec
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK} SELECT doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM S")
+def rerank(spark, sf):
+    found, spec = _candidates(spark, sf)
+    return search.rerank(found, spec, c.NOW).select("doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK}, C AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS n FROM T) SELECT doc_id, host FROM C WHERE n <= 3")
+def per_site_cap(spark, sf):
+    found, _ = _candidates(spark, sf)
+    w = Window.partitionBy(urls.site_key(F.col("host"))).orderBy("rank")
+    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= search.PER_SITE).select("doc_id", "host")
+
+
+TITLE_KEY = r"substr(array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(title, '[^\p{L}\p{N}\s]', '', 'g')), '\s+'), lambda w: w <> '' AND w <> 'www' AND w <> string_split(host, '.')[1]), ''), 1, 48)"
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK}, C AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS n FROM T), K AS (SELECT *, {TITLE_KEY} AS key FROM C WHERE n <= 3), F AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY rank) AS m FROM K) SELECT doc_id, CAST(rank AS INT) AS rank FROM F WHERE key = '' OR m = 1")
+def title_dedupe(spark, sf):
+    found, _ = _candidates(spark, sf)
+    return search.dedupe(found).select("doc_id", "rank")
+
+
+SENSE = rf"regexp_replace(regexp_replace(host, '^(www[.])+', ''), '[.][^.]*$', '') || ':' || coalesce(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 4 AND t NOT IN ('tion', 'that', {c.quoted(V.SENSELESS_WORDS)}))[1], '')"
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f""", {RERANK}, G AS (SELECT *, row_number() OVER (PARTITION BY {SENSE} ORDER BY score DESC, rank) AS k, count(*) OVER () AS n FROM S WHERE rank <= 80),
+A AS (SELECT *, sum(CAST(k <= 3 AS INT)) OVER (ORDER BY score DESC, rank ROWS UNBOUNDED PRECEDING) AS upto FROM G), B AS (SELECT *, row_number() OVER (ORDER BY (n > 6 AND k <= 3 AND upto <= 10) DESC, score DESC, rank) AS place FROM A) SELECT doc_id, CAST(place AS INT) AS place FROM B WHERE place <= 20""")
+def diversify(spark, sf):
+    found, spec = _candidates(spark, sf)
+    return search.diversify(search.rerank(found.where("rank <= 80"), spec, c.NOW), spec.text, 20).select("doc_id", "place")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id, CASE WHEN contains(lower(body[1:240]), 'the') THEN body[1:240] ELSE title END AS snippet FROM D WHERE contains(lower(body[1:240]), 'the') OR NOT contains(lower(body), 'the')")
+def snippet(spark, sf):
+    d = c.corpus(spark, sf)
+    lead = F.contains(F.lower(F.substring("body", 1, 240)), F.lit("the"))
+    return d.where(lead | ~F.contains(F.lower("body"), F.lit("the"))).select("doc_id", search.snippet(["the"]).alias("snippet"))
+
+
+@query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, unnest(list_distinct({c.tokens_sql('body')})) AS term FROM D), S AS (SELECT term, count(*) AS df FROM T GROUP BY term), Q AS (SELECT * FROM (VALUES ('thbel', 1), ('tionnn', 2), ('thatt', 1)) v(word, most)),
+N AS (SELECT word, term, df, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS n FROM S JOIN Q ON substr(term, 1, 2) = substr(word, 1, 2) AND levenshtein(term, word) BETWEEN 1 AND most) SELECT word, term, df FROM N WHERE n = 1""")
+def suggest(spark, sf):
+    idx = index.build(c.corpus(spark, sf), None, ("body",))
+    return search.suggestions(idx, ["thbel", "tionnn", "thatt"])
+
+
+@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK}, C AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank) AS place FROM S) SELECT doc_id, CAST(place AS INT) AS place FROM C WHERE place > 10 AND place <= 20")
+def page_offset(spark, sf):
+    found, spec = _candidates(spark, sf)
+    ranked = search.rerank(found, spec, c.NOW)
+    return ranked.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "rank")).alias("place")).where("place > 10 and place <= 20")
+
+
+@query()
+def search_page(spark, sf):
+    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
+    return search.search(idx, "tion that", 20, 0, None, c.NOW)
+
+
+@query()
+def search_rss(spark, sf):
+    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
+    return search.rss_page(search.search(idx, "tion that", 10, 0, None, c.NOW), "tion that")
+
+
+# the frontier
+
+FRONTIER = f"""FR AS (SELECT page_id AS url_key, url, {c.site_sql("lower(regexp_extract(url, '^https?://([^/?#]*)', 1))")} AS site, page_id % 4 AS depth, page_id * 7 % 1000 AS enqueued_at, page_id % 50 = 0 AS priority FROM pages)"""
+
+
+def _frontier(spark, sf) -> DataFrame:
+    return c.table(spark, sf, "pages").select(
+        F.col("page_id").alias("url_key"), "url", urls.site_key(urls.host_of(F.col("url"))).alias("site"), (F.col("page_id") % 4).alias("depth"), F.lit(1.0).alias("score"), F.lit(0).alias("attempts"),
+        (F.col("page_id") * 7 % 1000).alias("enqueued_at"), (F.col("page_id") % 50 == 0).alias("priority"),
+    )
+
+
+@query(f"WITH {FRONTIER} SELECT url_key, site, CAST(row_number() OVER (PARTITION BY site ORDER BY priority DESC, depth, enqueued_at, url_key) AS INT) AS place FROM FR")
+def frontier_order(spark, sf):
+    return crawl.frontier_order(_frontier(spark, sf)).select("url_key", "site", "place")
+
+
+HOST_STATE = [("example.com", 5000, 0, False), ("example.net", 20_000, 0, False), ("example.org", 0, 0, True)]
+
+
+@query(f"WITH {FRONTIER}, F1 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, depth, enqueued_at, url_key) AS n FROM FR), HS AS (SELECT * FROM (VALUES ('example.com', 5000, 0, false), ('example.net', 20000, 0, false), ('example.org', 0, 0, true)) v(site, next_ms, ban, busy)) SELECT url_key, F1.site FROM F1 LEFT JOIN HS USING (site) WHERE n = 1 AND coalesce(next_ms, 0) <= 10000 AND coalesce(ban, 0) * 1000 <= 10000 AND NOT coalesce(busy, false)")
+def frontier_lease(spark, sf):
+    state = spark.createDataFrame(HOST_STATE, "site string, next_allowed_ms long, banned_until long, in_flight boolean")
+    return crawl.lease(_frontier(spark, sf), state, 10_000).select("url_key", "site")
+
+
+@query(f"WITH {FRONTIER} SELECT url_key, site FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY enqueued_at, url_key) AS n FROM FR) WHERE n <= 20")
+def site_budget(spark, sf):
+    n = F.row_number().over(Window.partitionBy("site").orderBy("enqueued_at", "url_key"))
+    return _frontier(spark, sf).withColumn("n", n).where("n <= 20").select("url_key", "site")
+
+
+WAITS = [(l, r, f) for l in (100, 3000, 40_000) for r in (0, 5000) for f in (0, 1, 3, 9)]
+
+
+@query("SELECT l AS latency, r AS robots, f AS failures, least(greatest(2000, r, l * 2) * CASE WHEN f > 0 THEN CAST(pow(2, least(f, 6)) AS BIGINT) ELSE 1 END, 30000) AS wait_ms FROM (VALUES " + ", ".join(str(w) for w in WAITS) + ") v(l, r, f)")
+def polite_wait(spark, sf):
+    w = spark.createDataFrame(WAITS, "latency int, robots int, failures int")
+    return w.withColumn("wait_ms", crawl.polite_wait_ms(F.col("latency"), F.col("robots"), F.col("failures")))
+
+
+FETCHES = [(200, True, 0, 0, None, None), (200, False, 0, 0, None, None), (304, False, 0, 0, None, None), (403, True, 0, 0, None, None), (429, True, 0, 0, 120, None), (429, True, 0, 0, None, None), (None, False, 1, 5, None, "timeout"), (None, False, 2, 1, None, "drip"), (500, True, 0, 0, None, None), (None, False, 2, 9, None, "other")]
+
+
+@query("""SELECT * FROM (VALUES (0, true, false, 0, 0), (1, true, false, 0, 0), (2, true, false, 0, 0), (3, false, false, 0, 0), (4, false, false, 120, 0), (5, false, false, 60, 0), (6, false, true, 0, 3600), (7, false, false, 0, 0), (8, false, true, 0, 0), (9, false, false, 0, 0)) v(i, ok, retry, penalty_s, ban_s)""")
+def status_routing(spark, sf):
+    rows = spark.createDataFrame([(i, *f) for i, f in enumerate(FETCHES)], "i int, status int, html boolean, attempts int, failures int, retry_after int, error string")
+    r = crawl.status_route(*(F.col(x) for x in ("status", "html", "attempts", "failures", "retry_after", "error")))
+    return rows.select("i", r.alias("r")).select("i", "r.ok", "r.retry", F.col("r.penalty_s").cast("int").alias("penalty_s"), F.col("r.ban_s").cast("int").alias("ban_s"))
+
+
+@query("""WITH E AS (SELECT event_id AS seq, 'u' || user_id AS site, event_id % 3 = 0 AS ok FROM events), R AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY site ORDER BY seq) AS g FROM E) SELECT seq, site, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY site, g ORDER BY seq) AS BIGINT) AS failures FROM R""")
+def failure_runs(spark, sf):
+    e = c.table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id")).alias("site"), (F.col("event_id") % 3 == 0).alias("ok"))
+    return crawl.failures_in_a_row(e).select("seq", "site", F.col("failures").cast("long").alias("failures"))
+
+
+@query("SELECT doc_id % 100 AS url_key, min(doc_id) AS first FROM documents WHERE doc_id % 100 NOT IN (SELECT doc_id % 7 FROM documents) GROUP BY doc_id % 100")
+def seen_dedupe(spark, sf):
+    d = c.table(spark, sf, "documents")
+    new = d.select((F.col("doc_id") % 100).alias("url_key"), F.col("doc_id").alias("first"), F.lit(0).alias("depth"), F.col("doc_id").alias("enqueued_at"))
+    seen = d.select((F.col("doc_id") % 7).alias("url_key")).distinct()
+    return crawl.push(new.limit(0), seen, new).select("url_key", "first")
+
+
+@query(f"SELECT doc_id AS url_key FROM documents WHERE doc_id % 3 = 0 OR {c.NOW} - ({c.NOW} - doc_id * 10000) >= 604800")
+def recrawl_stale(spark, sf):
+    d = c.table(spark, sf, "documents").select(F.col("doc_id").alias("url_key"))
+    seen = d.where("url_key % 3 <> 0").withColumn("seen_at", F.lit(c.NOW) - F.col("url_key") * 10_000)
+    return crawl.stale(d, seen, c.NOW, 604_800)
+
+
+@query(f"WITH {c.CORPUS} SELECT url, CAST(0.5 AS DOUBLE) AS score FROM D ORDER BY url LIMIT 250")
+def requeue_cap(spark, sf):
+    seen = spark.createDataFrame([], "url_key long, seen_at long")
+    return crawl.requeue(c.corpus(spark, sf), seen, c.NOW, crawl.CrawlConfig(max_pending=1000)).select("url", "score")
+
+
+@query()
+def frontier_expand(spark, sf):
+    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url")["links"].alias("links"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(c.NOW).cast("long").alias("fetched_at"))
+    return crawl.expand(p, _frontier(spark, sf), spark.createDataFrame([], "url_key long, seen_at long"), files.read_blocklist(spark)).select("url", "site", "depth", "score")
+
+
+# maintenance
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D ORDER BY fetched_at DESC, url DESC LIMIT 150")
+def prune_keep(spark, sf):
+    return maintain.prune(c.corpus(spark, sf), c.NOW, keep=150)[0].select("doc_id")
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE fetched_at >= {c.NOW} - 365 * 86400")
+def prune_age(spark, sf):
+    return maintain.prune(c.corpus(spark, sf), c.NOW, days=365)[0].select("doc_id")
+
+
+@query()
+def prune_bytes(spark, sf):
+    return maintain.prune(c.corpus(spark, sf), c.NOW, max_bytes=200_000)[0].select("doc_id")
+
+
+@query(f"WITH {c.SITES}, T AS (SELECT url, CASE WHEN page_id % 9 = 0 THEN 'Access denied' ELSE 'Fine' END AS title FROM PS WHERE page_id >= 0) SELECT url FROM T WHERE title <> 'Access denied'")
+def scrub(spark, sf):
+    d = c.table(spark, sf, "pages").select("url", F.when(F.col("page_id") % 9 == 0, "Access denied").otherwise("Fine").alias("title"))
+    kept, dropped = maintain.scrub(d)
+    return kept.select("url").unionByName(dropped.where(~text.junk_title(F.col("title"))).select("url"))
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id, CAST(0 AS DOUBLE) AS authority, '' AS description FROM D WHERE doc_id % 3 <> 0")
+def reindex_gap(spark, sf):
+    d = c.corpus(spark, sf)
+    return maintain.missing_from_index(d, d.where("doc_id % 3 = 0")).select("doc_id", "authority", "description")
+
+
+@query(f"WITH {c.CORPUS}, N AS (SELECT doc_id, url, fetched_at FROM D UNION ALL SELECT doc_id + 1000000, url, fetched_at + 5 FROM D WHERE doc_id % 4 = 0) SELECT url, max(doc_id) AS doc_id, max(fetched_at) AS fetched_at FROM N GROUP BY url")
+def doc_upsert(spark, sf):
+    d = c.corpus(spark, sf).select("doc_id", "url", "fetched_at")
+    new = d.where("doc_id % 4 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), "url", (F.col("fetched_at") + 5).alias("fetched_at"))
+    return maintain.upsert(d, new)
+
+
+@query(f"WITH {c.CORPUS} SELECT count(*) AS docs, sum(strlen(body)) AS bytes, count(DISTINCT host) AS sites, sum(CAST(kind = 'rss' AS INT)) AS rss FROM D")
+def doc_stats(spark, sf):
+    return maintain.stats(c.corpus(spark, sf)).select("docs", "bytes", "sites", "rss")
+
+
+@query(f"WITH {c.CORPUS} SELECT url, title, host, fetched_at, body AS text FROM D")
+def export_jsonl(spark, sf):
+    """Through the sink: written as JSON lines, read back as text, and parsed."""
+    path = new_path(spark, "export")
+    maintain.to_jsonl(c.corpus(spark, sf)).write.text(path)
+    parsed = F.from_json("value", "url string, title string, host string, fetched_at bigint, text string").alias("d")
+    return spark.read.text(path).select(parsed).select("d.*")
+
+
+@query(f"WITH {c.CORPUS} SELECT url, host, title, fetched_at, CASE WHEN strlen(body[1:160]) = 160 THEN body[1:160] ELSE body END AS description FROM D")
+def import_jsonl(spark, sf):
+    path = new_path(spark, "import")
+    maintain.to_jsonl(c.corpus(spark, sf)).write.text(path)
+    return files.read_jsonl(spark, path, c.NOW).select("url", "host", "title", "fetched_at", "description")
+
+
+# streams
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_seen_dedupe(spark, sf):
+    schema = c.table(spark, sf, "events").schema
+    stream = crawl_stream.read_tables(spark, sf, "events", schema).select("user_id")
+    return _streamed(crawl_stream.first_seen(stream, "user_id"), "append")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_kind_counts(spark, sf):
+    schema = c.table(spark, sf, "events").schema
+    stream = crawl_stream.read_tables(spark, sf, "events", schema).groupBy("event_type").agg(F.count("*").alias("n"))
+    return _streamed(stream, "complete")
+
+
+@query()
+def stream_politeness(spark, sf):
+    schema = c.table(spark, sf, "events").schema
+    e = crawl_stream.read_tables(spark, sf, "events", schema).select(
+        F.concat(F.lit("u"), F.col("user_id")).alias("site"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("at_ms"), (F.col("event_id") % 3 == 0).alias("ok"), (F.col("event_id") % 500).alias("latency_ms"), F.lit(0).alias("robots_ms")
+    )
+    return _streamed(crawl_stream.politeness(e), "append")
+
+
+def _streamed(stream: DataFrame, mode: str) -> DataFrame:
+    import uuid
+
+    return crawl_stream.run_available(stream, f"loam_{uuid.uuid4().hex}", mode)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
