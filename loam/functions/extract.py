@@ -181,7 +181,7 @@ def is_sitemap(body: Column) -> Column:
 
 
 def _web(links: Column) -> Column:
-    return F.filter(F.transform(links, F.trim), lambda u: u.startswith("http"))
+    return F.filter(F.transform(links, lambda u: F.trim(u)), lambda u: u.startswith("http"))
 
 
 def sitemap_urls(body: Column) -> Column:

@@ -186,7 +186,7 @@ def page_extract(spark, sf):
     return p.select("page_id", "e.title", "e.text", F.size("e.links").alias("n_links"), "e.noindex", "e.canonical")
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS n_links FROM pages")
+@query(r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS n_links FROM pages")
 def page_titles(spark, sf):
     p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
     return p.select("page_id", "e.title", F.size("e.links").cast("long").alias("n_links"))
@@ -622,7 +622,7 @@ def doc_upsert(spark, sf):
     return maintain.upsert(d, new)
 
 
-@query(f"WITH {c.CORPUS} SELECT count(*) AS docs, sum(strlen(body)) AS bytes, count(DISTINCT host) AS sites, sum(CAST(kind = 'rss' AS INT)) AS rss FROM D")
+@query(f"WITH {c.CORPUS} SELECT count(*) AS docs, CAST(sum(strlen(body)) AS BIGINT) AS bytes, count(DISTINCT host) AS sites, CAST(sum(CAST(kind = 'rss' AS INT)) AS BIGINT) AS rss FROM D")
 def doc_stats(spark, sf):
     return maintain.stats(c.corpus(spark, sf)).select("docs", "bytes", "sites", "rss")
 

@@ -116,7 +116,7 @@ def crawl_delay_ms(text: Column, agent: str) -> Column:
 
 
 def robots_sitemaps(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("(?m)^[Ss]itemap:(.*)$")), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit("(?m)^[Ss]itemap:(.*)$")), lambda u: F.trim(u))
 
 
 ENTRIES = T.ArrayType(T.StructType([T.StructField(k, T.StringType()) for k in ("link", "title", "body")] + [T.StructField("ts", T.LongType())]))

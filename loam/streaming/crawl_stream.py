@@ -31,10 +31,11 @@ def counts(stream: DataFrame, at: str, width: str, by: list[str], late: str = "1
     return stream.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"))
 
 
-def politeness(fetches: DataFrame, config: CrawlConfig = CrawlConfig(jitter_ms=0)) -> DataFrame:
+def politeness(fetches: DataFrame, config: CrawlConfig = CrawlConfig(jitter_ms=0), forget_after_s: int | None = None) -> DataFrame:
     """For each fetch (site, seq, at_ms, ok, latency_ms, robots_ms) the site's failures in a row and when it may be asked again.
 
-    State is two numbers a site; it is dropped a day after the site was last asked.
+    State is two numbers a site.  With ``forget_after_s`` it is dropped that
+    long after the site was last asked; such a stream has no end of its own.
     """
     low, high, factor = config.min_delay_ms, max(config.max_delay_ms, config.min_delay_ms), max(config.delay_factor, 0.0)
 
@@ -51,10 +52,11 @@ def politeness(fetches: DataFrame, config: CrawlConfig = CrawlConfig(jitter_ms=0
             allowed = int(r.at_ms) + min(wait, high)
             out.append((key[0], int(r.seq), failures, allowed))
         state.update((failures, allowed))
-        state.setTimeoutDuration(86_400_000)
+        if forget_after_s:
+            state.setTimeoutDuration(forget_after_s * 1000)
         yield pd.DataFrame(out, columns=["site", "seq", "failures", "next_allowed_ms"])
 
-    return fetches.groupBy("site").applyInPandasWithState(step, "site string, seq long, failures int, next_allowed_ms long", "failures int, allowed long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fetches.groupBy("site").applyInPandasWithState(step, "site string, seq long, failures int, next_allowed_ms long", "failures int, allowed long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after_s else GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(path: str, key: str = "url", order: str = "fetched_at") -> Callable[[DataFrame, int], None]:
