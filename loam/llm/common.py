@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,11 +43,29 @@ def text_key(text_column: str) -> Column:
 
 Columns = list[list | pa.Array]
 
+#: Bytes of texts that a map works on at a time; one longer text is worked on alone.
+TEXT_BYTES = 4 << 20
 
-def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str, each: Callable[[pa.RecordBatch], Columns], drop: Sequence[str] = ()) -> DataFrame:
+
+def slices(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``size`` bytes in the first column, if it has texts, or else the whole."""
+    if not pa.types.is_string(batch.schema.types[0]) and not pa.types.is_large_string(batch.schema.types[0]):
+        yield batch
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str, each: Callable[[pa.RecordBatch], Columns], drop: Sequence[str] = (), text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Rows of ``docs`` with further columns, worked out by ``each`` from Arrow batches of ``inputs``.
 
-    All other columns pass through.  A column whose name (in any case) is that
+    A call has at most ``text_bytes`` of the first input, if that is text.  All
+    other columns pass through.  A column whose name (in any case) is that
     of an added one is replaced by it.
     """
     added = T.StructType.fromDDL(added) if isinstance(added, str) else added
@@ -61,7 +81,7 @@ def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str,
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [f.type for f in to_arrow_schema(types)]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_bytes)):
             made = each(pa.RecordBatch.from_arrays(batch.columns[:k], names=list(inputs)))
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[k:], *made], names=names)
@@ -69,6 +89,72 @@ def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str,
     return docs.select(*wanted, *passed).mapInArrow(run, schema)
 
 
+class KeyFilter:
+    """A Bloom filter of fixed size over 64-bit keys: a key that it does not have is in no table it was made of.
+
+    It only spares rows a shuffle.  With many more keys than bits all rows pass,
+    and results are the same.
+    """
+
+    PAGE = 8192
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> list[np.ndarray]:
+        h = keys.view(np.uint64)
+        with np.errstate(over="ignore"):
+            return [(((h * np.uint64(m)) >> np.uint64(20)) % np.uint64(size)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+    @staticmethod
+    def of(keys: DataFrame, size_bytes: int) -> KeyFilter:
+        size, page = size_bytes * 8, KeyFilter.PAGE
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(size, bool)
+            for batch in batches:
+                for p in KeyFilter.places(batch.column(0).to_numpy(), size):
+                    bits[p] = True
+            packed = np.packbits(bits).reshape(-1, page)
+            used = np.flatnonzero(packed.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["page", "bits"])
+
+        def join(pdf):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            both = np.zeros(page, np.uint8)
+            for b in pdf["bits"]:
+                both |= np.frombuffer(b, np.uint8)
+            return pd.DataFrame({"page": pdf["page"][:1], "bits": [both.tobytes()]})
+
+        pages = keys.mapInArrow(mark, "page long, bits binary").groupBy("page").applyInPandas(join, "page long, bits binary")
+        bits = np.zeros(size_bytes, np.uint8)
+        for r in pages.collect():  # size_bytes in all
+            bits[r["page"] * page : (r["page"] + 1) * page] = np.frombuffer(r["bits"], np.uint8)
+        return KeyFilter(bits)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for p in self.places(keys, len(self.bits) * 8):
+            out &= (self.bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def passing(rows: DataFrame, maybe: KeyFilter, inside: bool, key: str = "row") -> DataFrame:
+    """Rows whose key the filter has, or has not."""
+    held = rows.sparkSession.sparkContext.broadcast(maybe)
+
+    @F.pandas_udf(T.BooleanType())
+    def has(keys):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(held.value.has(keys.to_numpy()))
+
+    test = has(key)
+    return rows.where(test if inside else ~test)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, root), root the smallest node that can be reached.
 

@@ -20,6 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
+SLICE_BYTES = 1 << 20  # of text at a time
+HELD_GRAMS = 1 << 20  # grams that a task gathers before it sums them up
 PAD = 2  # marks what lies before a text
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,20 +87,37 @@ def stream(texts: list[str | None], order: int) -> Stream:
 def gram_counts(rows: DataFrame, text: str, label: str, order: int) -> DataFrame:
     """Counts of all grams: (label, gram, n).  ``rows`` has columns text and label (string, not null).
 
-    Each Arrow batch is reduced to its distinct grams before anything is
-    shuffled, and the shuffle is by gram, so no class and no text makes a hot task.
+    Each task counts its own distinct grams before anything is shuffled, and the
+    shuffle is by gram, so no class and no text makes a hot task.
     """
     schema = "label string, gram long, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting = 0
+
+        def merge(least: int) -> Iterator[pa.RecordBatch]:
+            """Sum what is held, and give away what has ``least`` grams and more."""
+            nonlocal waiting
+            waiting = 0
+            for k in sorted(held):
+                grams, n, _ = _grouped(*(np.concatenate([x[i] for x in held[k]]) for i in (0, 1)))
+                if len(grams) >= least:
+                    del held[k]
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["label", "gram", "n"])
+                else:
+                    held[k] = [(grams, n.astype(np.int64))]
+
+        for batch in (part for whole in batches for part in slices(whole, SLICE_BYTES)):
             by: dict[str, list[str | None]] = {}
-            for t, k in zip(texts, labels, strict=True):
+            for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(k, []).append(t)
-            for k in sorted(by):
-                grams, n = np.unique(stream(by[k], order).codes, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], names=["label", "gram", "n"])
+            for k, texts in by.items():
+                held.setdefault(k, []).append(np.unique(stream(texts, order).codes, return_counts=True))
+                waiting += len(held[k][-1][0])
+            if waiting > HELD_GRAMS:
+                yield from merge(HELD_GRAMS)
+        yield from merge(0)
 
     found = rows.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(count, schema)
     return found.groupBy("label", "gram").agg(F.sum("n").alias("n"))

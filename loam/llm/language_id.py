@@ -97,7 +97,7 @@ class Scorer:
         last = shards - 1
         for shard in range(shards):
             out = docs if not shard else materialize(out)
-            out = map_texts(out, [text, carried] if shard else [text], added if shard == last else f"{carried} array<double>", scorer(shard), drop=(carried,))
+            out = map_texts(out, [text, carried] if shard else [text], added if shard == last else f"{carried} array<double>", scorer(shard), drop=(carried,), text_bytes=kn.SLICE_BYTES)
         return out
 
 
