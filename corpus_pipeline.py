@@ -23,7 +23,7 @@ def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects.  A null text has no words and is rejected."""
-    flagged = quality_rules.assess(docs.select("*", F.struct("*").alias("__row")))
+    flagged = quality_rules.assess(docs.select("text", F.struct("*").alias("__row")))
     return flagged.where("kept").select("__row.*")
 
 
@@ -38,10 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents whose ids are null are a group's choice only where it has no other.
     """
-    # Shingles have five words here; the contract of op9, which has three, binds that query alone.
-    groups = simhash.cluster(docs, width=5).select(F.col("doc_id").alias("__id"), "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct()
-    first = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns if c != "doc_id"]))
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")
+    found = simhash.cluster(docs)
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    # The choice among repeats is by the join's key, so that texts are dealt out once.
+    first = docs.select("*", key).join(chosen, "__id", "left_semi")
+    order = Window.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
     return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select([F.col(f"`{c}`") for c in docs.columns])
 
 
