@@ -6,8 +6,8 @@ windows mostly share one: about 7 % of the windows give one to the index.  The
 index is a set of sorted immutable runs (fp, n), one for each batch, that are
 merge-joined with a batch's own fingerprints and compacted into one.  Windows
 whose fingerprint occurs once are unique.  The others are verified: their whole
-word sequences are hashed and counted over all documents that hold a repeated
-fingerprint.
+word sequences are hashed, sent to where their fingerprint is dealt, and
+compared there.  What a batch of rows has twice itself is sent once.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, shared_folder
+from .common import KeyFilter, map_texts, materialize, passing, shared_folder, slices
 
 WIDTH = 35
 GRAM = 8
@@ -85,30 +85,29 @@ def window_fingerprints(rolling: Rolling, width: int, gram: int) -> tuple[np.nda
 
 
 def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(fp, n, id, row): fingerprints of each document's windows, with the number of gram places that have them.
+    """(fp, n, row): fingerprints of each document's windows, with the number of gram places that have them.
 
-    ``docs`` has columns id and text.
+    ``docs`` has columns row and text.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = []
-            for t in batch.column(2).to_pylist():
+            for t in batch.column(0).to_pylist():
                 grams, low = window_fingerprints(Rolling(split_words(t)), width, gram)
                 if not len(low):
                     found.append((low, low))
                     continue
-                # Windows of a place share it: a change of the minimum is a new place.
                 chosen = np.unique(low[np.concatenate([[True], low[1:] != low[:-1]])])
                 every = np.sort(grams)
                 found.append((chosen, np.searchsorted(every, chosen, "right") - np.searchsorted(every, chosen)))
             sizes = np.array([len(x) for x, _ in found], np.int64)
             take = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            fps, n = (np.concatenate([f[i] for f in found]).astype(np.uint64).view(np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n), batch.column(0).take(take), batch.column(1).take(take)], names=["fp", "n", "id", "row"])
+            fps = np.concatenate([f[0] for f in found]).astype(np.uint64).view(np.int64)
+            n = np.concatenate([f[1] for f in found]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n), batch.column(1).take(take)], names=["fp", "n", "row"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", F.xxhash64("text").alias("row"), "text").mapInArrow(each, f"fp long, n long, id {kind}, row long")
+    return docs.select("text", "row").mapInArrow(each, "fp long, n int, row long")
 
 
 class FingerprintIndex:
@@ -142,22 +141,129 @@ class FingerprintIndex:
         return self.append(merged)
 
     def repeated(self) -> DataFrame:
-        """Fingerprints that occur twice or more."""
-        return self.table().where("n > 1").select("fp")
+        """Fingerprints that occur twice or more: (fp, n)."""
+        return self.table().where("n > 1")
+
+
+#: Bytes of the filter of documents that have a repeated fingerprint.
+FILTER_BYTES = 4 << 20
+#: Places of a fingerprint beyond which its windows are dealt out by their own hashes.
+HOT = 50_000
+
+
+def _runs(starts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Ends of pieces of consecutive starts of one kind."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([(starts[1:] != starts[:-1] + 1) | (kinds[1:] != kinds[:-1]), [True]])) + 1
+
+
+def _twice(fps: np.ndarray, hashes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows (fp, hash) weigh two or more together, and which is the first of its kind."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(hashes * np.uint64(0x9E3779B97F4A7C15) + fps, kind="stable")
+    f, h = fps[order], hashes[order]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (h[1:] != h[:-1])]) if len(f) else np.zeros(0, bool)
+    kind = np.cumsum(new) - 1
+    n = np.bincount(kind, weights=weight[order])
+    twice, first = np.zeros(len(f), bool), np.zeros(len(f), bool)
+    twice[order], first[order] = n[kind] > 1, new
+    return twice, first
+
 
+def _windows(both: DataFrame, width: int, gram: int, marked: bool) -> DataFrame:
+    """Windows with a repeated fingerprint, of documents (id, row, text, known, hot), as runs of consecutive starts.
 
-def _window_hashes(text: str | None, known: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, fingerprint, hash) of the windows whose fingerprint is in the sorted array ``known``."""
-    rolling = Rolling(split_words(text))
-    _, low = window_fingerprints(rolling, width, gram)
-    if not len(low) or not len(known):
-        return (np.zeros(0, np.int64), low[:0], low[:0])
-    at = np.minimum(np.searchsorted(known, low), len(known) - 1)
-    starts = np.flatnonzero(known[at] == low)
-    return starts, low[starts], rolling.grams(width)[starts]
+    Columns: fp, deal, id, row, start, n, hashes, weight.  Runs of weight 0 are
+    known to be repeated and have no hashes; those of negative weight count and
+    need no mark.  ``marked`` False: no run of these documents needs one.
+    """
+    kind = both.schema["id"].dataType.simpleString()
+    names = ["fp", "deal", "id", "row", "start", "n", "hashes", "weight"]
+
+    def of(text: str | None, known: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        rolling = Rolling(split_words(text))
+        _, low = window_fingerprints(rolling, width, gram)
+        known = np.sort(known)
+        if not len(low) or not len(known):
+            return (np.zeros(0, np.int64), low[:0], low[:0], np.zeros(0, np.int64))
+        starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low)
+        hashes = rolling.grams(width)[starts]
+        deal = np.where(np.isin(low[starts], hot), (hashes >> np.uint64(54)).astype(np.int64) + 1, 0) if len(hot) else np.zeros(len(starts), np.int64)
+        return starts, low[starts], hashes, deal
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True)
+            parts = [of(t, k.values.to_numpy().view(np.uint64), h.values.to_numpy().view(np.uint64)) for t, k, h in rows]
+            if not parts:
+                continue
+            doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+            start, fp, h, deal = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            twice, first = _twice(fp, h, np.ones(len(h)))
+            for pick, weight in ((~twice, 1), (twice & first, -2), (twice, 0)):
+                i = np.flatnonzero(pick)
+                if not len(i) or not (weight or marked):
+                    continue
+                ends = _runs(start[i] + (doc[i] << 32), fp[i] ^ deal[i].astype(np.uint64))
+                begins = np.concatenate([[0], ends[:-1]])
+                where = i[begins]
+                take = pa.array(doc[where])
+                offsets = np.concatenate([[0], ends]) if weight else np.zeros(len(ends) + 1)
+                values = h[i] if weight else h[:0]
+                ids, keys = batch.column(3).take(take), batch.column(4).take(take)
+                # What needs no comparison is dealt out by row.
+                dealt = [pa.array(fp[where].view(np.int64)), pa.array(deal[where])] if weight else [keys, pa.array(np.full(len(ends), -1))]
+                columns = [
+                    *dealt, ids, keys, pa.array(start[where].astype(np.int32)), pa.array((ends - begins).astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64))), pa.array(np.full(len(ends), weight if marked else -abs(weight), np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.select("text", "known", "hot", "id", "row").mapInArrow(each, f"fp long, deal long, id {kind}, row long, start int, n int, hashes array<long>, weight int")
+
+
+def _verified(windows: DataFrame) -> DataFrame:
+    """(id, row, start, n): runs of repeated windows.  A fingerprint's windows (of one deal) meet in one task."""
+    kind = windows.schema["id"].dataType.simpleString()
+
+    def solve(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        names = ["id", "row", "start", "n"]
+        weight, start = rows.column("weight").to_numpy(), rows.column("start").to_numpy()
+        yield pa.RecordBatch.from_arrays([rows.column(c).filter(pa.array(weight == 0)) for c in names], names=names)
+        sizes = rows.column("hashes").value_lengths().to_numpy()
+        run = np.repeat(np.arange(rows.num_rows), sizes)
+        h = rows.column("hashes").flatten().to_numpy().view(np.uint64)
+        twice, _ = _twice(rows.column("fp").to_numpy().view(np.uint64)[run], h, np.abs(weight)[run])
+        i = np.flatnonzero(twice & (weight[run] > 0))
+        place = start[run[i]] + i - (np.cumsum(sizes) - sizes)[run[i]]
+        ends = _runs(place + (run[i] << 32), np.zeros(len(i)))
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+        take = pa.array(run[i][begins])
+        yield pa.RecordBatch.from_arrays([rows.column("id").take(take), rows.column("row").take(take), pa.array(place[begins].astype(np.int32)), pa.array((ends - begins).astype(np.int32))], names=names)
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < 1 << 16:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            fp, deal = rows.column("fp").to_numpy(), rows.column("deal").to_numpy()
+            other = np.flatnonzero((fp != fp[-1]) | (deal != deal[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from solve(rows.slice(0, cut))
+            held, n = [rows.slice(cut)], rows.num_rows - cut
+        if n:
+            yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return windows.repartition("fp", "deal").sortWithinPartitions("fp", "deal").mapInArrow(each, f"id {kind}, row long, start int, n int")
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, history: DataFrame | None = None, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``docs`` without the words that repeated windows cover: text (kept words, joined by a space), n_words, n_removed.
 
     A window counts as repeated if its words also start anywhere else in
@@ -169,57 +275,51 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     pass through; those named n_words or n_removed are replaced.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    key = F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")).alias("row")
+    keyed = lambda df: df.select(F.col(f"`{id}`").alias("id"), key, F.col(f"`{text}`").alias("text"))
+    rows = keyed(docs)
     own = materialize(fingerprints(rows, width, gram))
     index = (index or FingerprintIndex(spark)).append(own)
-    repeated = materialize(index.repeated())
-
-    def candidates(prints: DataFrame, of: DataFrame) -> DataFrame:
-        """Windows with a repeated fingerprint: (id, row, start, fp, hash), from the documents that have one."""
-        known = prints.join(repeated, "fp").groupBy(F.col("id").alias("kid"), F.col("row").alias("krow")).agg(F.collect_set("fp").alias("known"))
-        keyed = of.withColumn("row", F.xxhash64("text"))
-        both = keyed.join(known, (F.col("row") == F.col("krow")) & F.col("id").eqNullSafe(F.col("kid"))).select("id", "row", "text", "known")
-        kind = of.schema["id"].dataType.simpleString()
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for t, k in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                    found.append(_window_hashes(t, np.sort(k.values.to_numpy().view(np.uint64)), width, gram))
-                take = pa.array(np.repeat(np.arange(batch.num_rows), [len(f[0]) for f in found]).astype(np.int64))
-                start, fp, h = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(fp.astype(np.uint64).view(np.int64)), pa.array(h.astype(np.uint64).view(np.int64))], names=["id", "row", "start", "fp", "hash"]
-                )
-
-        return both.mapInArrow(each, f"id {kind}, row long, start int, fp long, hash long")
-
-    windows = materialize(candidates(own, rows))
-    counted = windows.select("fp", "hash")
+    repeated = index.repeated()
+
+    def known(prints: DataFrame) -> DataFrame:
+        """(key, known, hot): repeated fingerprints of each row, and those of them with very many places."""
+        places = F.collect_set("fp").alias("known"), F.collect_set(F.when(F.col("n") > hot, F.col("fp"))).alias("hot")
+        return prints.select("fp", "row").join(repeated, "fp").groupBy(F.col("row").alias("key")).agg(*places)
+
+    def candidates(of: DataFrame, fps: DataFrame, maybe: KeyFilter, marked: bool) -> DataFrame:
+        both = passing(of, maybe, True).join(fps, F.col("row") == F.col("key")).select("id", "row", "text", "known", "hot")
+        return _windows(both, width, gram, marked)
+
+    mine = materialize(known(own))
+    maybe = KeyFilter.of(mine.select("key"), filter_bytes)
+    windows = candidates(rows, mine, maybe, True)
     if history is not None:
-        past = history.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-        counted = counted.unionByName(candidates(fingerprints(past, width, gram), past).select("fp", "hash"))
-    # A window is known by 128 bits: its fingerprint and the hash of all its words.
-    twice = counted.groupBy("fp", "hash").agg(F.count("*").alias("n")).where("n > 1").select("fp", "hash")
-    # The right side is unique, so Spark may split the windows of a common passage among tasks.
-    hits = windows.join(twice, ["fp", "hash"]).groupBy(F.col("id").alias("__id"), F.col("row").alias("__hash")).agg(F.collect_set("start").alias("__starts"))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(f"`{text}`")))
-    both = keyed.join(hits, (F.col("__row") == F.col("__hash")) & F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left").drop("__id", "__hash", "__row")
+        past = keyed(history)
+        theirs = materialize(known(fingerprints(past, width, gram)))
+        windows = windows.unionByName(candidates(past, theirs, KeyFilter.of(theirs.select("key"), filter_bytes), False))
+    runs = F.collect_list(F.struct("start", "n")).alias("__runs")
+    marks = materialize(_verified(windows).distinct()).groupBy(F.col("id").alias("__id"), F.col("row").alias("__key")).agg(runs)
+    whole = docs.select(F.struct("*").alias("all"), key)
+    inner = [F.col(f"all.`{c}`").alias(c) for c in docs.columns]
+    clean = passing(whole, maybe, False).select(*inner, F.lit(None).cast("array<struct<start:int,n:int>>").alias("__runs"))
+    rest = passing(whole, maybe, True).select(*inner, F.col("row").alias("__row"))
+    joined = rest.join(marks, (F.col("__row") == F.col("__key")) & F.col(f"`{id}`").eqNullSafe(F.col("__id")), "left").drop("__id", "__key", "__row")
 
     def cut(batch: pa.RecordBatch) -> list:
         texts, sizes, gone = [], [], []
-        for t, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for t, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = split_words(t)
             sizes.append(len(words))
-            if starts:
-                at = np.array(starts, np.int64)
+            if runs:
                 cover = np.zeros(len(words) + 1, np.int64)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + width, -1)
+                for r in runs:
+                    cover[r["start"]] += 1
+                    cover[r["start"] + r["n"] + width - 1] -= 1
                 keep = np.cumsum(cover)[:-1] == 0
                 words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
             gone.append(sizes[-1] - len(words))
             texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
         return [texts, sizes, gone]
 
-    return map_texts(both, [text, "__starts"], f"`{text}` string, n_words long, n_removed long", cut, drop=("__starts",))
+    return map_texts(clean.unionByName(joined), [text, "__runs"], f"`{text}` string, n_words long, n_removed long", cut, drop=("__runs",))

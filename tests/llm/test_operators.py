@@ -144,8 +144,9 @@ def test_token_blocks_round_trip():
         assert [x.astype("<u4").tobytes() for x in token_files.decode_chunk(token_files.encode_chunk(raw))] == raw
 
 
-def test_substring_dedup(docs):
-    out = substring_dedup.remove_repeats(docs)
+@pytest.mark.parametrize(("hot", "bytes_"), [(substring_dedup.HOT, substring_dedup.FILTER_BYTES), (3, 8192)])
+def test_substring_dedup(docs, hot, bytes_):
+    out = substring_dedup.remove_repeats(docs, hot=hot, filter_bytes=bytes_)
     same(rows(out, "doc_id", "n_words", "n_removed", F.sha2("text", 256)), brute.substring_dedup(pairs(docs)))
 
 
