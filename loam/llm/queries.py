@@ -1,5 +1,7 @@
 """The registered queries of this package, and their SQL where SQL can say the same."""
 
+# ruff: noqa: F401
+
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, token_files, toxicity
 from .common import shared_folder
+from .oracles import oracle_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +66,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_copied")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +82,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     learned = labels.where(_crc(4) != 2).select("doc_id", "toxic")
-    model = toxicity.train(docs.join(learned, "doc_id"))
+    model = toxicity.train(toxicity.labelled(docs, learned))
     out = model.score(docs)
     return out.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
@@ -93,7 +96,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_token_files, op5_substring_dedup, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_simhash, op10_toxicity, pipeline]
     return {f.__name__: f for f in made}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

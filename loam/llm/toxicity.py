@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import map_texts, materialize
+from .common import KeyFilter, map_texts, materialize, passing
 from .language_id import MAX_GRAMS, ORDER, Scorer
 
 #: Orders below this one are counted over both classes together: what neither class shows often backs off alike.
@@ -77,6 +77,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0] / scale), float(beta[1])
 
 
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", filter_bytes: int = 4 << 20) -> DataFrame:
+    """``docs`` with the columns of ``labels``, for those that have a label.
+
+    Labels grow with the documents, so they are never broadcast: a filter of
+    fixed size spares most unlabelled texts the shuffle, and the join is the
+    same at every size.
+    """
+    hashed = F.xxhash64(F.col(f"`{key}`")).alias("__key")
+    maybe = passing(docs.select("*", hashed), KeyFilter.of(labels.select(hashed), filter_bytes), True, "__key").drop("__key")
+    return maybe.join(labels.hint("merge"), key)
+
+
 def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", order: int = ORDER, max_grams: int = MAX_GRAMS) -> Toxicity:
     """Learn from every row with a label of 0 or 1; other rows are left out, a null text counts as empty.
 
