@@ -62,12 +62,21 @@ def host_authority(links: DataFrame, url: str = "url") -> DataFrame:
     return hosts.groupBy("host").agg(F.count("*").alias("inlinks")).withColumn("authority", F.log1p("inlinks"))
 
 
-def running_authority(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """(seq, host, inlinks): links to a page's host from pages up to and with it; docs (seq, host), links (seq, host)."""
+def running_authority(docs: DataFrame, links: DataFrame, block: int = 100_000) -> DataFrame:
+    """(seq, host, inlinks): links to a page's host from pages up to and with it; docs (seq, host), links (seq, host).
+
+    Sums run within blocks of ``block`` numbers and over the blocks' totals, so
+    that a host with very many links is not one task's work.
+    """
     marks = links.groupBy("host", "seq").agg(F.count("*").alias("n")).select("host", "seq", "n", F.lit(False).alias("page"))
     rows = marks.unionByName(docs.select("host", "seq", F.lit(0).cast("long").alias("n"), F.lit(True).alias("page")))
-    total = F.sum("n").over(Window.partitionBy("host").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("inlinks", total).where("page").select("seq", "host", "inlinks")
+    rows = rows.withColumn("block", F.floor(F.col("seq") / block))
+    within = F.sum("n").over(Window.partitionBy("host", "block").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0))
+    before = F.sum("total").over(Window.partitionBy("host").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    totals = marks.groupBy("host", F.floor(F.col("seq") / block).alias("block")).agg(F.sum("n").alias("total"))
+    blocks = rows.select("host", "block").distinct().join(totals, ["host", "block"], "left").select("host", "block", F.coalesce("total", F.lit(0)).alias("total"))
+    earlier = blocks.withColumn("earlier", F.coalesce(before, F.lit(0))).drop("total")
+    return rows.withColumn("within", within).where("page").join(earlier, ["host", "block"]).select("seq", "host", (F.col("within") + F.col("earlier")).alias("inlinks"))
 
 
 def tarpit(html_text: Column, links: Column, host: Column, path: Column) -> Column:

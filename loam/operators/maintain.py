@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text, urls
@@ -19,9 +19,28 @@ def delete(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone.select("url"), "url", "left_anti")
 
 
-def _oldest_cut(docs: DataFrame, n: int) -> DataFrame:
-    """The n oldest (fetched_at, url), by a bounded top-n on the sort key and not by one sorted partition."""
-    return docs.select("fetched_at", "url").orderBy("fetched_at", "url").limit(n)
+def oldest(docs: DataFrame, n: int) -> DataFrame:
+    """(url) of the n oldest documents by (fetched_at, url), without sorting them all.
+
+    Counts by day and then by second, at most 86400 numbers, find the second
+    that the cut is in; only its documents are put in order.
+    """
+
+    def cut(rows: DataFrame, by: Column, left: int) -> tuple[int | None, int]:
+        """The group that the cut falls in, and how many of it are left to take."""
+        for r in rows.groupBy(by.alias("k")).agg(F.count("*").alias("n")).orderBy("k").toLocalIterator():
+            if r["n"] >= left:
+                return r["k"], left
+            left -= r["n"]
+        return None, 0
+
+    at = F.col("fetched_at")
+    day, left = cut(docs, F.floor(at / 86_400), n)
+    if day is None:
+        return docs.select("url")
+    inside = docs.where((at >= day * 86_400) & (at < (day + 1) * 86_400))
+    second, left = cut(inside, at, left)
+    return docs.where(at < second).select("url").unionByName(inside.where(at == second).select("url").orderBy("url").limit(left))
 
 
 def prune(docs: DataFrame, now: int, days: int | None = None, keep: int | None = None, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -34,14 +53,14 @@ def prune(docs: DataFrame, now: int, days: int | None = None, keep: int | None =
     if days is not None:
         dropped = docs.where(F.col("fetched_at") < now - days * 86_400).select("url")
     if keep is not None and (extra := docs.count() - keep) > 0:
-        dropped = dropped.unionByName(_oldest_cut(docs, extra).select("url")).distinct()
+        dropped = dropped.unionByName(oldest(docs, extra)).distinct()
     kept = delete(docs, dropped)
     for _ in range(4 if max_bytes is not None else 0):
         n, size = kept.agg(F.count("*"), F.sum(F.octet_length("body"))).first()
         if not size or size <= max_bytes or n <= 1:
             break
         target = max(1, int(max_bytes / size * n))
-        extra = _oldest_cut(kept, n - target).select("url")
+        extra = oldest(kept, n - target)
         dropped, kept = dropped.unionByName(extra), delete(kept, extra)
     return kept, dropped
 
@@ -66,8 +85,8 @@ def to_jsonl(docs: DataFrame) -> DataFrame:
 def to_json_array(docs: DataFrame, label: str = "") -> DataFrame:
     """Lines of one JSON array: brackets, a document a line, commas on lines of their own."""
     d = docs.select("url", F.to_json(F.struct("url", F.col("host").alias("domain"), "title", F.col("body").alias("text"), F.col("fetched_at").alias("added"), F.col("fetched_at").alias("updated"), F.lit(0).alias("type"), F.lit(label).alias("label"))).alias("value"))
-    first = d.agg(F.min("url").alias("first"))  # one row
-    body = d.crossJoin(F.broadcast(first)).select("url", F.explode(F.when(F.col("url") == F.col("first"), F.array("value")).otherwise(F.array(F.lit(","), F.col("value")))).alias("value"), F.lit(1).alias("part"))
+    first = d.agg(F.min("url")).first()[0]
+    body = d.select("url", F.explode(F.when(F.col("url") == F.lit(first), F.array("value")).otherwise(F.array(F.lit(","), F.col("value")))).alias("value"), F.lit(1).alias("part"))
     body = body.withColumn("comma", (F.col("value") != ",").cast("int"))
     edge = lambda v, part: docs.sparkSession.createDataFrame([("", v, part, 0)], "url string, value string, part int, comma int")
     return edge("[", 0).unionByName(body).unionByName(edge("]", 2)).orderBy("part", "url", "comma").select("value")
@@ -82,10 +101,10 @@ def compact(docs: DataFrame, path: str, partitions: int | None = None) -> None:
 def stats(docs: DataFrame, frontier: DataFrame | None = None, queries: DataFrame | None = None, uptime_s: float = 0.0) -> DataFrame:
     """One row of counters: documents, bytes, sites, queued, queries, mean query time, documents a minute."""
     out = docs.agg(F.count("*").alias("docs"), F.sum(F.octet_length("body")).alias("bytes"), F.count_distinct(urls.site_key(F.col("host"))).alias("sites"), F.sum((F.col("kind") == "rss").cast("int")).alias("rss"))
-    if frontier is not None:
-        out = out.crossJoin(frontier.agg(F.count("*").alias("queued"), F.count_distinct("site").alias("sites_queued")))
-    if queries is not None:
-        out = out.crossJoin(queries.agg(F.count("*").alias("queries"), F.avg("took_ms").alias("queries_avg_ms")))
+    more = [frontier.agg(F.count("*").alias("queued"), F.count_distinct("site").alias("sites_queued"))] if frontier is not None else []
+    more += [queries.agg(F.count("*").alias("queries"), F.avg("took_ms").alias("queries_avg_ms"))] if queries is not None else []
+    for counts in more:
+        out = out.withColumns({k: F.lit(v) for k, v in counts.first().asDict().items()})
     return out.withColumn("docs_per_min", F.col("docs") / uptime_s * 60 if uptime_s else F.lit(0.0))
 
 

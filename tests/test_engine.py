@@ -122,6 +122,14 @@ def test_hamming_pairs_equal_brute_force(spark):
     assert got == {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (hashes[i] ^ hashes[j]).bit_count() <= 3}
 
 
+def test_running_authority_across_blocks(spark):
+    rng = random.Random(9)
+    links = [(rng.randint(0, 50), f"h{rng.randint(0, 2)}") for _ in range(200)]
+    pages = [(i, f"h{i % 3}") for i in range(51)]
+    got = crawl.running_authority(spark.createDataFrame(pages, "seq long, host string"), spark.createDataFrame(links, "seq long, host string"), 7)
+    assert {(r.seq, r.host): r.inlinks for r in got.collect()} == {(s, h): sum(x <= s and y == h for x, y in links) for s, h in pages}
+
+
 def page(title, words, links=""):
     return f"<html><head><title>{title}</title></head><body><p>{words}</p>{links}</body></html>"
 
