@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import extract, text, urls
 from loam.functions import fixed_values as V
-from loam.operators import crawl, dedup, index, maintain, queryspec, search
+from loam.operators import crawl, dedup, index, maintain, queryspec, search, store
 from loam.operators.tables import new_path
 from loam.sources import files
 from loam.streaming import crawl_stream
@@ -643,6 +643,93 @@ def import_jsonl(spark, sf):
     return files.read_jsonl(spark, path, c.NOW).select("url", "host", "title", "fetched_at", "description")
 
 
+# the store
+
+
+@query(f"WITH {c.CORPUS} SELECT url, fetched_at FROM D")
+def doc_meta(spark, sf):
+    return store.doc_meta(c.corpus(spark, sf))
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id, title FROM D WHERE url = 'https://src3.test/d/3'")
+def point_lookup(spark, sf):
+    return store.get_doc(c.corpus(spark, sf), "https://src3.test/d/3").select("doc_id", "title")
+
+
+@query(f"WITH {FRONTIER} SELECT url_key, url FROM FR ORDER BY url_key LIMIT 40")
+def frontier_pop(spark, sf):
+    return store.pop_frontier(_frontier(spark, sf), 40)[0].select("url_key", "url")
+
+
+@query(f"WITH {FRONTIER} SELECT site, count(*) AS queued FROM FR WHERE url_key NOT IN (SELECT url_key FROM FR ORDER BY url_key LIMIT 20) GROUP BY site")
+def frontier_rest(spark, sf):
+    return store.pop_frontier(_frontier(spark, sf), 20)[1].groupBy("site").agg(F.count("*").alias("queued"))
+
+
+@query("WITH S AS (SELECT doc_id % 50 AS url_key, doc_id AS seen_at FROM documents UNION ALL SELECT doc_id, 500 FROM documents WHERE doc_id < 100) SELECT url_key, max(seen_at) AS seen_at FROM S GROUP BY url_key")
+def mark_seen(spark, sf):
+    d = c.table(spark, sf, "documents")
+    seen = d.select((F.col("doc_id") % 50).alias("url_key"), F.col("doc_id").alias("seen_at"))
+    return store.mark_seen(seen, d.where("doc_id < 100").select(F.col("doc_id").alias("url_key")), 500)
+
+
+@query(f"WITH {FRONTIER} SELECT url_key, site FROM FR WHERE site <> 'example.net'")
+def host_bans(spark, sf):
+    old = spark.createDataFrame([("example.com", c.NOW + 50), ("example.net", 5)], "site string, banned_until long")
+    new = spark.createDataFrame([("example.com", c.NOW - 1), ("example.net", c.NOW + 9)], "site string, banned_until long")
+    return store.not_banned(_frontier(spark, sf), store.ban_hosts(old, new), c.NOW).select("url_key", "site")
+
+
+@query("SELECT page_id AS url_key, page_id % 4 + 1 AS attempts FROM pages WHERE page_id % 4 < 2")
+def retry_rows(spark, sf):
+    return store.retry(_frontier(spark, sf).select("url_key", (F.col("url_key") % 4).alias("attempts")))
+
+
+KINDS = ["", "text/html; charset=utf-8", "TEXT/PLAIN", "application/rss+xml", "image/png", "application/json"]
+
+
+@query("SELECT kind, trim(kind) = '' OR regexp_matches(lower(kind), 'html|text/plain|xml') AS ok FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") v(kind)")
+def content_type_gate(spark, sf):
+    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", text.content_type_ok(F.col("kind")).alias("ok"))
+
+
+@query("SELECT event_id, event_id * 100 >= 65536 AND event_id * 100 / 1024 / 20.0 < 8 AS slow FROM events")
+def slow_drip_gate(spark, sf):
+    return c.table(spark, sf, "events").select("event_id", text.slow_drip(F.col("event_id") * 100, F.lit(20.0)).alias("slow"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'pow' WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'edge' ELSE 'none' END AS challenge FROM pages")
+def challenge_kinds(spark, sf):
+    i = F.col("page_id")
+    body = F.concat("html", F.when(i % 5 == 0, V.PROOF_OF_WORK_MARKS[0]).otherwise(""), F.when(i % 3 == 0, V.EDGE_MARKS[0]).otherwise(""))
+    return c.table(spark, sf, "pages").select("page_id", extract.challenge_kind(body, F.when(i % 2 == 0, 503).otherwise(200)).alias("challenge"))
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id, strftime(TIMESTAMP '1970-01-01' + to_seconds(fetched_at), '%a, %d %b %Y %H:%M:%S') || ' +0000' AS date, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') AS title FROM D")
+def rss_fields(spark, sf):
+    return c.corpus(spark, sf).select("doc_id", text.rss_date(F.col("fetched_at")).alias("date"), text.escape_xml(F.col("title")).alias("title"))
+
+
+@query(f"WITH {c.CORPUS} SELECT doc_id, CASE WHEN length(trim(body)) <= 240 THEN trim(body) ELSE trim(body)[1:240] || '...' END AS clipped FROM D")
+def clipped_texts(spark, sf):
+    return c.corpus(spark, sf).select("doc_id", text.clipped(F.col("body")).alias("clipped"))
+
+
+@query("SELECT page_id, page_id % 100 >= 48 AND strlen(html) < 2000 AS maze FROM pages")
+def link_maze(spark, sf):
+    return c.table(spark, sf, "pages").select("page_id", text.is_link_maze(F.col("html"), F.col("page_id") % 100).alias("maze"))
+
+
+@query(f"WITH {c.SITES} SELECT page_id, scheme <> '' AND host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.localhost') AND host <> '10.1.2.3' AS public FROM PS")
+def public_urls(spark, sf):
+    return c.page_urls(spark, sf).select("page_id", urls.url_is_public(F.col("url")).alias("public"))
+
+
+@query(f"WITH {c.CORPUS} SELECT kind, count(*) AS docs, count(DISTINCT host) AS hosts FROM D GROUP BY kind")
+def kind_counts(spark, sf):
+    return c.corpus(spark, sf).groupBy("kind").agg(F.count("*").alias("docs"), F.count_distinct("host").alias("hosts"))
+
+
 # streams
 
 
