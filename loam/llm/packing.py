@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .tokens import encoder
+from .tokens import BATCH, encoder
 
 OPEN_BINS = 4096
 WINDOW = 8192  # pieces that are put in order of length at a time
@@ -107,11 +107,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id:
             waiting.clear()
 
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                raw += end_id.to_bytes(4, "little")
-                for k, (start, length) in enumerate(pieces_of(len(raw) // 4, size)):
-                    part = raw[4 * start : 4 * (start + length)]
-                    waiting.append((key, k, start, length, zlib.crc32(part), (part,) if with_ids else ()))
+            for i in range(0, batch.num_rows, BATCH):
+                rows = batch.slice(i, BATCH)
+                for key, raw in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist()), strict=True):
+                    raw += end_id.to_bytes(4, "little")
+                    for k, (start, length) in enumerate(pieces_of(len(raw) // 4, size)):
+                        part = raw[4 * start : 4 * (start + length)]
+                        waiting.append((key, k, start, length, zlib.crc32(part), (part,) if with_ids else ()))
                 if len(waiting) >= WINDOW:
                     place()
                     yield from flush(fit.closed, False)

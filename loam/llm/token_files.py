@@ -26,65 +26,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tokens import encoder
+from .tokens import BATCH, encoder
 
 #: (ids in a word, bits of each) by selector; selector 0 is the escape.
 SELECTORS = [(1, 60), (2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (7, 8), (8, 7), (10, 6), (12, 5), (15, 4), (20, 3), (30, 2), (60, 1)]
 COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
-BLOCK = 1 << 16
+BLOCK = 1 << 12
+TOGETHER = BLOCK << 7  # ids whose blocks are encoded together
 CHUNK = 1 << 20  # ids after which a chunk ends
 HEAD = struct.Struct("<4sIQI")
 _WIDTH = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
 
 
-def encode_block(ids: np.ndarray) -> np.ndarray:
-    """Words of up to ``BLOCK`` ids: each takes the most ids that fit."""
-    n, most = len(ids), int(COUNTS.max())
-    ids = np.concatenate([ids, np.zeros(most, np.uint32)])
-    high = ids >> 16
-    power = {1: np.where(high > 0, 16 + _WIDTH[high], _WIDTH[ids & 0xFFFF]).astype(np.uint8)}
+def encode_blocks(ids: np.ndarray) -> list[np.ndarray]:
+    """Words of each block of ids.  From its start on, each word takes the most ids that fit; blocks advance together."""
+    n, pad = len(ids), int(COUNTS.max())
+    lanes = -(-n // BLOCK)
+    grid = np.zeros((lanes, BLOCK + pad), np.uint32)
+    full = n // BLOCK
+    grid[:full, :BLOCK] = ids[: full * BLOCK].reshape(full, BLOCK)
+    grid[full:, : n - full * BLOCK] = ids[full * BLOCK :]
+    flat = np.concatenate([grid.ravel(), np.zeros(pad, np.uint32)])
+    width = _WIDTH[flat & 0xFFFF]
+    if (high := flat >> 16).any():
+        width = np.where(high > 0, 16 + _WIDTH[high], width)
+    n, widest = grid.size, {1: width}  # of 1, 2, 4 ... ids from each on
     best = np.zeros(n, np.uint8)
     for s, (count, bits) in enumerate(SELECTORS[1:], 1):
         half = 1 << (count.bit_length() - 1)
-        for k in (1, 2, 4, 8, 16):
-            if k < half and 2 * k not in power:
-                power[2 * k] = np.maximum(power[k][:-k], power[k][k:])
-        w = power[half]
-        best[np.maximum(w[:n], w[count - half : count - half + n]) <= bits] = s
-    step, starts, i = COUNTS[best].tolist(), [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    at = np.array(starts, np.int64)
+        if half not in widest:
+            w = widest[half // 2]
+            widest[half] = np.maximum(w[: -(half // 2)], w[half // 2 :])
+        w = widest[half]
+        fits = np.maximum(w[:n], w[count - half : count - half + n]) <= bits
+        np.maximum(best, fits.view(np.uint8) * np.uint8(s), out=best)
+    sizes = np.full(lanes, BLOCK)
+    sizes[full:] = len(ids) - full * BLOCK
+    at = np.arange(lanes) * grid.shape[1]
+    ends, steps = at + sizes, []
+    step = COUNTS[best]
+    while len(at):
+        steps.append(at)
+        at = at + step[at]
+        live = at < ends
+        if not live.all():
+            at, ends = at[live], ends[live]
+    at = np.sort(np.concatenate(steps)) if steps else np.zeros(0, np.int64)
     selector = best[at]
-    words = selector.astype(np.uint64) << np.uint64(60)
+    words = selector.astype("<u8") << np.uint64(60)
     for s, (count, bits) in enumerate(SELECTORS):
         mine = np.flatnonzero(selector == s)
-        for j in range(count if len(mine) else 0):
-            words[mine] |= ids[at[mine] + j].astype(np.uint64) << np.uint64(j * bits)
-    return words
+        if len(mine):
+            taken = flat[at[mine][:, None] + np.arange(count)].astype(np.uint64)
+            words[mine] |= np.bitwise_or.reduce(taken << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
+    return np.split(words, np.searchsorted(at, np.arange(1, lanes) * grid.shape[1])) if lanes else []
 
 
-def decode_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of a block."""
+def decode_blocks(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of consecutive blocks, whose words begin at ``offsets``."""
     selector = (words >> np.uint64(60)).astype(np.int64)
     count = COUNTS[selector]
-    at = np.cumsum(count) - count
-    out = np.zeros(int(count.sum()), np.uint32)
-    for s, (c, bits) in enumerate(SELECTORS):
-        mine = np.flatnonzero(selector == s)
-        for j in range(c if len(mine) else 0):
-            out[at[mine] + j] = (words[mine] >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
+    ends = np.cumsum(count)
+    block = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    before = np.concatenate([[0], ends])[offsets[:-1]]
+    at = ends - count - before[block] + block * BLOCK  # what a block's last word has in excess is overwritten or cut
+    out = np.zeros(n + BLOCK + int(COUNTS.max()), np.uint32)
+    last = np.zeros(len(words), bool)
+    last[offsets[1:] - 1] = True
+    for pick in (last, ~last):
+        for s, (c, bits) in enumerate(SELECTORS):
+            mine = np.flatnonzero((selector == s) & pick)
+            if len(mine):
+                spread = np.arange(c)
+                out[at[mine][:, None] + spread] = (words[mine][:, None] >> (spread.astype(np.uint64) * np.uint64(bits))) & np.uint64((1 << bits) - 1)
     return out[:n]
 
 
 def encode_chunk(documents: list[bytes]) -> bytes:
     """Payload of documents, each its ids as little-endian unsigned 32-bit integers."""
     ids = np.frombuffer(b"".join(documents), "<u4")
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    blocks = [b for i in range(0, len(ids), TOGETHER) for b in encode_blocks(ids[i : i + TOGETHER])]
     offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
     sizes = np.array([len(d) // 4 for d in documents], "<u4")
-    return b"".join([HEAD.pack(b"LS8B", len(documents), len(ids), len(blocks)), sizes.tobytes(), offsets.tobytes(), *(b.astype("<u8").tobytes() for b in blocks)])
+    return b"".join([HEAD.pack(b"LS8B", len(documents), len(ids), len(blocks)), sizes.tobytes(), offsets.tobytes(), *(b.tobytes() for b in blocks)])
 
 
 def decode_chunk(payload: bytes) -> list[np.ndarray]:
@@ -98,8 +122,7 @@ def decode_chunk(payload: bytes) -> list[np.ndarray]:
     offsets = np.frombuffer(payload, "<u8", n_blocks + 1, at).astype(np.int64)
     at += offsets.nbytes
     words = np.frombuffer(payload, "<u8", int(offsets[-1]), at)
-    parts = [decode_block(words[offsets[i] : offsets[i + 1]], min(BLOCK, n_ids - i * BLOCK)) for i in range(n_blocks)]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    ids = decode_blocks(words, offsets, n_ids)
     return np.split(ids, np.cumsum(sizes.astype(np.int64))[:-1]) if n_docs else []
 
 
@@ -131,12 +154,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id: str =
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for key, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                keys.append(key)
-                raws.append(raw + end)
-                held += len(raw) // 4 + 1
-                if held >= CHUNK:
-                    yield chunk()
+            for i in range(0, batch.num_rows, BATCH):
+                part = batch.slice(i, BATCH)
+                for key, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+                    keys.append(key)
+                    raws.append(raw + end)
+                    held += len(raw) // 4 + 1
+                    if held >= CHUNK:
+                        yield chunk()
         if keys:
             yield chunk()
 
