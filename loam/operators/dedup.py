@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import saved
 
 
-def bands(hash_: Column, n: int = 4, bits: int = 64) -> Column:
-    """array<struct<band, value>>: of n equal parts one agrees if under n bits differ."""
-    size = bits // n
-    part = lambda i: F.shiftrightunsigned(hash_, i * size).bitwiseAND((1 << size) - 1)
-    return F.array(*[F.struct(F.lit(i).alias("band"), part(i).alias("value")) for i in range(n)])
+def bands(hash_: Column, blocks: int, keep: int, bits: int = 64) -> Column:
+    """array<struct<band, value>>: the bits of every ``keep`` of ``blocks`` parts.
+
+    Hashes that differ in at most ``blocks - keep`` bits agree in one of them.
+    """
+    sizes = [bits // blocks + (i < bits % blocks) for i in range(blocks)]
+    lows = [sum(sizes[:i]) for i in range(blocks)]
+    out = []
+    for n, chosen in enumerate(combinations(range(blocks), keep)):
+        value = F.lit(0).cast("long")
+        for i in chosen:
+            value = F.shiftleft(value, sizes[i]).bitwiseOR(F.shiftrightunsigned(hash_, lows[i]).bitwiseAND((1 << sizes[i]) - 1))
+        out.append(F.struct(F.lit(n).alias("band"), value.alias("value")))
+    return F.array(*out)
+
+
+def banding(n: int, most: int, bits: int = 64) -> tuple[int, int]:
+    """(blocks, keep) for n hashes: keys long enough that about 16 random hashes share one, in as few bands as that takes."""
+    for extra in range(1, 5):
+        if extra * bits // (most + extra) >= max(1, n).bit_length() - 4 or most + extra == bits:
+            return most + extra, extra
+    return most + 4, 4
 
 
 def hamming_pairs(rows: DataFrame, most: int = 3, bits: int = 64, key: str = "id", hash_: str = "simhash") -> DataFrame:
     """(a, b): keys a < b whose hashes differ in at most ``most`` bits; hashes of 0 are left out.
 
     The join is of distinct hashes, so that many equal ones meet once; equal
-    hashes pair each member with the first one only.
+    hashes pair each member with the first one only.  The more hashes there are,
+    the longer are the keys that they are joined by.
     """
     live = rows.where(F.col(hash_) != 0).select(F.col(key).alias("k"), F.col(hash_).alias("h"))
-    leaves = live.groupBy("h").agg(F.min("k").alias("first"))
-    x = leaves.select("h", "first", F.explode(bands(F.col("h"), most + 1, bits)).alias("b")).select("h", "first", "b.band", "b.value")
+    leaves = saved(live.groupBy("h").agg(F.min("k").alias("first")))
+    blocks, keep = banding(leaves.count(), most, bits)
+    x = leaves.select("h", "first", F.explode(bands(F.col("h"), blocks, keep, bits)).alias("b")).select("h", "first", "b.band", "b.value")
     y = x.select(F.col("h").alias("h2"), F.col("first").alias("first2"), "band", "value")
     near = x.join(y, ["band", "value"]).where((F.col("first") < F.col("first2")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("h2"))) <= most))
     apart = near.select(F.col("first").alias("a"), F.col("first2").alias("b")).distinct()

@@ -114,7 +114,14 @@ def test_greedy_near_duplicates_equal_the_sequential_walk(spark):
         assert sorted(r.id for r in dedup.greedy_kept(rows).collect()) == [i for i, _ in kept], seed
 
 
-def test_hamming_pairs_equal_brute_force(spark):
+def test_banding_grows_with_the_table():
+    assert dedup.banding(1000, 3) == (4, 1) and dedup.banding(10**6, 3) == (4, 1)
+    assert dedup.banding(10**8, 3) == (5, 2) and dedup.banding(10**10, 3) == (6, 3)
+
+
+@pytest.mark.parametrize("keep", [1, 2, 3])
+def test_hamming_pairs_equal_brute_force(spark, keep, monkeypatch):
+    monkeypatch.setattr(dedup, "banding", lambda n, most, bits=64: (most + keep, keep))
     rng = random.Random(4)
     base = [rng.getrandbits(63) for _ in range(20)]
     hashes = sorted({b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base for _ in range(6)})
