@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loam.functions.text import ALNUM
 
+from .tables import saved
+
 FIELDS = ("title", "body", "description")
 BOOSTS = {"title": 4.0, "body": 1.0, "description": 2.0}
 K1, B = 1.2, 0.75
@@ -45,19 +47,22 @@ class Index:
 def build(docs: DataFrame, terms: list[str] | None = None, fields: tuple[str, ...] = FIELDS) -> Index:
     """An index of ``docs`` (doc_id and the fields).
 
-    With ``terms`` only their postings are made, in the scan itself, without a
+    With ``terms`` only their postings are made, in one scan and without a
     shuffle; statistics of fields are those of all tokens either way.
     """
     each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens")) for f in fields])
     rows = docs.select("doc_id", F.explode(each).alias("f")).select("doc_id", "f.field", "f.tokens")
-    lengths = rows.select("doc_id", "field", F.size("tokens").alias("len"))
     if terms is not None:
         wanted = F.array(*[F.lit(t) for t in sorted(set(terms))]) if terms else F.array().cast("array<string>")
-        here = F.array_intersect(F.col("tokens"), wanted)
         place = lambda t: F.filter(F.transform("tokens", lambda x, i: F.when(x == t, i)), lambda i: i.isNotNull())
-        found = rows.select("doc_id", "field", F.explode(F.transform(here, lambda t: F.struct(t.alias("term"), place(t).alias("positions")))).alias("p"))
+        hits = F.transform(F.array_intersect(F.col("tokens"), wanted), lambda t: F.struct(t.alias("term"), place(t).alias("positions")))
+        # Texts are read and cut into tokens once; all tables come of what is written here.
+        slim = saved(rows.select("doc_id", "field", F.size("tokens").alias("len"), hits.alias("hits")))
+        lengths = slim.select("doc_id", "field", "len")
+        found = slim.select("doc_id", "field", F.explode("hits").alias("p"))
         postings = found.select("p.term", "field", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
     else:
+        lengths = rows.select("doc_id", "field", F.size("tokens").alias("len"))
         placed = rows.select("doc_id", "field", F.posexplode("tokens").alias("at", "term"))
         postings = placed.groupBy("term", "field", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
     stats = postings.groupBy("term", "field").agg(F.count("*").alias("df"))
