@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -47,6 +48,45 @@ Columns = list[list | pa.Array]
 TEXT_BYTES = 4 << 20
 
 
+#: Rows of texts that go to Python workers at a time; Spark's own default suits short rows.
+ROWS_AT_A_TIME = 2000
+
+
+def long_rows(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand texts over in small batches, unless it does already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_AT_A_TIME:
+        conf.set(key, str(ROWS_AT_A_TIME))
+    return df
+
+
+def _trim() -> None:
+    """Give memory that is free back to the machine: a worker idles between tasks with all it has kept."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, giving memory back after each batch and at its end."""
+
+    def inner(batches: Batches) -> Batches:
+        def watched() -> Batches:
+            for batch in batches:
+                yield batch
+                del batch
+                _trim()
+
+        yield from run(watched())
+        _trim()
+
+    return inner
+
+
 def slices(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``size`` bytes in the first column, if it has texts, or else the whole."""
     if not pa.types.is_string(batch.schema.types[0]) and not pa.types.is_large_string(batch.schema.types[0]):
@@ -86,14 +126,14 @@ def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str,
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[k:], *made], names=names)
 
-    return docs.select(*wanted, *passed).mapInArrow(run, schema)
+    return long_rows(docs.select(*wanted, *passed)).mapInArrow(tidied(run), schema)
 
 
 class KeyFilter:
     """A Bloom filter of fixed size over 64-bit keys: a key that it does not have is in no table it was made of.
 
-    It only spares rows a shuffle.  With many more keys than bits all rows pass,
-    and results are the same.
+    It only spares rows a shuffle.  With very many keys all rows pass, and
+    results are the same.
     """
 
     PAGE = 8192
@@ -110,6 +150,8 @@ class KeyFilter:
     @staticmethod
     def of(keys: DataFrame, size_bytes: int) -> KeyFilter:
         size, page = size_bytes * 8, KeyFilter.PAGE
+        if keys.count() > size // 2:
+            return KeyFilter(np.full(size_bytes, 255, np.uint8))  # too many keys to tell any apart
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros(size, bool)
@@ -128,7 +170,7 @@ class KeyFilter:
                 both |= np.frombuffer(b, np.uint8)
             return pd.DataFrame({"page": pdf["page"][:1], "bits": [both.tobytes()]})
 
-        pages = keys.mapInArrow(mark, "page long, bits binary").groupBy("page").applyInPandas(join, "page long, bits binary")
+        pages = keys.repartition(32).mapInArrow(mark, "page long, bits binary").groupBy("page").applyInPandas(join, "page long, bits binary")
         bits = np.zeros(size_bytes, np.uint8)
         for r in pages.collect():  # size_bytes in all
             bits[r["page"] * page : (r["page"] + 1) * page] = np.frombuffer(r["bits"], np.uint8)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import long_rows, slices, tidied
 
 SLICE_BYTES = 1 << 20  # of text at a time
 HELD_GRAMS = 1 << 20  # grams that a task gathers before it sums them up
@@ -119,7 +119,7 @@ def gram_counts(rows: DataFrame, text: str, label: str, order: int) -> DataFrame
                 yield from merge(HELD_GRAMS)
         yield from merge(0)
 
-    found = rows.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).mapInArrow(count, schema)
+    found = long_rows(rows.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"))).mapInArrow(tidied(count), schema)
     return found.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 

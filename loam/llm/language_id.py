@@ -60,8 +60,8 @@ class Scorer:
             out[k] = c[label == k][by], n[label == k][by].astype(np.float64)
         return out
 
-    def apply(self, docs: DataFrame, text: str, added: str, finish: Callable[[np.ndarray, np.ndarray, kn.Stream], list], words: bool = False) -> DataFrame:
-        """``docs`` with the columns ``added``, which ``finish`` makes of a batch's sums.
+    def apply(self, docs: DataFrame, text: str, added: str, finish: Callable[[np.ndarray, np.ndarray, kn.Stream], list], words: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
+        """``docs``, less the columns ``drop``, with the columns ``added``, which ``finish`` makes of a batch's sums.
 
         It gets the log-probability sums (units, labels), the text of each unit,
         and the stream.  A unit is a text or, with ``words``, one of its words.
@@ -97,7 +97,7 @@ class Scorer:
         last = shards - 1
         for shard in range(shards):
             out = docs if not shard else materialize(out)
-            out = map_texts(out, [text, carried] if shard else [text], added if shard == last else f"{carried} array<double>", scorer(shard), drop=(carried,), text_bytes=kn.SLICE_BYTES)
+            out = map_texts(out, [text, carried] if shard else [text], added if shard == last else f"{carried} array<double>", scorer(shard), drop=(carried, *(drop if shard == last else ())), text_bytes=kn.SLICE_BYTES)
         return out
 
 
@@ -107,8 +107,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", order: int =
     return Scorer(materialize(kn.gram_counts(known, text, label, order)), order, max_grams)
 
 
-def identify(docs: DataFrame, scorer: Scorer, text: str = "text", reject_at: float = 6.0) -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy and rejected.
+def identify(docs: DataFrame, scorer: Scorer, text: str = "text", reject_at: float = 6.0, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, less the columns ``drop``, with lang_pred, score, cross_entropy and rejected.
 
     The language is the one of lowest cross-entropy per character; ``und`` where
     the text is null, has no letter, or nothing was learned.  ``score`` is its
@@ -138,4 +138,4 @@ def identify(docs: DataFrame, scorer: Scorer, text: str = "text", reject_at: flo
         far = (lowest - mean[best]) / (spread[best] / np.sqrt(n)) > reject_at
         return [[labels[b] if k else "und" for b, k in zip(best, known, strict=True)], np.where(known, share, 0.0), pa.array(lowest, mask=~known), far | ~known]
 
-    return scorer.apply(docs, text, "lang_pred string, score double, cross_entropy double, rejected boolean", decide)
+    return scorer.apply(docs, text, "lang_pred string, score double, cross_entropy double, rejected boolean", decide, drop=drop)

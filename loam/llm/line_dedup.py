@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cuckoo
-from .common import map_texts, materialize, text_key
+from .common import long_rows, map_texts, materialize, text_key, tidied
 
 #: Bound of what is broadcast: filters of about 12 million lines that are to go.
 MAX_FILTER_BYTES = 64 << 20
@@ -52,7 +52,7 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             seen.pop(b"", None)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
 
-    return docs.select(F.col(f"`{text}`").alias("t")).mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return long_rows(docs.select(F.col(f"`{text}`").alias("t"))).mapInArrow(tidied(count), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class LineIndex:
@@ -144,7 +144,7 @@ class LineIndex:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(keys, known, strict=True) if x], pa.binary())], names=["key"])
 
         # The exact table names the few infrequent keys that a filter takes for frequent ones: under 1 in 10^8.
-        false = materialize(self.counts.where(F.col("n") < self.threshold).select("key").mapInArrow(wrong, "key binary"))
+        false = materialize(self.counts.where(F.col("n") < self.threshold).select("key").mapInArrow(tidied(wrong), "key binary"))
         if false.count() > self.max_filter_bytes // 64:
             return self._strip_joined(docs, text)
         spared = self.spark.sparkContext.broadcast({bytes(r["key"]) for r in false.collect()})
@@ -173,7 +173,7 @@ class LineIndex:
                 rows = [(r, i, k) for r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, k in enumerate(_keys(t)) if k]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["__key", "line", "key"])
 
-        lines = spelled.select("__key", F.col(f"`{text}`")).mapInArrow(explode, "__key string, line int, key binary")
+        lines = spelled.select("__key", F.col(f"`{text}`")).mapInArrow(tidied(explode), "__key string, line int, key binary")
         gone = lines.join(self.counts.where(F.col("n") >= self.threshold), "key").groupBy("__key").agg(F.collect_set("line").alias("__gone"))
         both = spelled.join(gone, "__key", "left").drop("__key")
 

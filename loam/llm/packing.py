@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import long_rows, materialize, tidied
 from .tokens import BATCH, encoder
 
 OPEN_BINS = 4096
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id:
         yield from flush([b for b in placed if b not in roomy], False)
         yield from flush(roomy, True)
 
-    first = materialize(docs.select(F.col(f"`{id}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(phase1, schema))
+    first = materialize(long_rows(docs.select(F.col(f"`{id}`").alias("k"), F.col(f"`{text}`").alias("t"))).mapInArrow(tidied(phase1), schema))
     shut = first.where(~F.col("open")).withColumnRenamed("bin", "sequence_id").drop("open")
     left = first.where("open")
     places = merge(left.groupBy("bin").agg(F.sum("length").alias("fill")), size, open_bins)

@@ -42,7 +42,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scorer = language_id.train(docs.where(F.coalesce(_crc(3) != 1, F.lit(False))))
-    out = language_id.identify(docs.select("doc_id", "text"), scorer)
+    out = language_id.identify(docs.select("doc_id", "text"), scorer, drop=("text",))
     return out.select("doc_id", F.coalesce(_crc(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
@@ -83,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     learned = labels.where(_crc(4) != 2).select("doc_id", "toxic")
     model = toxicity.train(toxicity.labelled(docs, learned))
-    out = model.score(docs)
+    out = model.score(docs, drop=("text",))
     return out.select("doc_id", F.coalesce(_crc(4) == 2, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, materialize
+from .common import components, map_texts, materialize, tidied
 
 #: Fingerprints with the same block value beyond which a trie is split into cells by its next 8 bits.
 CELL = 50_000
@@ -49,13 +49,13 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """``docs`` with simhash (long, two's complement).  A null text has no words."""
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 3, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with simhash (long, two's complement), less the columns ``drop``.  A null text has no words."""
 
     def each(batch: pa.RecordBatch) -> list:
         return [np.array([fingerprint(t, width) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)]
 
-    return map_texts(docs, [text], "simhash long", each)
+    return map_texts(docs, [text], "simhash long", each, drop)
 
 
 def trie_pairs(values: np.ndarray, groups: np.ndarray, bits: int, budget: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,7 +199,7 @@ def links(prints: DataFrame, budget: int = 2, cell: int = CELL) -> DataFrame:
 
     # "rest" is compared as unsigned bits: flipping the top one makes Spark's order that of the trie.
     order = F.col("rest").bitwiseXOR(F.lit(-(1 << 63)))
-    return dealt.repartition(*key).sortWithinPartitions(*key, order).select(*key, "rest").mapInArrow(join, "u long, v long")
+    return dealt.repartition(*key).sortWithinPartitions(*key, order).select(*key, "rest").mapInArrow(tidied(join), "u long, v long")
 
 
 def cluster(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, cell: int = CELL) -> DataFrame:
@@ -209,7 +209,7 @@ def cluster(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
     a word have fingerprint 0 and link like any other.  Null ids are never the
     smallest unless all are null.  One row for each row of ``docs``.
     """
-    prints = materialize(fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", width).select("id", "simhash"))
+    prints = materialize(fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", width, ("text",)))
     leaves = materialize(prints.groupBy("simhash").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     linked = components(links(leaves.select("simhash"), budget, cell))
     own = leaves.join(linked, leaves["simhash"] == linked["node"], "left").select("simhash", "first", "n", F.coalesce("root", "simhash").alias("root"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, map_texts, materialize, passing, shared_folder, slices
+from .common import KeyFilter, long_rows, map_texts, materialize, passing, shared_folder, slices, tidied
 
 WIDTH = 35
 GRAM = 8
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
             n = np.concatenate([f[1] for f in found]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(n), batch.column(1).take(take)], names=["fp", "n", "row"])
 
-    return docs.select("text", "row").mapInArrow(each, "fp long, n int, row long")
+    return long_rows(docs.select("text", "row")).mapInArrow(tidied(each), "fp long, n int, row long")
 
 
 class FingerprintIndex:
@@ -220,7 +220,7 @@ def _windows(both: DataFrame, width: int, gram: int, marked: bool) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return both.select("text", "known", "hot", "id", "row").mapInArrow(each, f"fp long, deal long, id {kind}, row long, start int, n int, hashes array<long>, weight int")
+    return long_rows(both.select("text", "known", "hot", "id", "row")).mapInArrow(tidied(each), f"fp long, deal long, id {kind}, row long, start int, n int, hashes array<long>, weight int")
 
 
 def _verified(windows: DataFrame) -> DataFrame:
@@ -260,7 +260,7 @@ def _verified(windows: DataFrame) -> DataFrame:
         if n:
             yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    return windows.repartition("fp", "deal").sortWithinPartitions("fp", "deal").mapInArrow(each, f"id {kind}, row long, start int, n int")
+    return windows.repartition("fp", "deal").sortWithinPartitions("fp", "deal").mapInArrow(tidied(each), f"id {kind}, row long, start int, n int")
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, index: FingerprintIndex | None = None, history: DataFrame | None = None, hot: int = HOT, filter_bytes: int = FILTER_BYTES) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import long_rows, tidied
 from .tokens import BATCH, encoder
 
 #: (ids in a word, bits of each) by selector; selector 0 is the escape.
@@ -167,7 +168,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id: str =
 
     rows = docs.select(F.col(f"`{id}`").alias("k"), F.col(f"`{text}`").alias("t"))
     order = ["k", F.xxhash64("t")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(chunks, schema).write.option("compression", "none").parquet(path)
+    long_rows(rows).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(tidied(chunks), schema).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -197,4 +198,4 @@ def read(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = Tr
                 columns += [[x.astype(np.int64) for x in ids]] if with_ids else []
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return table.select("shard", "local_start", "doc_ids", "payload").mapInArrow(decode, schema)
+    return table.select("shard", "local_start", "doc_ids", "payload").mapInArrow(tidied(decode), schema)

@@ -9,10 +9,11 @@ from functools import lru_cache
 import numpy as np
 
 BATCH = 512  # texts that callers hand over at a time
-PART_BYTES = 1 << 19  # of text that is looked up together; a longer text is encoded whole
+PART_BYTES = 1 << 18  # of text that is looked up together; a longer text is encoded whole
 #: Words that a worker holds; beyond that the store starts anew.
-HELD_WORDS = 1_500_000
-CELLS = 1 << 22
+HELD_WORDS = 400_000
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS
 LONGEST = 512  # bytes of a word that is looked up; texts with longer ones are encoded whole
 FIRST = 0xFF  # stands before a text; no UTF-8 has it
 _BASE = 0x9E3779B97F4A7C15
@@ -64,7 +65,7 @@ class Encoder:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, or -1."""
-        at = (hashes >> np.uint64(42)).astype(np.int64)
+        at = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
         out, left = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
         while len(left):
             key = self.keys[at]
@@ -75,7 +76,7 @@ class Encoder:
         return out
 
     def _insert(self, hashes: np.ndarray, slots: np.ndarray) -> None:
-        at = (hashes >> np.uint64(42)).astype(np.int64)
+        at = (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
         while len(at):
             cells, first = np.unique(at, return_index=True)
             first = first[self.keys[cells] == 0]

@@ -31,8 +31,8 @@ class Toxicity:
     def __init__(self, scorer: Scorer, slope: float, offset: float) -> None:
         self.scorer, self.slope, self.offset = scorer, slope, offset
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with excess and score (0 to 1).
+    def score(self, docs: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+        """``docs``, less the columns ``drop``, with excess and score (0 to 1).
 
         A null text counts as empty.  If only one class was learned, that class
         alone decides: score is 1.0 if it is the toxic one, else 0.0.
@@ -44,11 +44,11 @@ class Toxicity:
             with np.errstate(over="ignore"):
                 return [1 / (1 + np.exp(-(slope * x + offset)))]
 
-        return map_texts(excess(docs, self.scorer, text), ["excess"], "score double", curve)
+        return map_texts(excess(docs, self.scorer, text, drop), ["excess"], "score double", curve)
 
 
-def excess(docs: DataFrame, scorer: Scorer, text: str) -> DataFrame:
-    """``docs`` with excess: of each word's log-likelihood ratio what is over ``MARGIN``, by the number of words; its square root."""
+def excess(docs: DataFrame, scorer: Scorer, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs``, less the columns ``drop``, with excess: of each word's log-likelihood ratio what is over ``MARGIN``, by the number of words; its square root."""
     both = scorer.labels == ["0", "1"]
 
     def finish(sums: np.ndarray, owner: np.ndarray, stream: kn.Stream) -> list:
@@ -58,7 +58,7 @@ def excess(docs: DataFrame, scorer: Scorer, text: str) -> DataFrame:
         over = np.maximum(sums[:, 1] - sums[:, 0] - MARGIN, 0)
         return [np.sqrt(np.bincount(owner, weights=over, minlength=rows) / (np.bincount(owner, minlength=rows) + PRIOR_WORDS))]
 
-    return scorer.apply(docs, text, "excess double", finish, words=True)
+    return scorer.apply(docs, text, "excess double", finish, words=True, drop=drop)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -110,7 +110,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
         other = Scorer(tagged.where(F.col("fold") == 1 - fold).drop("fold"), order, max_grams, SHARED_BELOW)
         if other.labels != ["0", "1"]:
             other = whole  # too few rows for folds
-        part = excess(rows.where(F.col("fold") == fold), other, "text").select("y", F.floor(F.col("excess") * (BINS / REACH)).cast("int").alias("bin"))
+        part = excess(rows.where(F.col("fold") == fold), other, "text", ("text",)).select("y", F.floor(F.col("excess") * (BINS / REACH)).cast("int").alias("bin"))
         found = part if found is None else found.unionByName(part)
     bins = found.select("y", F.least(F.lit(BINS - 1), "bin").alias("bin")).groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
     y, b, n = (np.array([r[i] for r in bins], dtype=np.float64) for i in range(3))
