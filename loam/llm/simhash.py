@@ -107,16 +107,16 @@ def _split(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, one: np.uint64) -
 
 
 def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest index that each of n nodes is linked to; pairs are merged as they come."""
+    """Smallest index that each of n nodes is linked to; pairs are merged as they come.
+
+    Only roots are re-pointed: a member follows its root, so what earlier pairs linked stays linked.
+    """
     root = np.arange(n)
     for i, j in pairs:
         while True:
-            low = np.minimum(root[i], root[j])
+            u, v = root[i], root[j]
             before = root.copy()
-            np.minimum.at(root, root[i], low)
-            np.minimum.at(root, root[j], low)
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
+            np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
             while True:
                 next_ = root[root]
                 if (next_ == root).all():

@@ -222,6 +222,27 @@ def test_trie_join_against_all_pairs(spark, cell):
     assert {s: got.get(s, s) for (s,) in signed} == {d: c for d, _, c in wanted}
 
 
+def test_links_of_earlier_pairs_outlast_later_ones(spark):
+    import numpy as np
+
+    from loam.llm.common import components
+
+    m = 0xC << 60
+    far, p = m | 1 << 50 | 1 << 30, m ^ 1 << 63
+    q = far ^ 1 << 62
+    prints = [m, far, p, p | 1 << 25, q, q | 1 << 25]  # one component, whose pairs the trie gives in two parts
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame(signed, "simhash long"))).collect()}
+    assert {got.get(s, s) for (s,) in signed} == {min(s for (s,) in signed)}
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        i, j = rng.integers(0, 12, (2, 10))
+        wanted = list(range(12))
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            wanted = [min(wanted[a], wanted[b]) if w in (wanted[a], wanted[b]) else w for w in wanted]
+        assert simhash._forest(12, iter([(i[:5], j[:5]), (i[5:], j[5:])])).tolist() == wanted
+
+
 def accuracy(spark, out, sf, column, wanted, held):
     both = out.where(held).join(spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").select("doc_id", "lang", "toxic"), "doc_id")
     both = both.where(F.col(wanted).isNotNull())
