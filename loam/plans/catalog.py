@@ -474,6 +474,11 @@ def snippet(spark, sf):
     return d.where(lead | ~F.contains(F.lower("body"), F.lit("the"))).select("doc_id", search.snippet(["the"]).alias("snippet"))
 
 
+@query()
+def snippet_anywhere(spark, sf):
+    return c.corpus(spark, sf).select("doc_id", search.snippet(["the"]).alias("snippet"))
+
+
 @query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, unnest(list_distinct({c.tokens_sql('body')})) AS term FROM D), S AS (SELECT term, count(*) AS df FROM T GROUP BY term), Q AS (SELECT * FROM (VALUES ('thbel', 1), ('tionnn', 2), ('thatt', 1)) v(word, most)),
 N AS (SELECT word, term, df, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS n FROM S JOIN Q ON substr(term, 1, 2) = substr(word, 1, 2) AND levenshtein(term, word) BETWEEN 1 AND most) SELECT word, term, df FROM N WHERE n = 1""")
 def suggest(spark, sf):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loam.api import BadRequest, Service
 from loam.operators import crawl, dedup, index, maintain, queryspec, search
+from loam.plans import catalog, corpora
 from loam.sources import sinks
 from loam.streaming import crawl_stream
 
@@ -74,6 +75,24 @@ def test_navigation_and_snippets_and_suggestions(spark):
     assert search.suggest(idx, "neadle") == "needle" and search.suggest(idx, "needle") is None and search.suggest(idx, "zzzzzz") is None
 
 
+def test_snippets_of_whole_tables(spark, sf, tmp_path):
+    def plain(body, title):
+        low = body.lower()
+        first = low.find("the")
+        if first < 0 or "the" in low[:240]:
+            return title if first < 0 else body[:240]
+        start = max(0, first - 100)
+        return body[start : low.rfind("the", 0, start + 103) + 123]
+
+    bodies = ["x" * 239 + "the end", "y " * 5000 + "tHe last", "z\n" * 300 + "the one" + " q" * 90 + " the other", "the " * 90, "none", "é語 " * 200 + "the the the " + "w" * 300]
+    hard = spark.createDataFrame([(i, b, "s") for i, b in enumerate(bodies)], "doc_id long, text string, source string")
+    hard.write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        wanted = {r.doc_id: plain(r.body, r.title) for r in corpora.corpus(spark, folder).collect()}
+        got = catalog.queries()["snippet_anywhere"](spark, folder).collect()
+        assert len(got) == len(wanted) and {r.doc_id: r.snippet for r in got} == wanted
+
+
 def test_index_tables_round_trip(spark, tmp_path):
     idx = index.build(docs(spark, ("https://a.test/1", "Rust book", "memory safety guide", "page")))
     idx.save(f"file://{tmp_path}/index")
