@@ -280,6 +280,15 @@ def hamming_join(spark, sf):
     return dedup.hamming_pairs(leaves, 1, 16)
 
 
+@query(f"""WITH H AS (SELECT doc_id, {HASH60.format('text')} AS h FROM documents), L AS (SELECT h, min(doc_id) AS first FROM H WHERE h <> 0 GROUP BY h)
+SELECT a.first AS a, b.first AS b FROM L a JOIN L b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 3 UNION ALL SELECT l.first AS a, h.doc_id AS b FROM H h JOIN L l ON h.h = l.h WHERE l.first < h.doc_id""")
+def simhash_md5_pairs(spark, sf):
+    from loam.operators.tables import saved
+
+    h = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long")
+    return dedup.hamming_pairs(saved(c.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), h.alias("simhash"))), 3, 60)
+
+
 @query()
 def near_dup_greedy(spark, sf):
     from loam.operators.tables import saved

@@ -138,6 +138,18 @@ def test_banding_grows_with_the_table():
     assert dedup.banding(10**8, 3) == (5, 2) and dedup.banding(10**10, 3) == (6, 3)
 
 
+def test_pairs_of_whole_hashes(spark, tmp_path):
+    spark.createDataFrame([(i, t) for i, t in enumerate("abcab") for _ in range(1 + (i == 4))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["simhash_md5_pairs"](spark, str(tmp_path)).collect())
+    assert got == [(0, 3), (1, 4), (1, 4)]
+    rng = random.Random(4)
+    base = [rng.getrandbits(60) for _ in range(40)]
+    hashes = sorted({b ^ sum(1 << k for k in rng.sample(range(60), n)) for b in base for n in range(5)} | {b ^ 0xFFFF << 44 for b in base})
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, simhash long")
+    wanted = {(i, j) for j in range(len(hashes)) for i in range(j) if (hashes[i] ^ hashes[j]).bit_count() <= 3}
+    assert wanted and {(r.a, r.b) for r in dedup.hamming_pairs(rows, 3, 60).collect()} == wanted
+
+
 @pytest.mark.parametrize("keep", [1, 2, 3])
 def test_hamming_pairs_equal_brute_force(spark, keep, monkeypatch):
     monkeypatch.setattr(dedup, "banding", lambda n, most, bits=64: (most + keep, keep))
