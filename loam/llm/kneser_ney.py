@@ -222,11 +222,29 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[i] == wanted, values[i], 0.0)
 
 
-def _interpolate(own: tuple[np.ndarray, np.ndarray], union: np.ndarray, contexts: np.ndarray, base: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def discounts(counts: DataFrame, order: int, shared_below: int = 0) -> dict[tuple[str | None, int], float]:
+    """Discounts of {(label, order)} from order 2 up over all grams, whatever shards they are in; label None is all labels together."""
+    level, pooled, found = counts.select("label", "gram", "n"), None, None
+    if shared_below > 2:
+        pooled = counts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("label"), "gram", "n")
+    for at in (level, pooled):
+        for n in range(order, 1, -1) if at is not None else ():
+            if n < order:
+                at = at.groupBy("label", F.col("gram").bitwiseAND((1 << 60 // order * n) - 1).alias("gram")).agg(F.count("*").alias("n"))
+            part = at.groupBy("label").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).withColumn("order", F.lit(n))
+            found = part if found is None else found.unionByName(part)
+    return {(r["label"], r["order"]): _discount(r["once"], r["twice"]) for r in found.collect()}
+
+
+def _interpolate(own: tuple[np.ndarray, np.ndarray], union: np.ndarray, contexts: np.ndarray, base: np.ndarray, bits: int, discount: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of the grams ``union``, and log weights of what is below each context: 0 where it is not seen."""
     grams, c = own
-    once, twice = (c == 1).sum(), (c == 2).sum()
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+    if discount is None:
+        discount = _discount((c == 1).sum(), (c == 2).sum())
     heads, total, kinds = _grouped(grams >> bits, c)
 
     def weight(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,12 +256,13 @@ def _interpolate(own: tuple[np.ndarray, np.ndarray], union: np.ndarray, contexts
     return p, np.log(weight(contexts)[1])
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_below: int = 0, unigrams: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_below: int = 0, unigrams: dict[str | None, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[tuple[str | None, int], float] | None = None) -> Model:
     """The model of {label: (distinct grams, counts)}.
 
     Orders under ``shared_below`` take their counts from all labels together:
     every label then backs off to the same distribution.  ``unigrams``: counts
-    of single characters, where ``counts`` are one shard's.
+    of single characters by label, and under None of all labels together, and
+    ``discounts``: those of :func:`discounts`, where ``counts`` are one shard's.
     """
     bits, labels = 60 // order, sorted(counts)
     counts = {k: tuple(x[np.argsort(counts[k][0])] for x in counts[k]) for k in labels}
@@ -252,7 +271,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_b
     pooled = _levels(grams, n, order)
     levels = {k: _levels(*counts[k], order) for k in labels}
     if unigrams is not None:
-        pooled[1] = _grouped(np.concatenate([unigrams[k][0] for k in labels]), np.concatenate([unigrams[k][1] for k in labels]))[:2]
+        pooled[1] = unigrams[None]
         for k in labels:
             levels[k][1] = unigrams[k]
     alphabet = len(pooled[1][0]) + 1
@@ -263,7 +282,8 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_b
         contexts = np.unique(union >> bits)
         if n > 1:
             lower = lower[np.searchsorted(pooled[n - 1][0], union & ((1 << (bits * (n - 1))) - 1))]
-        steps = [_interpolate(pooled[n] if n < shared_below else levels[k][n], union, contexts, lower[:, j], bits) for j, k in enumerate(labels)]
+        shared = n < shared_below
+        steps = [_interpolate(pooled[n] if shared else levels[k][n], union, contexts, lower[:, j], bits, (discounts or {}).get((None if shared else k, n))) for j, k in enumerate(labels)]
         p, back = (np.stack([s[i] for s in steps], 1) if steps else np.zeros((len(x), 0)) for i, x in ((0, union), (1, contexts)))
         lower = p
         table = HashArray(union)
@@ -280,7 +300,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_b
         loss = -model.score(grams)[:, j].astype(np.float64) if len(grams) else np.zeros(1)
         w = n if len(grams) else np.ones(1)
         mean = np.average(loss, weights=w)
-        stats.append((mean, np.sqrt(np.average((loss - mean) ** 2, weights=w)), float(np.sum(w))))
+        stats.append((mean, np.sqrt(np.average((loss - mean) ** 2, weights=w)), float(np.sum(n))))
     model.mean, model.deviation = np.array([s[0] for s in stats]), np.array([s[1] for s in stats])
     model.weight = np.array([s[2] for s in stats])
     return model

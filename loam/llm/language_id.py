@@ -22,8 +22,9 @@ class Scorer:
 
     ``counts`` has all training grams.  Where they are more than ``max_grams``
     rows they are dealt into shards by the previous character; a context and all
-    that follows it stay in one shard, discounts are then estimated by shard,
-    and texts pass once for every shard, their sums added up.
+    that follows it stay in one shard, discounts and single characters are
+    counted over all shards, and texts pass once for every shard, their sums
+    added up: they are those of the one model.
     """
 
     def __init__(self, counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS, shared_below: int = 0) -> None:
@@ -33,6 +34,7 @@ class Scorer:
         self.shards = max(1, math.ceil(sum(r["n"] for r in rows) / max_grams))
         self.shards = 1 if self.shards == 1 else 4 * self.shards
         self._models: dict[int, kn.Model] = {}
+        self._common: tuple[dict, dict] | None = None
 
     def model(self, shard: int = 0) -> kn.Model:
         if shard in self._models:
@@ -41,23 +43,34 @@ class Scorer:
         table = part.toArrow()
         label, gram, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("label", "gram", "n"))
         counts = {k: (gram[label == k], n[label == k]) for k in self.labels}
-        model = kn.build(counts, self.order, self.shared_below, self._unigrams())
+        if self.shards > 1 and self._common is None:
+            self._common = self._unigrams(), kn.discounts(self.counts, self.order, self.shared_below)
+        model = kn.build(counts, self.order, self.shared_below, *(self._common or ()))
         if self.shards == 1:
             self._models[shard] = model
         return model
 
-    def _unigrams(self) -> dict[str, tuple[np.ndarray, np.ndarray]] | None:
-        """Numbers of distinct predecessors of each character, over all shards; the folded alphabet bounds them."""
-        if self.shards == 1:
-            return None
+    def stats(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of each label's loss a character on its own training text; one shard's model is held at a time."""
+        parts = [(m.weight, m.mean, m.deviation) for m in map(self.model, range(self.shards))]
+        weight, mean, deviation = (np.array(x) for x in zip(*parts, strict=True))
+        if len(parts) == 1 or not self.labels:
+            return mean[0], deviation[0]
+        whole = np.average(mean, axis=0, weights=weight)
+        return whole, np.sqrt(np.average(deviation**2 + (mean - whole) ** 2, axis=0, weights=weight))
+
+    def _unigrams(self) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+        """Numbers of distinct predecessors of each character, over all shards, by label and of all labels (None); the folded alphabet bounds them."""
         bits = 60 // self.order
-        pairs = self.counts.select("label", F.col("gram").bitwiseAND((1 << 2 * bits) - 1).alias("pair")).distinct()
+        pairs = self.counts.select("label", F.col("gram").bitwiseAND((1 << 2 * bits) - 1).alias("pair"))
+        pairs = pairs.unionByName(pairs.withColumn("label", F.lit(None).cast("string"))).distinct()
         rows = pairs.groupBy("label", F.col("pair").bitwiseAND((1 << bits) - 1).alias("c")).agg(F.count("*").alias("n")).toArrow()
         label, c, n = (rows.column(x).to_numpy(zero_copy_only=False) for x in ("label", "c", "n"))
         out = {}
-        for k in self.labels:
-            by = np.argsort(c[label == k])
-            out[k] = c[label == k][by], n[label == k][by].astype(np.float64)
+        for k in (*self.labels, None):
+            mine = np.array([x == k for x in label.tolist()], bool)
+            by = np.argsort(c[mine])
+            out[k] = c[mine][by], n[mine][by].astype(np.float64)
         return out
 
     def apply(self, docs: DataFrame, text: str, added: str, finish: Callable[[np.ndarray, np.ndarray, kn.Stream], list], words: bool = False, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -119,11 +132,7 @@ def identify(docs: DataFrame, scorer: Scorer, text: str = "text", reject_at: flo
     given.  Ties go to the first language in order.
     """
     labels = scorer.labels
-    # Where there are shards their losses, weighted by training text, make up the label's.
-    models = [scorer.model(shard) for shard in range(scorer.shards)]
-    weight = np.array([m.weight for m in models])
-    mean = np.average(np.array([m.mean for m in models]), axis=0, weights=weight) if labels else np.zeros(0)
-    spread = np.sqrt(np.average(np.array([m.deviation for m in models]) ** 2, axis=0, weights=weight)) if labels else np.zeros(0)
+    mean, spread = scorer.stats()
 
     def decide(sums: np.ndarray, owner: np.ndarray, stream: kn.Stream) -> list:
         rows = len(owner)

@@ -278,6 +278,23 @@ def test_shards_of_a_large_model_score_alike(spark, table):
     assert both.where("abs(loss - cross_entropy) > 0.1 * cross_entropy").count() == 0
 
 
+def test_shards_of_a_large_model_are_the_one_model(spark, table):
+    counts = language_id.train(table.where("doc_id < 40")).counts
+    docs = table.where("doc_id >= 40").select("doc_id", "text").limit(60).localCheckpoint()
+    n = counts.count()
+    whole, parts = (language_id.Scorer(counts, max_grams=m) for m in (n, n // 2 + 1))
+    assert (whole.shards, parts.shards) == (1, 8)
+    a, b = ({r.doc_id: r for r in language_id.identify(docs, s).collect()} for s in (whole, parts))
+    assert a and a.keys() == b.keys()
+    for k in a:
+        assert (a[k].lang_pred, a[k].rejected) == (b[k].lang_pred, b[k].rejected)
+        assert (a[k].score, a[k].cross_entropy) == pytest.approx((b[k].score, b[k].cross_entropy), rel=1e-5)
+    both = counts.where("label in ('en', 'fr')").select(F.when(F.col("label") == "en", "0").otherwise("1").alias("label"), "gram", "n").localCheckpoint()
+    n = both.count()
+    c, d = ({r.doc_id: r.excess for r in toxicity.excess(docs, language_id.Scorer(both, max_grams=m, shared_below=toxicity.SHARED_BELOW), "text").collect()} for m in (n, n // 2 + 1))
+    assert c == pytest.approx(d, rel=1e-5) and any(c.values())
+
+
 def test_probabilities_sum_to_one():
     import numpy as np
 
