@@ -101,10 +101,25 @@ def slices(batch: pa.RecordBatch, size: int = TEXT_BYTES) -> Iterator[pa.RecordB
         begin = end
 
 
-def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str, each: Callable[[pa.RecordBatch], Columns], drop: Sequence[str] = (), text_bytes: int = TEXT_BYTES) -> DataFrame:
+def gathered(batches: Batches, size: int = TEXT_BYTES) -> Batches:
+    """Batches put together until the first column, which is text, has ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += pc.sum(pc.binary_length(batch.column(0))).as_py() or 0
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held and (rows := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rows[0]
+
+
+def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str, each: Callable[[pa.RecordBatch], Columns], drop: Sequence[str] = (), text_bytes: int = TEXT_BYTES, gather: bool = False) -> DataFrame:
     """Rows of ``docs`` with further columns, worked out by ``each`` from Arrow batches of ``inputs``.
 
-    A call has at most ``text_bytes`` of the first input, if that is text.  All
+    A call has at most ``text_bytes`` of the first input, if that is text; with
+    ``gather`` batches are put together until they have about as much.  All
     other columns pass through.  A column whose name (in any case) is that
     of an added one is replaced by it.
     """
@@ -121,7 +136,7 @@ def map_texts(docs: DataFrame, inputs: Sequence[str], added: T.StructType | str,
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = [f.type for f in to_arrow_schema(types)]
-        for batch in (part for whole in batches for part in slices(whole, text_bytes)):
+        for batch in (part for whole in (gathered(batches, text_bytes) if gather else batches) for part in slices(whole, text_bytes)):
             made = each(pa.RecordBatch.from_arrays(batch.columns[:k], names=list(inputs)))
             made = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[k:], *made], names=names)

@@ -3,26 +3,35 @@
 A gram of ``order`` characters is one integer: each character is folded to
 ``60 // order`` bits (characters beyond that range share hashed slots) and the
 slots are shifted together, so suffixes and contexts are masks and shifts.
-Counting is distributed (:func:`gram_counts`); a model is built from the
-distinct grams, whose number the alphabet bounds, and is broadcast only below
-``max_grams`` distinct grams per shard.  Beyond that the grams are dealt into
-shards by the previous character.  A position is scored wholly inside one
-shard, so the sums over shards are exact at any size.
+Counting is distributed (:func:`gram_counts`).  A model of more grams than one
+broadcast may hold is dealt into shards by a hash of the last characters of the
+context: all that interpolation needs of the longer orders is then in one
+shard, while discounts and the counts of the short orders are made over all
+grams and given to every shard.  A position is scored wholly inside one shard,
+so sums over shards are those of the one model.
+
+Characters: letters and combining marks, in lower case; all else is a space,
+and runs of spaces are one.  Code points below three quarters of the slots
+(0xC00 of order 5, 0x6000 of order 4) have one slot each; those above share the
+remaining quarter by hash, which tells scripts apart better than their letters.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_rows, slices, tidied
 
 SLICE_BYTES = 1 << 20  # of text at a time
+GATHERED_BYTES = 16 << 20  # of text that passes all shards together
 HELD_GRAMS = 1 << 20  # grams that a task gathers before it sums them up
 PAD = 2  # marks what lies before a text
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -38,15 +47,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _TABLES: dict[int, np.ndarray] = {}
 
 
+def letter_table() -> np.ndarray:
+    """Code points that are letters."""
+    if 0 not in _TABLES:
+        _TABLES[0] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _TABLES[0]
+
+
 def fold_table(bits: int) -> np.ndarray:
-    """Code point to slot: letters keep their (lower-case) place or share hashed slots, all else is a space."""
+    """Code point to slot: letters and marks keep their (lower-case) place or share hashed slots, all else is a space."""
     if bits not in _TABLES:
         points = np.arange(0x110000, dtype=np.uint64)
-        letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        marks = np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), bool, 0x110000)
         kept = (1 << bits) - (1 << (bits - 2))
         shared = kept + (_mix(points) >> np.uint64(64 - (bits - 2))).astype(np.int64)
         slots = np.where(points < kept, points.astype(np.int64), shared)
-        slots = np.where(letters, slots, 32)
+        slots = np.where(letter_table() | marks, slots, 32)
         slots[PAD] = PAD
         _TABLES[bits] = slots
     return _TABLES[bits]
@@ -70,7 +86,7 @@ def stream(texts: list[str | None], order: int) -> Stream:
     space = slots == 32
     keep = np.ones(len(slots), bool)
     keep[1:] = ~(space[1:] & space[:-1])
-    slots = slots[keep]
+    slots, lettered = slots[keep], letter_table()[points[keep]]
     pad = slots == PAD
     starts = pad.copy()
     starts[1:] &= ~pad[:-1]
@@ -80,7 +96,7 @@ def stream(texts: list[str | None], order: int) -> Stream:
         code[j:] |= slots[: len(slots) - j].astype(np.int64) << (bits * j)
     real = ~pad
     letters = np.zeros(len(texts), bool)
-    letters[doc[real & (slots != 32)]] = True
+    letters[doc[lettered]] = True
     return Stream(code[real], doc[real], letters)
 
 
@@ -123,10 +139,16 @@ def gram_counts(rows: DataFrame, text: str, label: str, order: int) -> DataFrame
     return found.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def shard_of(gram: Column, order: int, shards: int) -> Column:
-    """Shard of a gram: its last but one character, so all that interpolation needs is in one shard."""
+#: Buckets of contexts that shards are made of.
+BUCKETS = 4093
+
+
+def bucket_of(gram, order: int, depth: int):  # noqa: ANN001, ANN201
+    """Bucket of grams (a column or an array) by the ``depth`` characters before the last."""
     bits = 60 // order
-    return F.pmod(F.shiftright(gram, bits).bitwiseAND((1 << bits) - 1), F.lit(shards))
+    if isinstance(gram, Column):
+        return F.pmod(F.shiftright(gram, bits).bitwiseAND((1 << bits * depth) - 1), F.lit(BUCKETS)).cast("int")
+    return (gram >> bits & ((1 << bits * depth) - 1)) % BUCKETS
 
 
 class HashArray:
@@ -162,6 +184,12 @@ class HashArray:
         return out
 
 
+def forget(held: Broadcast) -> None:
+    """Let a worker's copy of a broadcast value go; its next use reads it from the executor's disk again."""
+    if getattr(held, "_path", None):
+        held.__dict__.pop("_value", None)
+
+
 @dataclass
 class Model:
     """Log probabilities by order: ``grams[n]`` finds a row of ``logp[n]``, ``contexts[n]`` one of ``back[n]``."""
@@ -256,13 +284,14 @@ def _interpolate(own: tuple[np.ndarray, np.ndarray], union: np.ndarray, contexts
     return p, np.log(weight(contexts)[1])
 
 
-def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_below: int = 0, unigrams: dict[str | None, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[tuple[str | None, int], float] | None = None) -> Model:
+def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_below: int = 0, given: dict[int, dict[str | None, tuple[np.ndarray, np.ndarray]]] | None = None, discounts: dict[tuple[str | None, int], float] | None = None) -> Model:
     """The model of {label: (distinct grams, counts)}.
 
     Orders under ``shared_below`` take their counts from all labels together:
-    every label then backs off to the same distribution.  ``unigrams``: counts
-    of single characters by label, and under None of all labels together, and
-    ``discounts``: those of :func:`discounts`, where ``counts`` are one shard's.
+    every label then backs off to the same distribution.  Where ``counts`` are
+    one shard's, ``given`` has the grams and counts of the short orders by label,
+    and under None of all labels together, and ``discounts`` those of
+    :func:`discounts`, both over all shards.
     """
     bits, labels = 60 // order, sorted(counts)
     counts = {k: tuple(x[np.argsort(counts[k][0])] for x in counts[k]) for k in labels}
@@ -270,10 +299,10 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int, shared_b
     grams, n, _ = _grouped(np.concatenate([none, *(counts[k][0] for k in labels)]), np.concatenate([none, *(counts[k][1] for k in labels)]))
     pooled = _levels(grams, n, order)
     levels = {k: _levels(*counts[k], order) for k in labels}
-    if unigrams is not None:
-        pooled[1] = unigrams[None]
+    for level, of in (given or {}).items():
+        pooled[level] = of[None]
         for k in labels:
-            levels[k][1] = unigrams[k]
+            levels[k][level] = of[k]
     alphabet = len(pooled[1][0]) + 1
     model = Model(order, labels, floor=np.full(len(labels), -np.log(alphabet), np.float32))
     lower = np.full((len(pooled[1][0]), len(labels)), 1 / alphabet)

@@ -164,3 +164,83 @@ def clusters(prints, budget=2):
             least[r] = d
         least.setdefault(r, d)
     return [(d, f, least[find(i)]) for i, (d, f) in enumerate(prints)]
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over characters in dictionaries, one model a label; orders below ``shared_below`` are counted over all labels."""
+
+    def __init__(self, texts, order, shared_below=0):
+        from loam.llm import kneser_ney as kn
+
+        self.order, self.slots = order, kn.fold_table(60 // order)
+        self.labels = sorted({k for _, k in texts})
+        top = {k: Counter() for k in self.labels}
+        for t, k in texts:
+            top[k].update(self.grams(t))
+        every = sum(top.values(), Counter())
+        levels = {k: self.levels(c) for k, c in [*top.items(), (None, every)]}
+        self.levels_of = {k: {n: levels[None if n < shared_below else k][n] for n in range(1, order + 1)} for k in self.labels}
+        self.alphabet = len(levels[None][1]) + 1
+        self.shapes = {k: {n: self.shape(c) for n, c in of.items()} for k, of in self.levels_of.items()}
+
+    def folded(self, text):
+        slots = [int(self.slots[ord(c)]) for c in (text or "").replace("\x02", " ").lower()]
+        out = [32]
+        for x in [*slots, 32]:
+            if x != 32 or out[-1] != 32:
+                out.append(x)
+        return out
+
+    def grams(self, text):
+        """Each character of a text with the ``order - 1`` before it."""
+        padded = [2] * (self.order - 1) + self.folded(text)
+        return [tuple(padded[i : i + self.order]) for i in range(len(padded) - self.order + 1)]
+
+    def levels(self, counts):
+        out = {self.order: dict(counts)}
+        for n in range(self.order - 1, 0, -1):
+            out[n] = Counter(g[1:] for g in out[n + 1])
+        return out
+
+    @staticmethod
+    def shape(counts):
+        once, twice = (sum(v == i for v in counts.values()) for i in (1, 2))
+        total, kinds = Counter(), Counter()
+        for g, v in counts.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        return once / (once + 2 * twice) if once and twice else 0.5, total, kinds
+
+    def p(self, label, gram):
+        if not gram:
+            return 1 / self.alphabet
+        below = self.p(label, gram[1:])
+        d, total, kinds = self.shapes[label][len(gram)]
+        n = total[gram[:-1]]
+        return (max(self.levels_of[label][len(gram)].get(gram, 0) - d, 0) + d * kinds[gram[:-1]] * below) / n if n else below
+
+    def logs(self, text):
+        """Per label the log probability of each character."""
+        import math
+
+        return {k: [math.log(self.p(k, g)) for g in self.grams(text)] for k in self.labels}
+
+
+def language(model, text):
+    """(lang_pred, score, cross_entropy)"""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, None
+    loss = {k: -sum(x) / len(x) for k, x in model.logs(text).items()}
+    best = min(sorted(loss), key=loss.get)
+    n = len(model.grams(text))
+    return best, 1 / sum(math.exp((loss[best] - x) * math.sqrt(n)) for x in loss.values()), loss[best]
+
+
+def margin(model, text, prior=5):
+    """The largest difference of toxic and ordinary log-likelihoods per character among a text's words, 0 at least."""
+    logs, grams, at = model.logs(text), model.grams(text), []
+    for i, g in enumerate(grams):
+        at += [i] if g[-1] == 32 else []
+    return max([0.0, *((sum(logs["1"][a:b]) - sum(logs["0"][a:b])) / (b - a + prior) for a, b in zip(at, [*at[1:], len(grams)]))])

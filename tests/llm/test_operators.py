@@ -267,32 +267,54 @@ def test_language_id_hard_rows(spark, hard):
     assert language_id.identify(hard.limit(0), scorer).count() == 0
 
 
-def test_shards_of_a_large_model_score_alike(spark, table):
-    counts = language_id.train(table.where("doc_id < 60")).counts
-    whole, parts = language_id.Scorer(counts), language_id.Scorer(counts, max_grams=20_000)
-    assert whole.shards == 1 < parts.shards
-    docs = table.where("doc_id >= 60").select("doc_id", "text")
-    a, b = (language_id.identify(docs, s) for s in (whole, parts))
-    both = a.join(b.select("doc_id", F.col("lang_pred").alias("other"), F.col("cross_entropy").alias("loss")), "doc_id")
-    assert both.where("lang_pred <> other").count() <= 0.02 * both.count()
-    assert both.where("abs(loss - cross_entropy) > 0.1 * cross_entropy").count() == 0
+SCRIPTS = ["नमस्ते दुनिया यह हिन्दी है", "สวัสดีชาวโลก", "e\u0301te\u0301 n\u0303", "ÀÉ ß ſ", "一二三 四五"]
+
+
+def test_language_id_against_dictionaries(spark, table):
+    known = [(r.text, r.lang) for r in table.where("doc_id < 60 and lang is not null").collect()] + [(t, "xx") for t in SCRIPTS] + [(None, "xx"), ("", "xx")]
+    docs = [(i, t) for i, t in enumerate([r.text for r in table.where("doc_id between 60 and 90").collect()] + SCRIPTS + [None, "", "123", "\u0301", "zzz qqq", "a" * 3000])]
+    scorer = language_id.train(spark.createDataFrame(known, "text string, lang string").repartition(3))
+    model = brute.KneserNey(known, language_id.ORDER)
+    for found in (scorer, language_id.Scorer(scorer.counts, max_grams=scorer.counts.count() // 3)):
+        got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(docs, "doc_id long, text string"), found).collect()}
+        assert len(got) == len(docs)
+        for i, t in docs:
+            lang, score, loss = brute.language(model, t)
+            assert got[i].lang_pred == lang
+            assert (got[i].score, got[i].cross_entropy) == (pytest.approx(score, rel=1e-3, abs=1e-6), loss if loss is None else pytest.approx(loss, rel=1e-5))
+    assert found.shards > 1
+
+
+def test_toxicity_against_dictionaries(spark, table):
+    known = [(r.text, "1" if r.doc_id % 3 == 0 else "0") for r in table.where("doc_id < 60").collect()] + [(None, "0"), ("", "1"), ("rare words", "1")]
+    docs = [(i, t) for i, t in enumerate([r.text for r in table.where("doc_id between 60 and 90").collect()] + SCRIPTS + [None, "", "123", "rare", "x" * 3000])]
+    from loam.llm import kneser_ney as kn
+    from loam.llm.common import materialize
+
+    counts = materialize(kn.gram_counts(spark.createDataFrame(known, "text string, label string").repartition(3), "text", "label", toxicity.ORDER))
+    model = brute.KneserNey(known, toxicity.ORDER, toxicity.SHARED_BELOW)
+    for most in (10**9, counts.count() // 3):
+        scorer = language_id.Scorer(counts, toxicity.ORDER, most, toxicity.SHARED_BELOW)
+        got = {r.doc_id: r.margin for r in toxicity.margins(spark.createDataFrame(docs, "doc_id long, text string"), scorer, "text").collect()}
+        assert got == {i: pytest.approx(brute.margin(model, t), rel=1e-4, abs=1e-5) for i, t in docs}
+    assert scorer.shards > 1
 
 
 def test_shards_of_a_large_model_are_the_one_model(spark, table):
-    counts = language_id.train(table.where("doc_id < 40")).counts
-    docs = table.where("doc_id >= 40").select("doc_id", "text").limit(60).localCheckpoint()
-    n = counts.count()
-    whole, parts = (language_id.Scorer(counts, max_grams=m) for m in (n, n // 2 + 1))
-    assert (whole.shards, parts.shards) == (1, 8)
-    a, b = ({r.doc_id: r for r in language_id.identify(docs, s).collect()} for s in (whole, parts))
-    assert a and a.keys() == b.keys()
-    for k in a:
-        assert (a[k].lang_pred, a[k].rejected) == (b[k].lang_pred, b[k].rejected)
-        assert (a[k].score, a[k].cross_entropy) == pytest.approx((b[k].score, b[k].cross_entropy), rel=1e-5)
-    both = counts.where("label in ('en', 'fr')").select(F.when(F.col("label") == "en", "0").otherwise("1").alias("label"), "gram", "n").localCheckpoint()
-    n = both.count()
-    c, d = ({r.doc_id: r.excess for r in toxicity.excess(docs, language_id.Scorer(both, max_grams=m, shared_below=toxicity.SHARED_BELOW), "text").collect()} for m in (n, n // 2 + 1))
-    assert c == pytest.approx(d, rel=1e-5) and any(c.values())
+    scorer = language_id.train(table.where("doc_id < 40"))
+    counts, docs = scorer.counts, table.where("doc_id between 40 and 99").select("doc_id", "text")
+    for most in (counts.count() // 2, counts.count() // 9):
+        parts = language_id.Scorer(counts, max_grams=most)
+        assert scorer.shards == 1 < parts.shards <= 2 * counts.count() / most + 1
+        assert [x.tolist() for x in parts.stats()] == [pytest.approx(x.tolist(), rel=1e-6) for x in scorer.stats()]
+        a, b = ({r.doc_id: r for r in language_id.identify(docs, s).collect()} for s in (scorer, parts))
+        assert a and a.keys() == b.keys()
+        for k in a:
+            assert (a[k].lang_pred, a[k].rejected) == (b[k].lang_pred, b[k].rejected)
+            assert (a[k].score, a[k].cross_entropy) == pytest.approx((b[k].score, b[k].cross_entropy), rel=1e-6)
+    # Where no two characters deal a model finely enough, three do.
+    finer = language_id.Scorer(counts, max_grams=400)
+    assert finer.depth > 2 and finer.shards > 10
 
 
 def test_probabilities_sum_to_one():
@@ -321,10 +343,24 @@ def test_toxicity_held_out(spark):
     assert out.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_labels_meet_documents_with_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a", 7, "q"), (1, "a", 7, "q"), (2, "b", 7, "q"), (None, "c", 7, "q")], "doc_id long, text string, TOXIC int, quality string")
+    labels = spark.createDataFrame([(1, 0, 1), (3, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert rows(toxicity.labelled(docs, labels), "doc_id", "text", "toxic", "quality") == [(1, "a", 1, 0)] * 2
+
+
+def test_scored_columns_of_the_same_name_are_replaced(spark, hard):
+    docs = hard.withColumns({"Score": F.lit("x"), "MARGIN": F.lit(None), "lang_pred": F.lit(9)})
+    scorer = language_id.train(hard)
+    assert language_id.identify(docs, scorer).where("score between 0 and 1").count() == hard.count()
+    model = toxicity.train(hard.withColumn("toxic", F.when(F.col("text").contains("abcde"), 1).otherwise(0)))
+    assert model.score(docs).where("score between 0 and 1 and margin >= 0").count() == hard.count()
+
+
 def test_toxicity_hard_rows(spark, hard):
     labelled = hard.withColumn("toxic", F.when(F.col("text").contains("abcde"), 1).when(F.col("doc_id") % 5 == 0, None).otherwise(0))
     model = toxicity.train(labelled)
     assert model.score(hard).where("score between 0 and 1").count() == hard.count()
     assert toxicity.train(labelled.where("toxic = 0")).score(hard).where("score > 0").count() == 0
     assert model.score(hard.limit(0)).count() == 0
-    assert toxicity.train(labelled.limit(0)).score(hard).count() == hard.count()
+    assert toxicity.train(labelled.limit(0)).score(hard).where("score = 0").count() == hard.count()
