@@ -10,30 +10,49 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir).  Where none is set, a temporary one on a local master, as in tests; an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="loam-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own in the shared folder, deleted when the driver ends if not before."""
+    path = f"{shared_folder(spark)}/loam-{name}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again: one computation, no lineage, safe from lost executors.
 
-    The files are deleted when the driver ends.
+    Without a ``path`` its files are deleted when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loam-{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(path)
 
 
@@ -48,6 +67,16 @@ Columns = list[list | pa.Array]
 TEXT_BYTES = 4 << 20
 
 
+#: Bytes of texts that pass several broadcast parts together, each part read once for all of them.
+GATHERED_BYTES = 16 << 20
+
+
+def forget(held: Broadcast) -> None:
+    """Let a worker's copy of a broadcast value go; its next use reads it from the executor's disk again."""
+    if getattr(held, "_path", None):
+        held.__dict__.pop("_value", None)
+
+
 #: Rows of texts that go to Python workers at a time; Spark's own default suits short rows.
 ROWS_AT_A_TIME = 2000
 
@@ -219,18 +248,26 @@ def components(edges: DataFrame) -> DataFrame:
     to the shared folder.  Minima are combined before they are shuffled, and the
     joins that follow have unique right sides, so Spark may split a hub's rows.
     """
-    now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    spark, paths = edges.sparkSession, []
+
+    def stored(df: DataFrame) -> DataFrame:
+        paths.append(new_folder(spark, "links"))
+        return materialize(df, paths[-1])
+
+    now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     last = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        while len(paths) > 1:  # what only earlier rounds read
+            delete_folder(spark, paths.pop(0))
         if state[0] == 0 or state == last:
             break
         last = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = stored(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

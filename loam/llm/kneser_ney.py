@@ -24,14 +24,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import long_rows, slices, tidied
 
 SLICE_BYTES = 1 << 20  # of text at a time
-GATHERED_BYTES = 16 << 20  # of text that passes all shards together
 HELD_GRAMS = 1 << 20  # grams that a task gathers before it sums them up
 PAD = 2  # marks what lies before a text
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,12 +182,6 @@ class HashArray:
         return out
 
 
-def forget(held: Broadcast) -> None:
-    """Let a worker's copy of a broadcast value go; its next use reads it from the executor's disk again."""
-    if getattr(held, "_path", None):
-        held.__dict__.pop("_value", None)
-
-
 @dataclass
 class Model:
     """Log probabilities by order: ``grams[n]`` finds a row of ``logp[n]``, ``contexts[n]`` one of ``back[n]``."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .common import map_texts, materialize
+from .common import GATHERED_BYTES, forget, map_texts, materialize
 
 ORDER = 5
 MAX_GRAMS = 2_000_000
@@ -122,12 +122,12 @@ class Scorer:
                 mine = slice(None) if shard is None else np.flatnonzero(shard == i)
                 scores = model.value.score(s.codes[mine])
                 if shard is not None:
-                    kn.forget(model)
+                    forget(model)
                 for j in range(k):
                     sums[:, j] += np.bincount(unit[mine], weights=scores[:, j], minlength=len(owner))
             return finish(sums, np.bincount(unit, minlength=len(owner)), owner, s)
 
-        return map_texts(docs, [text], added, each, drop=drop, text_bytes=kn.SLICE_BYTES if len(held) == 1 else kn.GATHERED_BYTES, gather=len(held) > 1)
+        return map_texts(docs, [text], added, each, drop=drop, text_bytes=kn.SLICE_BYTES if len(held) == 1 else GATHERED_BYTES, gather=len(held) > 1)
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS) -> Scorer:
