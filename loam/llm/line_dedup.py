@@ -3,7 +3,9 @@
 The exact table counts, for each line key, the documents that hold it.  Filters
 by shard hold the keys that have reached the threshold; inserting or deleting
 documents moves keys in and out of them, so dedup can be undone.  Documents are
-filtered in one map: a line whose key no filter knows stays, without a shuffle.
+filtered in one map, group of filters by group: a line whose key no filter knows
+stays, without a shuffle.  The few keys that a filter takes for others are found
+in the exact table first and spared.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cuckoo
-from .common import long_rows, map_texts, materialize, text_key, tidied
+from .common import GATHERED_BYTES, TEXT_BYTES, forget, gathered, long_rows, map_texts, materialize, slices, tidied
 
-#: Bound of what is broadcast: filters of about 12 million lines that are to go.
+#: Bound of one broadcast: filters of about 12 million lines that are to go.  More filters make more broadcasts, which tasks read in turns.
 MAX_FILTER_BYTES = 64 << 20
 KEYS_PER_SHARD = 1 << 16
 _SPACES = b"\x20\t\n\x0b\x0c\r"
@@ -42,7 +45,7 @@ def _halves(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n): number of documents with each non-empty line key.  Batches are counted before the shuffle."""
+    """(key, n): number of documents, which are rows, with each non-empty line key.  Batches are counted before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +59,13 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class LineIndex:
-    """Reference counts and filters of the documents so far.  Every change gives a new index; the old one stays valid."""
+    """Reference counts and filters of the documents so far.  Every change gives a new index; the old one stays valid.
+
+    Every row is a document, so repeated rows count as often as they come,
+    whatever their ids.  Null and empty texts, and lines of white space, have no
+    keys.  Texts are read whole at any length; a line of any length has one key.
+    An empty table changes nothing.  Other columns are not looked at.
+    """
 
     def __init__(self, spark: SparkSession, threshold: int = 10, max_filter_bytes: int = MAX_FILTER_BYTES) -> None:
         self.spark, self.threshold, self.max_filter_bytes = spark, threshold, max_filter_bytes
@@ -125,64 +134,60 @@ class LineIndex:
 
         return rows.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(move, "shard int, payload binary")
 
+    def _broadcast(self) -> list[Broadcast]:
+        """The filters in groups of at most ``max_filter_bytes``, or one filter; the driver holds one group at a time."""
+        sizes = self.filters.select("shard", F.length("payload").alias("n")).orderBy("shard").collect()  # one row a filter
+        groups, held = [[]], 0
+        for r in sizes:
+            if groups[-1] and held + r["n"] > self.max_filter_bytes:
+                groups, held = [*groups, []], 0
+            groups[-1].append(r["shard"])
+            held += r["n"]
+        out = []
+        for g in groups:
+            tables = {r["shard"]: np.frombuffer(r["payload"], np.uint32).reshape(-1, cuckoo.SLOTS) for r in self.filters.where(F.col("shard").isin(g)).collect()}
+            out.append(self.spark.sparkContext.broadcast(cuckoo.ShardedFilter(max(1, self.shards), tables)))
+        return out
+
     def strip(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` without the lines whose key is in ``threshold`` documents or more: text, n_lines, n_dropped.
+        """``docs`` without the lines whose key is in ``threshold`` documents or more of those inserted: text, n_lines, n_dropped.
 
-        A null text is one empty line.  Lines with an empty key stay.  Other
-        columns pass through; those named n_lines or n_dropped are replaced.
+        ``docs`` may be others than those inserted.  A null text is one empty
+        line, and comes out as an empty text.  Lines with an empty key stay.  An
+        empty table gives no rows.  Other columns pass through; those named
+        n_lines or n_dropped, in any case, are replaced.
         """
-        size = self.filters.agg(F.sum(F.length("payload"))).first()[0] or 0
-        if size > self.max_filter_bytes:
-            return self._strip_joined(docs, text)
-        tables = {r["shard"]: np.frombuffer(r["payload"], np.uint32).reshape(-1, cuckoo.SLOTS) for r in self.filters.collect()}
-        held = self.spark.sparkContext.broadcast(cuckoo.ShardedFilter(max(1, self.shards), tables))
-
-        def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                known = held.value.contains(*_halves(keys)) if keys else []
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(keys, known, strict=True) if x], pa.binary())], names=["key"])
-
-        # The exact table names the few infrequent keys that a filter takes for frequent ones: under 1 in 10^8.
-        false = materialize(self.counts.where(F.col("n") < self.threshold).select("key").mapInArrow(tidied(wrong), "key binary"))
-        if false.count() > self.max_filter_bytes // 64:
-            return self._strip_joined(docs, text)
+        held = self._broadcast()
+
+        def known(keys: list[bytes]) -> np.ndarray:
+            out = np.zeros(len(keys), bool)
+            for group in held if keys else ():
+                out |= group.value.contains(*_halves(keys))
+                if len(held) > 1:
+                    forget(group)
+            return out
+
+        size = GATHERED_BYTES if len(held) > 1 else TEXT_BYTES
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (part for whole in (gathered(batches, size) if len(held) > 1 else batches) for part in slices(whole, size)):
+                keys = sorted({k for t in batch.column(0).to_pylist() for k in _keys(t) if k})
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, x in zip(keys, known(keys).tolist(), strict=True) if x], pa.binary())], names=["key"])
+
+        # Keys that a filter takes for frequent ones: about 1 in 10^9 of the distinct ones.
+        told = long_rows(docs.select(F.col(f"`{text}`").alias("t"))).mapInArrow(tidied(hits), "key binary").distinct()
+        false = told.join(self.counts.where(F.col("n") >= self.threshold), "key", "left_anti")
         spared = self.spark.sparkContext.broadcast({bytes(r["key"]) for r in false.collect()})
 
         def strip(batch: pa.RecordBatch) -> list:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             lines = [t.split("\n") for t in texts]
             keys = [_keys(t) for t in texts]
-            flat = [k for ks in keys for k in ks if k]
-            known = iter(held.value.contains(*_halves(flat)).tolist() if flat else [])
-            kept = [[x for x, k in zip(xs, ks, strict=True) if not (k and next(known) and k not in spared.value)] for xs, ks in zip(lines, keys, strict=True)]
+            gone = iter(known([k for ks in keys for k in ks if k]).tolist())
+            kept = [[x for x, k in zip(xs, ks, strict=True) if not (k and next(gone) and k not in spared.value)] for xs, ks in zip(lines, keys, strict=True)]
             return [["\n".join(x) for x in kept], [len(x) for x in lines], [len(x) - len(y) for x, y in zip(lines, kept, strict=True)]]
 
-        return map_texts(docs, [text], f"`{text}` string, n_lines long, n_dropped long", strip)
-
-    def _strip_joined(self, docs: DataFrame, text: str) -> DataFrame:
-        """``strip`` where the filters are too large to broadcast: lines meet the exact table in a shuffle.
-
-        A key is unique on the table's side, so Spark may split the lines of a
-        frequent one among tasks.
-        """
-        spelled = docs.withColumn("__key", text_key(text))
-
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(r, i, k) for r, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, k in enumerate(_keys(t)) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["__key", "line", "key"])
-
-        lines = spelled.select("__key", F.col(f"`{text}`")).mapInArrow(tidied(explode), "__key string, line int, key binary")
-        gone = lines.join(self.counts.where(F.col("n") >= self.threshold), "key").groupBy("__key").agg(F.collect_set("line").alias("__gone"))
-        both = spelled.join(gone, "__key", "left").drop("__key")
-
-        def strip(batch: pa.RecordBatch) -> list:
-            lines = [(t or "").split("\n") for t in batch.column(0).to_pylist()]
-            gone = [set(g or ()) for g in batch.column(1).to_pylist()]
-            return [["\n".join(x for i, x in enumerate(xs) if i not in g) for xs, g in zip(lines, gone, strict=True)], [len(x) for x in lines], [len(g) for g in gone]]
-
-        return map_texts(both, [text, "__gone"], f"`{text}` string, n_lines long, n_dropped long", strip, drop=("__gone",))
+        return map_texts(docs, [text], f"`{text}` string, n_lines long, n_dropped long", strip, text_bytes=size, gather=len(held) > 1)
 
 
 def _shard(shards: int):  # noqa: ANN202
