@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_id, line_dedup, packing, quality_rules, secrets, simhash, substring_dedup, token_files, toxicity
-from .common import shared_folder
+from .common import new_folder
 from .oracles import oracle_sql
 
 
@@ -47,9 +47,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    path = f"{shared_folder(spark)}/loam-tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     token_files.write(_table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_files.read(spark, path, with_ids=False)
 
@@ -64,6 +62,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: Limits of ``decontaminated_texts``: words of a span that may stay, and share of a document's words that may be hit.
+MAX_SPAN, MAX_COVERAGE = 12, 0.5
+
+
+def decontaminated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents within the coverage limit, without the hit spans that exceed the length limit."""
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), max_span=MAX_SPAN, max_coverage=MAX_COVERAGE)
+    return out.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -94,5 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_token_files, op5_substring_dedup, op6_decontamination, op7_secret_scan, op8_quality_rules, op9_simhash, op10_toxicity, pipeline]
+    made = [op1_best_fit_packing, op2_line_dedup, op3_language_id, op4_token_files, op5_substring_dedup, op6_decontamination, decontaminated_texts, op7_secret_scan, op8_quality_rules, op9_simhash, op10_toxicity, pipeline]
     return {f.__name__: f for f in made}
