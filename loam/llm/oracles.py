@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import STOP_WORDS
-from .secrets import ACCESS, ASSIGN, HEX, LIVE, MAX_OWNERS
+from .secrets import ACCESS, ASSIGN, HEX, LIVE, MAX_OWNERS, MAX_REPOSITORIES
 
 WS = r"[\x20\x09-\x0D]"
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -14,11 +14,12 @@ def _words(column: str) -> str:
 
 
 LINE_DEDUP = rf"""
-WITH L AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-K AS (SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^{WS}+', ''), '{WS}+$', ''), {LOWER}) AS key FROM L),
-G AS (SELECT key FROM K WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-M AS (SELECT doc_id, i, line, G.key IS NOT NULL AS gone FROM K LEFT JOIN G USING (key))
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM M GROUP BY doc_id"""
+WITH T AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+L AS (SELECT r, doc_id, unnest(x) AS line, unnest(range(len(x))) AS i FROM T),
+K AS (SELECT r, doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^{WS}+', ''), '{WS}+$', ''), {LOWER}) AS key FROM L),
+G AS (SELECT key FROM K WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+M AS (SELECT r, doc_id, i, line, G.key IS NOT NULL AS gone FROM K LEFT JOIN G USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM M GROUP BY r, doc_id"""
 
 SUBSTRING_DEDUP = rf"""
 WITH W AS MATERIALIZED (SELECT doc_id, {_words("text")} AS w FROM documents),
@@ -56,8 +57,8 @@ WITH T AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS
 A AS MATERIALIZED (SELECT doc_id, source, kind, CAST(start AS BIGINT) AS s, CAST(start AS BIGINT) + length(whole) AS e, value FROM ({_found(0, ASSIGN, 1, 8)} UNION ALL {_found(1, ACCESS, 0, 16)} UNION ALL {_found(2, HEX, 0, 32)} UNION ALL {_found(3, LIVE, 0, 20)})
  WHERE length(value) >= least AND (kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]')))),
 C AS (SELECT * FROM A a WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM A b WHERE b.kind < 3 AND b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)),
-O AS (SELECT value, count(DISTINCT string_split(source, '/')[1]) AS owners FROM C GROUP BY value),
-K AS (SELECT C.* FROM C JOIN O USING (value) WHERE kind < 3 OR owners <= {MAX_OWNERS}),
+O AS (SELECT value, count(DISTINCT string_split(source, '/')[1]) AS owners, count(DISTINCT source) AS repositories FROM C GROUP BY value),
+K AS (SELECT C.* FROM C JOIN O USING (value) WHERE kind < 3 OR (owners <= {MAX_OWNERS} AND repositories <= {MAX_REPOSITORIES})),
 X AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
  string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(['assign', 'access', 'hex', 'live'][kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans FROM K GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM T LEFT JOIN X USING (doc_id)"""
@@ -70,7 +71,7 @@ S AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i + 1:i + 8], ' ') AS win
 R AS (SELECT doc_id, win FROM S GROUP BY doc_id, win HAVING count(*) > 1),
 C AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM S JOIN R USING (doc_id, win)) GROUP BY doc_id),
 M AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
- CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop FROM W LEFT JOIN C USING (doc_id)),
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: translate(x, {LOWER}) IN ({_STOP}))) AS n_stop FROM W LEFT JOIN C USING (doc_id)),
 F AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM M)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words AND 50 * n_stop >= n_words AND 10 * n_dup_lines <= 6 * n_lines AS kept FROM F"""
 

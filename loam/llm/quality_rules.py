@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 WINDOW = 8
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Frequent short words of the languages at hand (fixed values).
 STOP_WORDS = (
@@ -82,7 +83,7 @@ def measures(text: str) -> Column:
             (F.size(F.split(t, SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("again"), F.size(x).cast("long").alias("all"))).alias("lines"),
             _repeat_words(words).alias("n_repeat_words"),
-            F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w: F.translate(w, UPPER, UPPER.lower()).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
         )
 
     return let(F.filter(F.split(t, SPACES + "+", -1), lambda w: F.length(w) > 0), of_words)
@@ -102,9 +103,13 @@ def compile_rules(rules: list[Rule], of: dict[str, Column]) -> Column:
 def assess(docs: DataFrame, text: str = "text", rules: list[Rule] = RULES, base: list[Rule] = BASE_RULES) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
-    A null text has no words.  ``base_failed`` says that a base rule is broken,
-    and ``kept`` that neither a base rule nor one of ``rules`` is.  Other columns
-    pass through; those with the names above are replaced.
+    ``base_failed`` says that a base rule is broken, and ``kept`` that neither a
+    base rule nor one of ``rules`` is.  A value on a threshold is within it.
+
+    Null and empty texts have no words and fail.  Texts are judged whole at any
+    length, each row by its text alone, so repeated rows get the same.  An empty
+    table gives no rows.  Other columns pass through; those with the names above,
+    in any case, are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .quality_rules import let
 
 #: Patterns of the base kinds, in order (fixed values).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -19,8 +20,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # maximal runs of 32 and more: the same spans as all runs, less the short ones
 LIVE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "live"]
-#: A candidate of more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A candidate of more owners than this, or of more repositories, is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 20
+#: Matches of a text that are folded together.
+BLOCK = 256
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
@@ -33,7 +36,7 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     # arrays_zip pads the matches by one, for the text behind the last.
-    steps = F.arrays_zip(gaps.alias("gap"), found.alias("whole"), values.alias("value"))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("whole"), values.alias("value")), lambda x: x["whole"].isNotNull())
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)")
 
     def add(state: Column, x: Column) -> Column:
@@ -42,8 +45,17 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
         row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(state["rows"], F.array(row))).otherwise(state["rows"]).alias("rows"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("rows"))
-    rows = F.aggregate(F.filter(steps, lambda x: x["whole"].isNotNull()), start, add, lambda s: s["rows"])
+    # A fold copies its array with each match, so matches are folded in blocks, whose own lengths then move them.
+    begin = F.struct(F.lit(0).alias("at"), empty.alias("rows"))
+    fold = lambda x: F.aggregate(x, begin, add)
+    blocks = lambda x: F.transform(F.sequence(F.lit(1), F.size(x), F.lit(BLOCK)), lambda i: fold(F.slice(x, i, BLOCK)))
+
+    def moved(folded: Column) -> Column:
+        before = F.aggregate(folded, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + b["at"])))
+        shift = lambda rows, by: F.transform(rows, lambda r: F.struct((r["start"] + by).alias("start"), r["kind"].alias("kind"), (r["end"] + by).alias("end"), r["value"].alias("value")))
+        return let(before, lambda starts: F.flatten(F.transform(folded, lambda b, i: shift(b["rows"], F.get(starts, i)))))
+
+    rows = let(steps, lambda x: F.when(F.size(x) <= BLOCK, fold(x)["rows"]).otherwise(let(blocks(x), moved)))
     return F.when(text.rlike(pattern), rows).otherwise(empty)
 
 
@@ -52,15 +64,21 @@ def _spell(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row for each row of ``docs``: (id, base, added, n_copied).
 
     ``base`` and ``added`` are arrays of (start, kind, end, value), by start and
     then kind, in code points, end exclusive.  ``added`` has the long tokens
-    outside base spans that at most ``max_owners`` owners hold; ``n_copied``
-    counts the candidates, base ones included, that more hold.  The owner is the
-    repository's name up to a slash; a null repository is one of its own.  A
-    null text is empty.
+    outside base spans that at most ``max_owners`` owners hold, in at most
+    ``max_repositories`` repositories; ``n_copied`` counts the candidates, base
+    ones included, that more hold.  The owner is the repository's name up to a
+    slash; a null repository is one of its own, as is an empty one.
+
+    A null text is empty and has no spans.  Texts are read whole at any length
+    and number of matches.  Spans of two kinds at one place are all given, in the
+    order of KINDS.  Repeated rows, with null ids or not, each come out, and
+    count as one holder.  An empty table gives no rows.  Other columns are left
+    out, so their names cannot clash.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(_matches(t, 0, ASSIGN, 1, 8), _matches(t, 1, ACCESS, 0, 16), _matches(t, 2, HEX, 0, 32)))
@@ -75,7 +93,7 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", reposi
     held = each.groupBy("hash", "repository").agg(F.count("*").alias("n")).groupBy("hash", owner).agg(F.count("*").alias("repositories")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     # Hashes are unique in ``held``, so Spark may split the rows of a very common one among tasks.
     weighed = each.join(held, "hash")
-    copied = F.col("owners") > max_owners
+    copied = (F.col("owners") > max_owners) | (F.col("repositories") > max_repositories)
     back = weighed.groupBy("id", "row").agg(
         F.array_sort(F.collect_set(F.when((F.col("s.kind") == 3) & ~copied, F.col("s")))).alias("added"),
         F.count_distinct(F.when(copied, F.col("s"))).alias("n_copied"),
