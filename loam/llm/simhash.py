@@ -4,9 +4,8 @@ Distinct fingerprints are the leaves of a binary trie.  Node pairs are
 traversed together, level by level, with the bits that differ so far; a pair is
 pruned once they exceed the budget.  The join is distributed by the pigeonhole
 principle: of ``budget + 1`` blocks of bits one must agree, so each task has the
-tries below its values of a block.  A block value with very many fingerprints
-is split further by the next bits; a fingerprint then also visits the cells
-within the budget.
+tries of its block values.  The fingerprints of a block value that has very many
+are dealt again by the same principle, over the bits that are left.
 """
 
 from __future__ import annotations
@@ -20,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import components, map_texts, materialize, tidied
 
-#: Fingerprints with the same block value beyond which a trie is split into cells by its next 8 bits.
-CELL = 50_000
-SPLIT_BITS = 8
+#: Fingerprints of a trie beyond which they are dealt again, so many times at most.
+CELL, LEVELS = 50_000, 3
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -127,99 +125,100 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
+def _deal(rows: DataFrame, width: int, blocks: int) -> DataFrame:
+    """Rows (path, rest, simhash) once for each block of the ``width`` bits of rest: the path grows by the block, rest loses it."""
+    sizes = [width // blocks + (i < width % blocks) for i in range(blocks)]
+    out, low = [], 0
+    for i, size in enumerate(sizes):
+        value = F.shiftrightunsigned("rest", low).bitwiseAND((1 << size) - 1)
+        above = F.shiftleft(F.shiftrightunsigned("rest", low + size), low) if low + size < 64 else F.lit(0).cast("long")
+        path = F.xxhash64("path", F.lit(i), value)
+        out.append(F.struct(path.alias("path"), above.bitwiseOR(F.col("rest").bitwiseAND((1 << low) - 1)).alias("rest")))
+        low += size
+    return rows.select("simhash", F.explode(F.array(*out)).alias("x")).select("x.path", "x.rest", "simhash")
+
+
 def links(prints: DataFrame, budget: int = 2, cell: int = CELL) -> DataFrame:
     """Links (u, v) of distinct fingerprints (column simhash) that join the same ones as all pairs within ``budget`` bits.
 
     A task gives a spanning forest of the pairs it finds: no pair is lost to
     the components, and a dense group gives no more links than it has members.
+    Paths of blocks are hashed; should two of them meet, their fingerprints are
+    compared in vain.
     """
-    blocks = budget + 1
-    sizes = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    x = F.col("simhash")
-    turned, low = [], 0
-    for i, size in enumerate(sizes):  # block i at the top, the rest in order below it
-        turn = x if low + size == 64 else F.shiftleft(x, 64 - low - size).bitwiseOR(F.shiftrightunsigned(x, low + size))
-        turned.append(F.struct(F.lit(i).alias("r"), F.shiftrightunsigned(turn, 64 - size).alias("block"), F.shiftleft(turn, size).alias("rest")))
-        low += size
-    rows = materialize(prints.select("simhash", F.explode(F.array(*turned)).alias("x")).select("x.r", "x.block", "x.rest"))
-    counts = rows.groupBy("r", "block").agg(F.count("*").alias("n")).where("n > 1")
-    head = F.shiftrightunsigned("rest", 64 - SPLIT_BITS)
-    masks = [0] + [1 << i for i in range(SPLIT_BITS)] if budget < 2 else [m for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget]
-    cells = F.filter(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: head.bitwiseXOR(m)), lambda c: c >= head)
-    dealt = rows.join(counts, ["r", "block"]).select("r", "block", "rest", F.explode(F.when(F.col("n") > cell, cells).otherwise(F.array(F.lit(-1).cast("long")))).alias("cell"))
-    key = ["r", "block", "cell"]
+    blocks, width, parts = budget + 1, 64, []
+    rows = prints.select(F.lit(0).cast("long").alias("path"), F.col("simhash").alias("rest"), "simhash")
+    for level in range(LEVELS):
+        rows = materialize(_deal(rows, width, blocks))
+        counts = materialize(rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
+        hot, last = counts.where(F.col("n") > cell).select("path"), level == LEVELS - 1 or width < 4 * blocks
+        parts.append(rows.join(counts.where(F.lit(last) | (F.col("n") <= cell)).select("path"), "path").select("path", "simhash"))
+        if last or hot.isEmpty():
+            break
+        rows, width = rows.join(hot, "path"), width - width // blocks - 1
+    dealt = parts[0]
+    for p in parts[1:]:
+        dealt = dealt.unionByName(p)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def solve(part: np.ndarray) -> pa.RecordBatch:
-            r, block, rest = part["r"].astype(np.int64), part["block"], part["rest"].view(np.uint64)
-            group = np.cumsum(np.concatenate([[True], differs(part[1:], part[:-1])]))
-            us, vs = [], []
-            for i, size in enumerate(sizes):
-                mine = np.flatnonzero(r == i)
-                if not len(mine):
-                    continue
-                values = rest[mine] >> np.uint64(size)
-                root = _forest(len(mine), trie_pairs(values, group[mine], 64 - size, budget))
-                moved = np.flatnonzero(root != np.arange(len(mine)))
-                low = sum(sizes[:i])
-                for out, at in ((us, moved), (vs, root[moved])):
-                    turn = (block[mine][at].view(np.uint64) << np.uint64(64 - size)) | values[at]
-                    back = low + size
-                    out.append(turn if back == 64 else (turn >> np.uint64(64 - back)) | (turn << np.uint64(back)))
-            u, v = (np.concatenate(s) if s else np.zeros(0, np.uint64) for s in (us, vs))
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-        def differs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            return (a["block"] != b["block"]) | (a["r"] != b["r"]) | (a["cell"] != b["cell"])
-
-        def whole(rows: np.ndarray) -> int:
-            """Rows before the last group, which may go on in the next batch."""
-            other = np.flatnonzero(differs(rows, rows[-1:]))
-            return int(other[-1]) + 1 if len(other) else 0
-
-        n = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def solve(path: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.concatenate([[True], path[1:] != path[:-1]]))
+            root = _forest(len(value), trie_pairs(value, group, 64, budget))
+            moved = np.flatnonzero(root != np.arange(len(value)))
+            return pa.RecordBatch.from_arrays([pa.array(value[moved].view(np.int64)), pa.array(value[root[moved]].view(np.int64))], names=["u", "v"])
+
+        n, most = 0, 1 << 20
         for batch in batches:
-            if not batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+            n += batch.num_rows
+            if n < most:
                 continue
-            part = np.empty(batch.num_rows, dtype=[("r", np.int32), ("block", np.int64), ("cell", np.int64), ("rest", np.int64)])
-            for name in part.dtype.names:
-                part[name] = batch.column(name).to_numpy()
-            held.append(part)
-            n += len(part)
-            if n >= 1 << 20:
-                rows = np.concatenate(held)
-                cut = whole(rows)
-                if cut:
-                    yield solve(rows[:cut])
-                held, n = [rows[cut:]], len(rows) - cut
+            path, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            other = np.flatnonzero(path != path[-1])  # the last path may go on in the next batch
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield solve(path[:cut], value[:cut])
+            held, n = [(path[cut:], value[cut:])], len(path) - cut
+            most = max(1 << 20, 2 * n)
         if n:
-            yield solve(np.concatenate(held))
+            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    # "rest" is compared as unsigned bits: flipping the top one makes Spark's order that of the trie.
-    order = F.col("rest").bitwiseXOR(F.lit(-(1 << 63)))
-    return dealt.repartition(*key).sortWithinPartitions(*key, order).select(*key, "rest").mapInArrow(tidied(join), "u long, v long")
+    # Fingerprints are compared as unsigned bits: flipping the top one makes Spark's order that of the trie.
+    order = F.col("simhash").bitwiseXOR(F.lit(-(1 << 63)))
+    return dealt.repartition("path").sortWithinPartitions("path", order).mapInArrow(tidied(join), "u long, v long")
 
 
-def cluster(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, cell: int = CELL) -> DataFrame:
-    """(id, simhash, component_id): component_id is the smallest id whose fingerprint can be reached by links.
+def classes(prints: DataFrame, budget: int = 2, cell: int = CELL) -> DataFrame:
+    """(simhash, n, component_id) of rows (id, simhash): each fingerprint's rows, and the smallest id of its class.
 
-    Fingerprints link if they differ in at most ``budget`` bits; texts without
-    a word have fingerprint 0 and link like any other.  Null ids are never the
-    smallest unless all are null.  One row for each row of ``docs``.
+    ``id`` may be of any type that has an order, a struct too.
     """
-    prints = materialize(fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", width, ("text",)))
     leaves = materialize(prints.groupBy("simhash").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     linked = components(links(leaves.select("simhash"), budget, cell))
     own = leaves.join(linked, leaves["simhash"] == linked["node"], "left").select("simhash", "first", "n", F.coalesce("root", "simhash").alias("root"))
     own = materialize(own)
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = materialize(own.join(least, "root").select("simhash", "n", "component_id"))
+    return materialize(own.join(least, "root").select("simhash", "n", "component_id"))
+
+
+def cluster(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, cell: int = CELL) -> DataFrame:
+    """(id, simhash, component_id): component_id is the smallest id whose fingerprint can be reached by links.
+
+    Fingerprints link if they differ in at most ``budget`` bits; texts without
+    a word have fingerprint 0 and link like any other: null and empty texts are
+    near-duplicates of each other.  Texts are read whole at any length.  Null ids
+    are never the smallest unless all are null.  Repeated rows each come out, in
+    the same class; an empty table gives no rows.  Other columns are left out, so
+    their names cannot clash.  One row for each row of ``docs``.
+    """
+    prints = materialize(fingerprints(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), "text", width, ("text",)))
+    found = classes(prints, budget, cell)
     # Fingerprints of over 1/1000 of all rows are 1000 at most: they are broadcast, so that no task gets a hot one's rows.
-    total = leaves.agg(F.sum("n")).first()[0] or 0
-    hot = classes.where(F.col("n") * 1000 > total)
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("n") * 1000 > total)
     near = prints.join(F.broadcast(hot.select("simhash")), "simhash", "left_anti")
     common = prints.join(F.broadcast(hot.select("simhash", "component_id")), "simhash")
-    rest = near.join(classes.select("simhash", "component_id"), "simhash")
+    rest = near.join(found.select("simhash", "component_id"), "simhash")
     return common.select("id", "simhash", "component_id").unionByName(rest.select("id", "simhash", "component_id")).withColumnRenamed("id", id)
