@@ -23,7 +23,6 @@ from .tokens import BATCH, encoder
 OPEN_BINS = 4096
 WINDOW = 8192  # pieces that are put in order of length at a time
 FAN_IN = 32  # partitions whose open bins are packed together
-ROOM = 16  # a bin stays open past its partition if more than this share of it, 1/16, is free
 
 
 class BestFit:
@@ -62,9 +61,8 @@ class BestFit:
             self.closed.append(found)
         return found, self.size - room
 
-    def roomy(self, least: int) -> set[int]:
-        """Open bins with more than ``least`` free."""
-        return {b for room in range(least + 1, self.size + 1) for b in self.bins[room]}
+    def open_bins(self) -> set[int]:
+        return {b for held in self.bins for b in held}
 
 
 def pieces_of(n: int, size: int) -> Iterator[tuple[int, int]]:
@@ -79,9 +77,15 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id:
     """Pieces of all documents and their places: (id, piece, start, length, ids_crc32, sequence_id, offset[, ids]).
 
     A document is its text's ids and then ``end_id``; a null text is an empty
-    one, which leaves the end id alone.  Repeated rows are packed once each.
-    ``with_ids`` adds the ids as little-endian unsigned 32-bit integers.  Other
-    columns are left out.  No documents: no rows.
+    one, which leaves the end id alone.  Longer ones than a sequence are cut,
+    whatever their length.  Repeated rows are packed once each, with or without
+    ids; among bins of equal room any may be chosen.  ``with_ids`` adds the ids as
+    little-endian unsigned 32-bit integers.  Other columns are left out, so their
+    names cannot clash.  No documents: no rows.
+
+    Pieces are put in order of length ``WINDOW`` at a time before they are
+    placed; a bin that is still open at a partition's end goes on to
+    :func:`merge`, so that partitions do not leave room behind.
     """
     kind = docs.schema[id].dataType
     schema = T.StructType([T.StructField(id, kind)]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("bin", "long").add("offset", "long").add("open", "boolean")
@@ -119,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id:
                     yield from flush(fit.closed, False)
                     fit.closed.clear()
         place()
-        roomy = fit.roomy(size // ROOM)
+        roomy = fit.open_bins()
         yield from flush([b for b in placed if b not in roomy], False)
         yield from flush(roomy, True)
 
@@ -148,7 +152,7 @@ def merge(bins: DataFrame, size: int, open_bins: int = OPEN_BINS) -> DataFrame:
             for _, b, fill in mine:
                 into, base = fit.place(fill)
                 out.append([b, made.setdefault(into, b), base, into])
-            roomy = fit.roomy(size // ROOM)
+            roomy = fit.open_bins()
             for row in out[-len(mine) :]:
                 row[3] = row[3] in roomy
         names = ["bin", "sequence_id", "base", "roomy"]

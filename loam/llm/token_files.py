@@ -130,9 +130,11 @@ def decode_chunk(payload: bytes) -> list[np.ndarray]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all documents, ascending by id, as token files under ``path``.
 
-    A null text is an empty one, which leaves the end id alone.  Null ids come
-    first; rows with the same id are ordered by a hash of their text.  Other
-    columns are left out.
+    A null text is an empty one, which leaves the end id alone; a text of any
+    length is one document.  Null ids come first; rows with the same id are
+    ordered by a hash of their text, and rows that repeat each other are written
+    as often as they come.  An empty table gives files without documents.  Other
+    columns are left out, so their names cannot clash.
     """
     kind = docs.schema[id].dataType
     schema = T.StructType().add("shard", "long").add("chunk", "integer").add("local_start", "long").add("n_ids", "long").add("doc_ids", T.ArrayType(kind)).add("payload", "binary")
