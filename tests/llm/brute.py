@@ -101,6 +101,32 @@ def decontamination(docs, items, window=10):
     return out
 
 
+def decontaminated(docs, items, max_span, max_coverage, window=10):
+    """{doc_id: sha256 of its text without long hit spans}, for documents whose coverage is within the limit."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall((t or "").translate(LOWER))
+    windows = {tuple(w[i : i + window]) for _, t in items for w in [split(t)] if w for i in range(max(1, len(w) - window + 1))}
+    out = {}
+    for d, t in docs:
+        places, w = [m.span() for m in word.finditer((t or "").translate(LOWER))], split(t)
+        hit = sorted({j for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n)})
+        if len(hit) > max_coverage * len(w):
+            continue
+        spans = []
+        for j in hit:
+            if spans and spans[-1][1] == j:
+                spans[-1][1] = j + 1
+            else:
+                spans.append([j, j + 1])
+        text, at = [], 0
+        for a, b in spans:
+            if b - a > max_span:
+                text.append(t[at : places[a][0]])
+                at = places[b - 1][1]
+        out[d] = sha(" ".join(x.strip(" ") for x in [*text, t[at:]]) if text else t or "")
+    return out
+
+
 def secrets(docs):
     """(doc_id, n_assign, n_access, n_hex, base_sha256)"""
     kinds = [

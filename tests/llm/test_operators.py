@@ -102,14 +102,28 @@ def test_best_fit_closes_the_fullest():
     assert fit.closed == [1, 2]  # of 6 and 8 filled, the fuller one
 
 
-@pytest.mark.parametrize("bytes_", [line_dedup.MAX_FILTER_BYTES, 0])
-def test_line_dedup(docs, spark, bytes_):
+@pytest.mark.parametrize(("bytes_", "keys"), [(line_dedup.MAX_FILTER_BYTES, line_dedup.KEYS_PER_SHARD), (0, 2)])
+def test_line_dedup(docs, spark, bytes_, keys, monkeypatch):
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", keys)
     index = line_dedup.LineIndex(spark, 10, bytes_).insert(docs)
+    assert len(index._broadcast()) == (1 if bytes_ else max(1, index.filters.count()))
     out = index.strip(docs)
     assert {"source", "lang"} <= set(out.columns)
     same(rows(out, "doc_id", "n_lines", "n_dropped", F.sha2("text", 256)), brute.line_dedup(pairs(docs)))
 
 
+def test_keys_that_a_filter_mistakes_are_spared(spark):
+    from loam.llm import cuckoo
+
+    docs = spark.createDataFrame([(i, "common\nown" if i == 0 else "common") for i in range(4)], "id long, text string")
+    index = line_dedup.LineIndex(spark, 3).insert(docs)
+    first, second = line_dedup._halves([line_dedup.line_key(x) for x in (b"common", b"own", b"never seen")])
+    table = cuckoo.build(first.tolist(), second.tolist()).table
+    index.filters = spark.createDataFrame([(0, bytearray(table.tobytes()))], "shard int, payload binary")
+    kept = index.strip(spark.createDataFrame([(9, "never seen\nCommon\nown")], "id long, text string")).first()
+    assert (kept.text, kept.n_lines, kept.n_dropped) == ("never seen\nown", 3, 1)
+
+
 def test_line_dedup_can_be_undone(hard, spark):
     half = hard.where("doc_id % 2 = 0")
     rest = hard.where("not (doc_id % 2 = 0) or doc_id is null")
@@ -144,20 +158,44 @@ def test_token_blocks_round_trip():
         assert [x.astype("<u4").tobytes() for x in token_files.decode_chunk(token_files.encode_chunk(raw))] == raw
 
 
-@pytest.mark.parametrize(("hot", "bytes_"), [(substring_dedup.HOT, substring_dedup.FILTER_BYTES), (3, 8192)])
-def test_substring_dedup(docs, hot, bytes_):
-    out = substring_dedup.remove_repeats(docs, hot=hot, filter_bytes=bytes_)
+@pytest.mark.parametrize(("hot", "bytes_", "batches"), [(substring_dedup.HOT, substring_dedup.FILTER_BYTES, substring_dedup.BATCHES), (3, 8192, 5)])
+def test_substring_dedup(docs, hot, bytes_, batches):
+    out = substring_dedup.remove_repeats(docs, hot=hot, filter_bytes=bytes_, batches=batches)
     same(rows(out, "doc_id", "n_words", "n_removed", F.sha2("text", 256)), brute.substring_dedup(pairs(docs)))
 
 
 def test_substring_dedup_in_batches(hard, spark):
-    early, late = hard.where("doc_id % 2 = 0"), hard.where("not (doc_id % 2 = 0) or doc_id is null")
-    index = substring_dedup.FingerprintIndex(spark)
-    substring_dedup.remove_repeats(early, index=index)
-    out = substring_dedup.remove_repeats(late, index=index.compact(), history=early)
-    wanted = {tuple(map(str, r)) for r in brute.substring_dedup(pairs(hard))}
-    assert {tuple(map(str, r)) for r in rows(out, "doc_id", "n_words", "n_removed", F.sha2("text", 256))} <= wanted
-    assert out.count() == late.count()
+    parts = [hard.where(f"coalesce(doc_id, 1) % 3 = {i}") for i in range(3)]
+    index, before = substring_dedup.FingerprintIndex(spark, fan_in=2), None
+    for part in parts:
+        out = substring_dedup.remove_repeats(part, index=index, history=before)
+        before = part if before is None else before.unionByName(part)
+        mine = {(r[0], r[1]) for r in pairs(part)}
+        wanted = [w for (d, t), w in zip(pairs(before), brute.substring_dedup(pairs(before)), strict=True) if (d, t) in mine]
+        same(rows(out, "doc_id", "n_words", "n_removed", F.sha2("text", 256)), wanted)
+        assert len(index.runs) == 1
+    every = substring_dedup.fingerprints(hard.select(F.col("doc_id").alias("row"), "text"), substring_dedup.WIDTH, substring_dedup.GRAM).groupBy("fp").agg(F.sum("n").alias("n"))
+    assert rows(index.table(), "fp", "n") == rows(every, "fp", "n")
+    index.drop()
+
+
+def test_history_is_joined_without_a_shuffle(hard, spark):
+    prints = substring_dedup.fingerprints(hard.select(F.col("doc_id").alias("row"), "text"), substring_dedup.WIDTH, substring_dedup.GRAM)
+    index = substring_dedup.FingerprintIndex(spark, fan_in=9)
+    for _ in range(2):
+        index.add(prints)
+    a, b = (spark.table(r) for r in index.runs)
+    plan = a.hint("merge").join(b.hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.drop()
+    assert not index.runs
+
+
+def test_a_window_of_very_many_places_is_held_once(spark):
+    copies = spark.range(400).select("id", F.lit(" ".join(f"w{i}" for i in range(60))).alias("text"))
+    docs = copies.unionByName(spark.range(400, 800).select("id", F.concat(F.lit("x"), "id", F.lit(" "), F.lit(" ".join(f"w{i}" for i in range(36))), F.lit(" y"), "id").alias("text")))
+    out = substring_dedup.remove_repeats(docs.repartition(16), id="id", hot=5)
+    assert {(r.n_words, r.n_removed) for r in out.select("n_words", "n_removed").collect()} == {(60, 60), (38, 36)}
 
 
 @pytest.mark.parametrize("most", [decontaminate.MAX_WORDS, 13])
@@ -168,6 +206,31 @@ def test_decontamination(docs, items, spark, sf, most):
         same(found, brute.decontamination(pairs(docs), [(r[0], r[1]) for r in held.collect()]))
 
 
+def test_automata_of_repeated_words_are_linear(spark):
+    import time
+
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        found = decontaminate.SuffixAutomaton([("k", [b"a"] * n), ("s", [b"a", b"b"])], 10)
+        spans, keys = found.scan([b"a"] * n + [b"c"] + [b"a"] * 9 + [b"b"])
+        took.append(time.process_time() - began)
+        assert (spans, keys) == ([(0, n), (n + 9, n + 11)], {"k", "s"})
+    assert took[1] < 4 * took[0] + 0.5
+
+
+def test_decontaminated_texts(spark, sf):
+    got = {r.doc_id: r for r in queries.decontaminated_texts(spark, sf).collect()}
+    docs, items = ([(r[0], r[1]) for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    wanted = brute.decontaminated(docs, items, queries.MAX_SPAN, queries.MAX_COVERAGE)
+    assert {k: r.kept_sha256 for k, r in got.items()} == wanted
+    assert any(wanted[k] != brute.sha(dict(docs)[k] or "") for k in wanted)
+    strict = decontaminate.decontaminate(*(spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark")), max_span=9, max_coverage=0.02)
+    wanted = brute.decontaminated(docs, items, 9, 0.02)
+    assert {r[0]: r[1] for r in strict.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).collect()} == wanted
+    assert 0 < len(wanted) < len(docs)
+
+
 def test_decontamination_cuts_spans_or_drops_documents(spark, items):
     docs = spark.createDataFrame([(1, "Before it. A Tiny -- Item; after"), (2, "clean text"), (3, None)], "doc_id long, text string")
     assert [r.doc_id for r in decontaminate.decontaminate(docs, items.where("item_id = 2")).orderBy("doc_id").collect()] == [2, 3]
