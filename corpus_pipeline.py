@@ -34,17 +34,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id, and of its repeats the first by content.
+    """One document of each group of near-duplicates: the one of the smallest id, and of its ids' repeats the first by content.
 
-    Documents whose ids are null are a group's choice only where it has no other.
+    Documents are told apart by id and content, so those without an id, or with
+    one that others have, are chosen and kept like all; ids come before none.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("__id")
-    found = simhash.cluster(docs)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    # The choice among repeats is by the join's key, so that texts are dealt out once.
-    first = docs.select("*", key).join(chosen, "__id", "left_semi")
-    order = Window.partitionBy("__id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]))
-    return first.withColumn("__n", F.row_number().over(order)).where("__n = 1").select([F.col(f"`{c}`") for c in docs.columns])
+    content = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
+    prints = simhash.fingerprints(docs.select(key.alias("id"), "text"), drop=("text",))
+    chosen = simhash.classes(materialize(prints)).select(F.col("component_id").alias("__key")).distinct()
+    # Rows that repeat each other are cut to one before they are dealt out, by the key of the join behind.
+    first = F.row_number().over(Window.partitionBy("__key").orderBy("__key.a"))
+    single = docs.select("*", key.alias("__key")).withColumn("__n", first).where("__n = 1")
+    return single.join(chosen.hint("merge"), "__key", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
