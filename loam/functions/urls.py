@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit
+from urllib.parse import parse_qsl, quote, quote_plus, unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +16,11 @@ from . import fixed_values as V
 URL = r"^(?i:(https?))://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+def let(value: Column, body) -> Column:  # noqa: ANN001
+    """``body`` of a value that is worked out once: the value is bound as a lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
@@ -90,22 +95,87 @@ def normalize(url: Column) -> Column:
     return F.when((host != "") & ~F.contains(authority(url), F.lit("@")), built)
 
 
-def normalize_text(url: str | None) -> str | None:
-    """Canonical form of any URL, with decoded and re-encoded query and resolved dot segments."""
+def ipv4_number(host: str) -> int | None:
+    """The address that a host spells in one to four decimal, octal or hexadecimal numbers, the last of which fills what is left."""
+    parts = host.removesuffix(".").split(".")
+    if not 1 <= len(parts) <= 4:
+        return None
+    numbers = []
+    for p in parts:
+        base = 16 if p[:2].lower() == "0x" else 8 if len(p) > 1 and p[0] == "0" else 10
+        digits = p[2:] if base == 16 else p
+        try:
+            numbers.append(int(digits or "0", base) if p and digits.isascii() and digits.isalnum() or (base == 16 and not digits) else int("x"))
+        except ValueError:
+            return None
+    *high, last = numbers
+    if any(n > 255 for n in high) or last >= 256 ** (4 - len(high)):
+        return None
+    return sum(n << 8 * (3 - i) for i, n in enumerate(high)) + last
+
+
+def spelled_host(host: str) -> str | None:
+    """A host in its canonical spelling: lower-case, international labels in ASCII, addresses of either version in their usual form."""
+    import ipaddress as ip
+
+    if host.startswith("["):
+        if "%" in host or not host.endswith("]"):
+            return None
+        try:
+            return f"[{ip.IPv6Address(host.strip('[]')).compressed}]"
+        except ValueError:
+            return None
+    host = unquote(host).lower()
     try:
-        parts = urlsplit((url or "").strip())
-        host, port = (parts.hostname or "").lower(), parts.port
-    except ValueError:
+        host = host if host.isascii() else host.encode("idna").decode()
+    except UnicodeError:
+        return None
+    if not host or re.search(r"[\x00-\x20#%/:<>?@\[\\\]^|\x7f]", host):
+        return None
+    number = ipv4_number(host)
+    if number is not None:
+        return str(ip.IPv4Address(number))
+    last = host.removesuffix(".").rpartition(".")[2]
+    return None if last.isdigit() or re.fullmatch("0x[0-9a-f]*", last) else host
+
+
+def normalize_text(url: str | None) -> str | None:
+    """Canonical form of any URL, with decoded and re-encoded query, resolved dot segments and canonical host."""
+    found = re.match(r"(?is)\s*(https?):[/\\]*([^/\\?#]*)([^?#]*)(?:\?([^#]*))?", (url or "").translate(_DROPPED))
+    if not found:
         return None
-    if parts.scheme.lower() not in ("http", "https") or not host or "@" in parts.netloc:
+    scheme, netloc, path, query = found[1].lower(), found[2], found[3].replace("\\", "/"), (found[4] or "").strip()
+    if "@" in netloc:
+        return None
+    name, colon, port = netloc.strip().rpartition(":") if not netloc.strip().endswith("]") else (netloc.strip(), "", "")
+    name, port = (name, port) if colon else (port or name, "")
+    host = spelled_host(name)
+    if host is None or (port and not (port.isascii() and port.isdigit() and int(port) < 65536)):
         return None
     labels = host.split(".")
     site = host if len(labels) <= 2 else ".".join(labels[-3:] if ".".join(labels[-2:]) in V.TWO_LEVEL_SUFFIXES else labels[-2:])
     drop = set(V.TRACKING_PARAMS).union(*(p for s, p in V.SITE_TRACKING_PARAMS.items() if site.startswith(s)))
-    pairs = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in drop)
-    path = urlsplit(urljoin("http://h/", quote(parts.path or "/", safe="/%:@!$&'()*+,;=~-._[]|"))).path or "/"
-    where = host if port in (None, {"http": 80, "https": 443}[parts.scheme.lower()]) else f"{host}:{port}"
-    return f"{parts.scheme.lower()}://{where}{path}" + (f"?{urlencode(pairs)}" if pairs else "")
+    pairs = sorted((k, v) for k, v in parse_qsl(query, keep_blank_values=True) if k.lower() not in drop)
+    path = urlsplit(urljoin("http://h/", quote(path.strip() if not query and found[4] is None else path or "/", safe="/%:@!$&'()*+,;=~-._[]|") or "/")).path or "/"
+    where = host if not port or int(port) == {"http": 80, "https": 443}[scheme] else f"{host}:{int(port)}"
+    form = lambda x: quote_plus(x, safe="*").replace("~", "%7E")
+    return f"{scheme}://{where}{path}" + ("?" + "&".join(f"{form(k)}={form(v)}" for k, v in pairs) if pairs else "")
+
+
+#: Tabs and line ends are no part of a URL.
+_DROPPED = dict.fromkeys(map(ord, "\t\n\r"))
+#: URLs that built-in functions bring into canonical form as well: plain ASCII hosts that are no addresses, plain paths without dot segments, plain queries.
+PLAIN = r"^(?i:https?)://(?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*(?::[1-9]\d{0,3})?(?:/(?!\.{1,2}(?:[/?#]|$))[A-Za-z0-9_~!$&'()*+,;=:@-][A-Za-z0-9._~!$&'()*+,;=:@-]*)*/?(?:\?(?:[A-Za-z0-9_.-]+=[A-Za-z0-9_.*-]*(?:&[A-Za-z0-9_.-]+=[A-Za-z0-9_.*-]*)*)?)?(?:#.*)?$"
+
+
+def canonical(url: Column) -> Column:
+    """Canonical form of any URL: built-in functions for plain ones, Python for the others.
+
+    It is worked out once where it is selected: the optimizer does not copy it
+    into the conditions that come after.
+    """
+    plain = url.rlike(PLAIN)
+    return F.when(plain, normalize(url)).otherwise(_exact_once(F.when(~plain, url)))
 
 
 @F.pandas_udf(T.StringType())
@@ -113,6 +183,14 @@ def normalize_exact(urls: pd.Series) -> pd.Series:
     return urls.map(normalize_text)
 
 
+@F.pandas_udf(T.StringType())
+def _exact_once(urls: pd.Series) -> pd.Series:
+    return urls.map(normalize_text)
+
+
+_exact_once = _exact_once.asNondeterministic()  # only so that the optimizer leaves it in its place
+
+
 @F.pandas_udf(T.LongType())
 def url_key(urls: pd.Series) -> pd.Series:
     """XXH3-64 of a canonical URL, as a signed integer."""
@@ -135,28 +213,47 @@ def looks_generated(segment: Column) -> Column:
     return s.rlike("^[0-9a-f]{20,}$") | (s.rlike("^[0-9a-z]{24,}$") & s.rlike("[0-9]"))
 
 
+def parts(url: Column) -> Column:
+    """struct<host, path, query, low> of a URL: low is the path in lower case."""
+    path = path_of(url)
+    return F.struct(host_of(url).alias("host"), path.alias("path"), query_of(url).alias("query"), F.lower(path).alias("low"))
+
+
 def skip_url(url: Column) -> Column:
     """URLs that are not followed."""
-    host, path, query = host_of(url), path_of(url), query_of(url)
-    low, parts = F.lower(path), segments(path)
-    names = F.transform(query_pairs(query), lambda p: F.lower(p["name"]))
-    edition = F.regexp_extract(host, r"^([^.]*)(?:\..*)?\.(?:" + alternation(V.WIKI_FAMILIES) + ")$", 1)
-    other_edition = host.rlike(r"\.(?:" + alternation(V.WIKI_FAMILIES) + ")$") & ~edition.isin(V.WIKI_EDITIONS)
-    tests = [
-        (host == "web.archive.org") & path.rlike("^/(web|save)/"),
-        other_edition,
-        F.contains(path, F.lit("/w/index.php")),
-        _leaf(path).rlike("^(?:" + alternation(V.WIKI_NAMESPACES) + ")"),
-        low.rlike("(?:" + alternation(V.SKIPPED_EXTENSIONS) + ")$"),
-        low.rlike(alternation(V.SKIPPED_FRAGMENTS + V.TRAP_FRAGMENTS)),
-        low.endswith("/login"),
-        F.size(parts) > 10,
-        F.octet_length(path) > 220,
-        F.size(F.filter(parts, looks_generated)) >= 2,
-        F.exists(names, lambda n: n.isin(V.SESSION_PARAMS + V.COPY_PARAMS)),
-        F.size(names) > 10,
-    ]
-    return _any(tests)
+    families = alternation(V.WIKI_FAMILIES)
+
+    def of(u: Column) -> Column:
+        host, path, low = u["host"], u["path"], u["low"]
+        edition = F.regexp_extract(host, r"^([^.]*)(?:\..*)?\.(?:" + families + ")$", 1)
+
+        def of_lists(x: Column) -> Column:
+            tests = [
+                (host == "web.archive.org") & path.rlike("^/(web|save)/"),
+                host.rlike(r"\.(?:" + families + ")$") & ~edition.isin(V.WIKI_EDITIONS),
+                F.contains(path, F.lit("/w/index.php")),
+                _leaf(path).rlike("^(?:" + alternation(V.WIKI_NAMESPACES) + ")"),
+                low.rlike("(?:" + alternation(V.SKIPPED_EXTENSIONS) + ")$"),
+                low.rlike(alternation(V.SKIPPED_FRAGMENTS + V.TRAP_FRAGMENTS)),
+                low.endswith("/login"),
+                F.size(x["parts"]) > 10,
+                F.octet_length(path) > 220,
+                F.size(F.filter(x["parts"], looks_generated)) >= 2,
+                F.exists(x["names"], lambda n: n.isin(V.SESSION_PARAMS + V.COPY_PARAMS)),
+                F.size(x["names"]) > 10,
+            ]
+            return _any(tests)
+
+        names = F.transform(query_pairs(u["query"]), lambda p: F.lower(p["name"]))
+        return let(F.struct(segments(path).alias("parts"), names.alias("names")), of_lists)
+
+    return let(parts(url), of)
+
+
+def is_sitemap_url(url: Column) -> Column:
+    """Paths that robots files name as inventories; they are fetched though their ending is one that is skipped."""
+    low = F.lower(path_of(url))
+    return F.contains(low, F.lit("sitemap")) & low.rlike(r"\.xml(\.gz)?$")
 
 
 def skip_index_url(url: Column) -> Column:
@@ -237,7 +334,17 @@ def public_ip(ips: pd.Series) -> pd.Series:
     return ips.map(test)
 
 
+@F.pandas_udf(T.StringType())
+def spelled(hosts: pd.Series) -> pd.Series:
+    """Canonical spelling of hosts; an address of version 6 loses its brackets."""
+    return hosts.map(lambda h: None if h is None else (spelled_host(h) or "").strip("[]"))
+
+
 def url_is_public(url: Column) -> Column:
-    """http(s) URLs whose host is not localhost nor a private literal address; names are taken as public."""
+    """http(s) URLs whose host is not localhost nor a private literal address, however it is spelled; names are taken as public."""
     host = host_of(url)
-    return (scheme(url) != "") & (host != "") & (host != "localhost") & ~host.endswith(".localhost") & F.coalesce(public_ipv4(host), F.lit(True))
+    name = host.rlike(r"^(?:[a-z0-9_-]+\.)*[a-z][a-z0-9_-]*$") & ~host.rlike(r"(?:^|\.)0x[0-9a-f]*$")
+    odd = spelled(F.when(~name, host))
+    literal = F.coalesce(public_ip(F.when(~name, odd)), F.lit(True))
+    local = lambda h: (h == "localhost") | h.endswith(".localhost")
+    return F.when(scheme(url) == "", False).when(name, ~local(host)).otherwise(F.coalesce((odd != "") & ~local(odd) & literal, F.lit(False)))

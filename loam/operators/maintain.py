@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loam.functions import text, urls
 
+from .tables import Versions
+
 
 def upsert(docs: DataFrame, new: DataFrame) -> DataFrame:
     """Documents with new ones in place of those with their URL."""
@@ -92,10 +94,24 @@ def to_json_array(docs: DataFrame, label: str = "") -> DataFrame:
     return edge("[", 0).unionByName(body).unionByName(edge("]", 2)).orderBy("part", "url", "comma").select("value")
 
 
-def compact(docs: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Write a table anew in few, sorted files."""
+def save_docs(docs: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
+    """Write a table's next version in few, sorted files, and make it the current one; gives it as readers see it."""
+    spark, versions = docs.sparkSession, Versions(docs.sparkSession, path)
+    to = versions.new()
     x = docs.repartitionByRange(partitions, "url") if partitions else docs.repartitionByRange("url")
-    x.sortWithinPartitions("url").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    x.sortWithinPartitions("url").write.option("compression", "zstd").parquet(to)
+    versions.publish(to)
+    return spark.read.parquet(to)
+
+
+def load_docs(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table."""
+    return spark.read.parquet(Versions(spark, path).current())
+
+
+def compact(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Write a table anew in few, sorted files; readers see the old files until all new ones are there."""
+    return save_docs(load_docs(spark, path), path, partitions)
 
 
 def stats(docs: DataFrame, frontier: DataFrame | None = None, queries: DataFrame | None = None, uptime_s: float = 0.0) -> DataFrame:
@@ -108,7 +124,10 @@ def stats(docs: DataFrame, frontier: DataFrame | None = None, queries: DataFrame
     return out.withColumn("docs_per_min", F.col("docs") / uptime_s * 60 if uptime_s else F.lit(0.0))
 
 
-def metrics(counters: DataFrame, prefix: str = "loam") -> DataFrame:
-    """The counters as Prometheus lines (value)."""
-    pairs = F.array(*[F.concat(F.lit(f"{prefix}_{c} "), F.col(c).cast("string")) for c in counters.columns])
-    return counters.select(F.explode(pairs).alias("value"))
+#: Counters that are reported, in order.
+METRICS = ["docs", "index_docs", "index_bytes", "queue_pending", "queue_disk", "workers_in_flight", "io_errors", "io_degraded", "queries_total", "queries_ms_total", "uptime_secs"]
+
+
+def metrics(counters: dict[str, int], prefix: str = "loam") -> str:
+    """All counters as Prometheus lines; those not given are 0."""
+    return "".join(f"{prefix}_{name} {int(counters.get(name, 0))}\n" for name in METRICS)

@@ -37,18 +37,18 @@ def retrieve(index: ix.Index, clauses: list[qs.Clause], need: int | None = None,
         return index.docs.select("doc_id", F.lit(0.0).alias("bm25")).limit(0)
     rows = [(i, k, t, f, float(boosts.get(f, 1.0)), len(c.terms), c.negative) for i, c in enumerate(clauses) for k, t in enumerate(c.terms) for f in c.fields if f in boosts or c.negative]
     wanted = _lit_rows(index.docs, rows, "clause int, place int, term string, field string, boost double, n int, negative boolean")
-    stats = index.term_stats.join(F.broadcast(index.field_stats), "field")
+    asked = F.col("term").isin(sorted({t for c in clauses for t in c.terms}))  # reaches the files' statistics
+    stats = index.term_stats.where(asked).join(F.broadcast(index.field_stats), "field")
     weights = F.broadcast(wanted.join(stats, ["term", "field"]).select("clause", "place", "term", "field", "boost", "n", "negative", "avg_len", ix.idf(F.col("n_docs"), F.col("df")).alias("idf")))
-    found = index.postings.join(weights, ["term", "field"])
-    single = found.where("n = 1").select("doc_id", "field", "clause", "negative", "boost", "idf", "avg_len", "tf")
-    phrases = found.where("n > 1").select("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "idf", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-    merged = phrases.groupBy("doc_id", "field", "clause", "negative", "boost", "n", "avg_len").agg(F.sum("idf").alias("idf"), F.collect_list("starts").alias("all"))
+    found = index.postings.where(asked).join(weights, ["term", "field"])
+    single = found.where("n = 1").select("doc_id", "field", "clause", "negative", "boost", "idf", "avg_len", "tf", "len")
+    phrases = found.where("n > 1").select("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "idf", "len", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
+    merged = phrases.groupBy("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "len").agg(F.sum("idf").alias("idf"), F.collect_list("starts").alias("all"))
     together = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.array_intersect(a, b))
     merged = merged.where(F.size("all") == F.col("n")).withColumn("tf", F.size(together)).where("tf > 0").select(*single.columns)
     hits = single.unionByName(merged) if any(len(c.terms) > 1 for c in clauses) else single
-    scored = hits.join(index.lengths, ["doc_id", "field"])
     weight = F.when(F.col("negative"), 0.0).otherwise(F.col("boost") * F.col("idf") * ix.term_weight(F.col("tf"), F.col("len"), F.col("avg_len")))
-    docs = scored.groupBy("doc_id").agg(F.sum(weight).alias("bm25"), F.count_distinct(F.when(~F.col("negative"), F.col("clause"))).alias("met"), F.max("negative").alias("bad"))
+    docs = hits.groupBy("doc_id").agg(F.sum(weight).alias("bm25"), F.size(F.collect_set(F.when(~F.col("negative"), F.col("clause")))).alias("met"), F.max("negative").alias("bad"))
     return docs.where((F.col("met") >= (len(positive) if need is None else need)) & ~F.col("bad")).select("doc_id", "bm25")
 
 
@@ -141,11 +141,16 @@ def title_key(title: Column, host: Column) -> Column:
     return F.when(gone & (F.size(labels) > 1), "").otherwise(F.substring(run, 1, 48))
 
 
+def cap_sites(hits: DataFrame, most: int = PER_SITE) -> DataFrame:
+    """The first hits of each site; ``hits`` has rank and host."""
+    w = Window.partitionBy(urls.site_key(F.col("host"))).orderBy("rank")
+    return hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
 def dedupe(hits: DataFrame, per_site: bool = True) -> DataFrame:
     """At most three hits of a site, then one of each title; ``hits`` has rank, host and title."""
     if per_site:
-        w = Window.partitionBy(urls.site_key(F.col("host"))).orderBy("rank")
-        hits = hits.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= PER_SITE).drop("__n")
+        hits = cap_sites(hits)
     keyed = hits.withColumn("__key", title_key(F.col("title"), F.col("host")))
     w = Window.partitionBy("__key").orderBy("rank")
     return keyed.withColumn("__n", F.row_number().over(w)).where("__key = '' or __n = 1").drop("__n", "__key")
@@ -269,7 +274,8 @@ def suggest(index: ix.Index, query: str) -> str | None:
 def suggestions(index: ix.Index, words: list[str]) -> DataFrame:
     """(word, term, df): the most frequent body term near each word, first in order among equals."""
     asked = _lit_rows(index.docs, [(w, w[:2], 1 if len(w.encode()) <= 5 else 2) for w in sorted(set(words))], "word string, prefix string, most int")
-    stats = index.term_stats.where("field = 'body'").select("term", "df", F.substring("term", 1, 2).alias("prefix"))
+    begins = reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in sorted({w[:2] for w in words})])  # reaches the files' statistics
+    stats = index.term_stats.where(begins & (F.col("field") == "body")).select("term", "df", F.substring("term", 1, 2).alias("prefix"))
     near = stats.join(asked, "prefix").withColumn("far", F.levenshtein("term", "word")).where("far between 1 and most")
     w = Window.partitionBy("word").orderBy(F.desc("df"), "term")
     return near.withColumn("n", F.row_number().over(w)).where("n = 1").select("word", "term", "df")

@@ -87,14 +87,16 @@ def skip_url_flags(spark, sf):
 
 
 YEAR = "'^(19[0-9][0-9]|20[0-9][0-9]|2100)$'"
-
-
-@query(f"""WITH {c.PARTS}, S AS (SELECT *, list_transform({SEGMENTS}, lambda s: lower(s)) AS seg FROM PP)
-SELECT page_id, coalesce((host = 'web.archive.org' AND starts_with(path, '/web/')) OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(?:{pattern(V.HUB_NAMESPACES)})') OR list_contains(seg, 'amp')
+HUB = f"""coalesce((host = 'web.archive.org' AND starts_with(path, '/web/')) OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '^(?:{pattern(V.HUB_NAMESPACES)})') OR list_contains(seg, 'amp')
  OR len(list_filter(seg[1:len(seg) - 1], lambda s: s IN ({c.quoted(V.LISTING_SEGMENTS)}))) > 0 OR coalesce(seg[1] IN ({c.quoted(V.AUTH_SEGMENTS)}) OR seg[len(seg)] IN ({c.quoted(V.AUTH_SEGMENTS)}), false)
  OR (len(seg) >= 2 AND seg[1] IN ({c.quoted(V.PROFILE_SEGMENTS)})) OR coalesce(regexp_matches(seg[len(seg)], {YEAR}), false)
  OR (len(seg) >= 2 AND regexp_matches(seg[len(seg)], '^[0-9]{{1,2}}$') AND (regexp_matches(seg[len(seg) - 1], {YEAR}) OR regexp_matches(seg[len(seg) - 1], '^[0-9]{{1,2}}$')))
- OR contains(query, 'replytocom') OR starts_with(query, 's=') OR contains(query, '&s=') OR contains(query, 'share='), false) AS hub FROM S""")
+ OR contains(query, 'replytocom') OR starts_with(query, 's=') OR contains(query, '&s=') OR contains(query, 'share='), false)"""
+PARTED = f"{c.SITES}, S AS (SELECT *, list_transform({SEGMENTS}, lambda s: lower(s)) AS seg FROM PS)"
+
+
+@query(f"""WITH {c.PARTS}, S AS (SELECT *, list_transform({SEGMENTS}, lambda s: lower(s)) AS seg FROM PP)
+SELECT page_id, {HUB} AS hub FROM S""")
 def skip_index_flags(spark, sf):
     return c.page_urls(spark, sf).select("page_id", urls.skip_index_url(F.col("url")).alias("hub"))
 
@@ -133,15 +135,6 @@ def host_quality(spark, sf):
     return c.page_urls(spark, sf).select("page_id", urls.host_quality(urls.host_of(F.col("url"))).alias("weight"))
 
 
-IPS = ["8.8.8.8", "10.0.0.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "127.0.0.1", "169.254.1.1", "100.64.0.1", "100.128.0.1", "198.18.0.1", "198.20.0.1", "224.0.0.1", "0.1.2.3", "255.255.255.255", "192.0.2.5", "203.0.113.9", "1.2.3", "1.2.3.400"]
-
-
-@query(f"""WITH I AS (SELECT ip, list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT)) AS o FROM (VALUES {', '.join(f"('{i}')" for i in IPS)}) v(ip)), N AS (SELECT ip, o, CASE WHEN len(o) = 4 AND list_max(o) <= 255 THEN ((CAST(o[1] AS BIGINT) * 256 + o[2]) * 256 + o[3]) * 256 + o[4] END AS n FROM I)
-SELECT ip, n IS NOT NULL AND NOT (o[1] IN (0, 10, 127) OR o[1] BETWEEN 224 AND 239 OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 2851995648 AND 2852061183 OR n = 4294967295
- OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 1681915904 AND 1686110207 OR n BETWEEN 3323068416 AND 3323199487) AS public FROM N""")
-def public_ip(spark, sf):
-    return spark.createDataFrame([(i,) for i in IPS], "ip string").select("ip", F.coalesce(urls.public_ipv4(F.col("ip")), F.lit(False)).alias("public"))
-
 
 # texts
 
@@ -159,15 +152,10 @@ def text_gate(spark, sf):
 M AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda t: t IN ({c.quoted(V.FUNCTION_WORDS)}))) AS common, len(list_distinct(w)) AS kinds FROM B)
 SELECT doc_id, n AS n_tokens, n >= 60 AND (common / n < 0.12 OR kinds / n > 0.92) AS babble FROM M""")
 def babble_flags(spark, sf):
-    d = c.table(spark, sf, "documents")
+    d = c.spread(spark, sf, "documents")
     return d.select("doc_id", text.babble_measures(F.col("text"))["n"].cast("long").alias("n_tokens"), text.is_babble(F.col("text")).alias("babble"))
 
 
-@query(f"WITH T AS (SELECT * FROM (VALUES {', '.join(f'({c.quoted([t])})' for t in c.TITLES)}) v(title)) SELECT title, {has('lower(trim(title))', V.JUNK_PHRASES)} OR lower(trim(title)) IN ({c.quoted(V.AUTH_TITLES)}) AS junk FROM T")
-def junk_title(spark, sf):
-    return spark.createDataFrame([(t,) for t in c.TITLES], "title string").select("title", text.junk_title(F.col("title")).alias("junk"))
-
-
 @query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Just a moment' WHEN 1 THEN '' ELSE 'Title ' || doc_id END AS given, title FROM D)
 SELECT doc_id, CASE WHEN given <> '' AND given <> 'Just a moment' THEN given WHEN title <> '' THEN title ELSE 'untitled' END AS shown FROM T""")
 def title_cleanup(spark, sf):
@@ -182,13 +170,13 @@ def clip_text(spark, sf):
 
 @query()
 def page_extract(spark, sf):
-    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
+    p = c.spread(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
     return p.select("page_id", "e.title", "e.text", F.size("e.links").alias("n_links"), "e.noindex", "e.canonical")
 
 
 @query(r"SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS n_links FROM pages")
 def page_titles(spark, sf):
-    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
+    p = c.spread(spark, sf, "pages").select("page_id", extract.extract("html", "url").alias("e"))
     return p.select("page_id", "e.title", F.size("e.links").cast("long").alias("n_links"))
 
 
@@ -201,36 +189,6 @@ def _links(spark, sf) -> DataFrame:
     return each.select("page_id", F.col("at").cast("long").alias("at"), F.when(F.col("href").startswith("/"), F.concat("origin", "href")).otherwise(F.col("href")).alias("link"))
 
 
-@query(f"WITH {HREFS} SELECT page_id, pos, link FROM LU")
-def outlinks(spark, sf):
-    return _links(spark, sf).withColumnRenamed("at", "pos")
-
-
-@query(f"WITH {HREFS} SELECT page_id, pos, link FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM LU WHERE starts_with(link, 'http') AND NOT ends_with(link, '.')) WHERE n <= 3")
-def outlink_cap(spark, sf):
-    ok = F.col("link").startswith("http") & ~F.col("link").endswith(".")
-    return crawl.first_links(_links(spark, sf).where(ok), 3).withColumnRenamed("at", "pos")
-
-
-@query()
-def outlinks_accepted(spark, sf):
-    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url")["links"].alias("links"))
-    return crawl.outlinks(p, most=80, blocklist=files.read_blocklist(spark))
-
-
-SITEMAP = "<urlset><url><loc> https://a.test/1 </loc></url><url><loc>ftp://x</loc></url><url><loc>https://a.test/2?a=1&amp;b=2</loc></url></urlset>"
-FEED = "<rss><channel><item><link>https://a.test/1</link></item><item><link> https://a.test/2 </link></item></channel><link href='https://a.test/3'/><link href=\"https://a.test/4\"/><link href=https://a.test/5></rss>"
-
-
-@query(f"SELECT unnest(list_filter(list_transform(regexp_extract_all('{SITEMAP}', '<loc>(.*?)</loc>', 1), lambda x: trim(x)), lambda x: starts_with(x, 'http'))) AS url")
-def sitemap_locs(spark, sf):
-    return spark.createDataFrame([(SITEMAP,)], "body string").select(F.explode(extract.sitemap_urls(F.col("body"))).alias("url"))
-
-
-@query("SELECT unnest(['https://a.test/1', 'https://a.test/2', 'https://a.test/3', 'https://a.test/4', 'https://a.test/5']) AS url")
-def feed_links(spark, sf):
-    return spark.createDataFrame([(FEED,)], "body string").select(F.explode(extract.feed_links(F.col("body"))).alias("url"))
-
 
 ROBOTS = "User-agent: *\nCrawl-delay: 2 # slow\nSitemap: https://a.test/s.xml\nUser-agent: other\nCrawl-delay: 9\nUser-agent: loam\nCrawl-delay: 1.5\nDisallow: /private\nAllow: /private/open"
 
@@ -242,22 +200,11 @@ def robots_delay(spark, sf):
     return one("loam").unionByName(one("x")).unionByName(one("other"))
 
 
-@query("SELECT * FROM (VALUES ('/private/a', false), ('/private/open/b', true), ('/', true)) v(path, allowed)")
-def robots_allow(spark, sf):
-    r = spark.createDataFrame([("/private/a",), ("/private/open/b",), ("/",)], "path string")
-    return r.select("path", files.robots_allowed("loam/1.0")(F.lit(ROBOTS), F.col("path")).alias("allowed"))
-
-
 # duplicates and authority
 
 
-@query("SELECT md5(text) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY md5(text) HAVING count(*) > 1")
-def exact_dups(spark, sf):
-    return c.table(spark, sf, "documents").groupBy(F.md5("text").alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-
-
 def _prints(spark, sf) -> DataFrame:
-    d = c.table(spark, sf, "documents")
+    d = c.spread(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("id"), text.simhash64(text.normalized(F.col("text"))).alias("simhash"))
 
 
@@ -271,15 +218,6 @@ def simhash_pairs(spark, sf):
 HASH60 = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 
-@query(f"""WITH H AS (SELECT doc_id, {HASH60.format('text')} AS h FROM documents), L AS (SELECT h & 65535 AS h, min(doc_id) AS first FROM H GROUP BY h & 65535)
-SELECT a.first AS a, b.first AS b FROM L a JOIN L b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 1 WHERE a.h <> 0 AND b.h <> 0""")
-def hamming_join(spark, sf):
-    d = c.table(spark, sf, "documents")
-    h = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").bitwiseAND(65535)
-    leaves = d.select("doc_id", h.alias("simhash")).groupBy("simhash").agg(F.min("doc_id").alias("id"))
-    return dedup.hamming_pairs(leaves, 1, 16)
-
-
 @query(f"""WITH H AS (SELECT doc_id, {HASH60.format('text')} AS h FROM documents), L AS (SELECT h, min(doc_id) AS first FROM H WHERE h <> 0 GROUP BY h)
 SELECT a.first AS a, b.first AS b FROM L a JOIN L b ON a.first < b.first AND bit_count(xor(a.h, b.h)) <= 3 UNION ALL SELECT l.first AS a, h.doc_id AS b FROM H h JOIN L l ON h.h = l.h WHERE l.first < h.doc_id""")
 def simhash_md5_pairs(spark, sf):
@@ -311,7 +249,7 @@ def running_authority(spark, sf):
 
 @query()
 def crawl_documents(spark, sf):
-    return crawl.documents(c.table(spark, sf, "pages")).select("page_id", "url", "site", "title", "n_outlinks", "inlinks", F.round("authority", 6).alias("authority"))
+    return crawl.documents(c.spread(spark, sf, "pages")).select("page_id", "url", "site", "title", "n_outlinks", "inlinks", F.round("authority", 6).alias("authority"))
 
 
 # the index
@@ -319,26 +257,26 @@ def crawl_documents(spark, sf):
 
 @query(f"WITH {c.CORPUS}, T AS (SELECT 'title' AS field, {c.tokens_sql('title')} AS t FROM D UNION ALL SELECT 'body', {c.tokens_sql('body')} FROM D UNION ALL SELECT 'description', {c.tokens_sql('description')} FROM D) SELECT field, count(*) AS n_docs, round(avg(len(t)), 6) AS avg_len FROM T GROUP BY field")
 def token_stats(spark, sf):
-    return index.build(c.corpus(spark, sf), []).field_stats.withColumn("avg_len", F.round("avg_len", 6))
+    return c.loaded_index(spark, sf).field_stats.withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(f"WITH {c.CORPUS}, T AS (SELECT doc_id, unnest(list_distinct({c.tokens_sql('body')})) AS term FROM D) SELECT term, count(*) AS df FROM T GROUP BY term HAVING count(*) >= 5")
 def term_df(spark, sf):
-    return index.build(c.corpus(spark, sf), None, ("body",)).term_stats.where("df >= 5").select("term", "df")
+    return c.loaded_index(spark, sf).term_stats.where("field = 'body' and df >= 5").select("term", "df")
 
 
 @query(f"WITH {c.CORPUS}, T AS (SELECT doc_id, unnest({c.tokens_sql('title')}) AS term FROM D) SELECT doc_id, term, count(*) AS tf FROM T GROUP BY doc_id, term")
 def postings_len(spark, sf):
-    return index.build(c.corpus(spark, sf), None, ("title",)).postings.select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
+    return c.loaded_index(spark, sf).postings.where("field = 'title'").select("doc_id", "term", F.col("tf").cast("long").alias("tf"))
 
 
+#: Tokens of every field of the corpus.
+CORPUS_TERMS = f"{c.CORPUS}, TT AS (SELECT 'title' AS field, {c.tokens_sql('title')} AS t FROM D UNION ALL SELECT 'body', {c.tokens_sql('body')} FROM D UNION ALL SELECT 'description', {c.tokens_sql('description')} FROM D)"
 BOOSTS, BODY = {"title": 4.0, "body": 1.0, "description": 2.0}, {"body": 1.0}
 
 
 def _scored(spark, sf, clauses, need=None, boosts=None, top=20) -> DataFrame:
-    terms = [t for x in clauses for t in x.terms]
-    idx = index.build(c.corpus(spark, sf), terms)
-    found = search.retrieve(idx, clauses, need, boosts)
+    found = search.retrieve(c.loaded_index(spark, sf), clauses, need, boosts)
     out = found.select("doc_id", F.round("bm25", 6).alias("score"))
     return out.orderBy(F.desc("score"), "doc_id").limit(top) if top else out
 
@@ -366,7 +304,7 @@ FLAT = {"title": 1.0, "body": 1.0}
 
 @query("WITH " + c.bm25_sql(["that", "thble", "tion"], 2, FLAT) + TOP)
 def two_of_n(spark, sf):
-    idx = index.build(c.corpus(spark, sf), ["tion", "that", "thble"])
+    idx = c.loaded_index(spark, sf)
     found = search.two_of_n(idx, queryspec.parse("tion that thble"))
     return found.select("doc_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -374,7 +312,7 @@ def two_of_n(spark, sf):
 @query("WITH " + c.bm25_sql(["that", "thble", "tion"], 1, FLAT) + ", AN AS (SELECT term FROM DF GROUP BY term ORDER BY sum(df), term LIMIT 1) SELECT doc_id, round(bm25, 6) AS score FROM SC WHERE doc_id IN (SELECT doc_id FROM PO WHERE term = (SELECT term FROM AN)) ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20")
 def anchored(spark, sf):
     spec = queryspec.parse("tion that thble")
-    idx = index.build(c.corpus(spark, sf), ["tion", "that", "thble"])
+    idx = c.loaded_index(spark, sf)
     found = search.anchored(idx, spec, search.anchor(idx, spec) or "that")
     return found.select("doc_id", F.round("bm25", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -421,7 +359,7 @@ def kind_filter(spark, sf):
 
 @query(f"WITH {c.CORPUS} SELECT doc_id FROM D WHERE host = 'src4.test' ORDER BY doc_id LIMIT 200")
 def site_only(spark, sf):
-    idx = index.build(c.corpus(spark, sf), [])
+    idx = c.loaded_index(spark, sf)
     return search.candidates(idx, queryspec.parse("site:src4.test"), 20).select("doc_id")
 
 
@@ -440,7 +378,7 @@ S AS (SELECT *, bm25 * (1 + least(authority, 10) * 0.15) * CASE WHEN kind = 'rss
 
 def _candidates(spark, sf) -> tuple[DataFrame, queryspec.QuerySpec]:
     spec = queryspec.parse("tion that")
-    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
+    idx = c.loaded_index(spark, sf)
     return search.candidates(idx, spec, 20).join(idx.docs, "doc_id"), spec
 
 
@@ -450,13 +388,6 @@ def rerank(spark, sf):
     return search.rerank(found, spec, c.NOW).select("doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK}, C AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY rank) AS n FROM T) SELECT doc_id, host FROM C WHERE n <= 3")
-def per_site_cap(spark, sf):
-    found, _ = _candidates(spark, sf)
-    w = Window.partitionBy(urls.site_key(F.col("host"))).orderBy("rank")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= search.PER_SITE).select("doc_id", "host")
-
-
 TITLE_KEY = r"substr(array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(title, '[^\p{L}\p{N}\s]', '', 'g')), '\s+'), lambda w: w <> '' AND w <> 'www' AND w <> string_split(host, '.')[1]), ''), 1, 48)"
 
 
@@ -476,44 +407,13 @@ def diversify(spark, sf):
     return search.diversify(search.rerank(found.where("rank <= 80"), spec, c.NOW), spec.text, 20).select("doc_id", "place")
 
 
-@query(f"WITH {c.CORPUS} SELECT doc_id, CASE WHEN contains(lower(body[1:240]), 'the') THEN body[1:240] ELSE title END AS snippet FROM D WHERE contains(lower(body[1:240]), 'the') OR NOT contains(lower(body), 'the')")
-def snippet(spark, sf):
-    d = c.corpus(spark, sf)
-    lead = F.contains(F.lower(F.substring("body", 1, 240)), F.lit("the"))
-    return d.where(lead | ~F.contains(F.lower("body"), F.lit("the"))).select("doc_id", search.snippet(["the"]).alias("snippet"))
-
-
-@query()
-def snippet_anywhere(spark, sf):
-    return c.corpus(spark, sf).select("doc_id", search.snippet(["the"]).alias("snippet"))
-
-
 @query(f"""WITH {c.CORPUS}, T AS (SELECT doc_id, unnest(list_distinct({c.tokens_sql('body')})) AS term FROM D), S AS (SELECT term, count(*) AS df FROM T GROUP BY term), Q AS (SELECT * FROM (VALUES ('thbel', 1), ('tionnn', 2), ('thatt', 1)) v(word, most)),
 N AS (SELECT word, term, df, row_number() OVER (PARTITION BY word ORDER BY df DESC, term) AS n FROM S JOIN Q ON substr(term, 1, 2) = substr(word, 1, 2) AND levenshtein(term, word) BETWEEN 1 AND most) SELECT word, term, df FROM N WHERE n = 1""")
 def suggest(spark, sf):
-    idx = index.build(c.corpus(spark, sf), None, ("body",))
+    idx = c.loaded_index(spark, sf)
     return search.suggestions(idx, ["thbel", "tionnn", "thatt"])
 
 
-@query("WITH " + c.bm25_sql(["tion", "that"], 2, BOOSTS) + f", {RERANK}, C AS (SELECT *, row_number() OVER (ORDER BY score DESC, rank) AS place FROM S) SELECT doc_id, CAST(place AS INT) AS place FROM C WHERE place > 10 AND place <= 20")
-def page_offset(spark, sf):
-    found, spec = _candidates(spark, sf)
-    ranked = search.rerank(found, spec, c.NOW)
-    return ranked.select("doc_id", F.row_number().over(Window.orderBy(F.desc("score"), "rank")).alias("place")).where("place > 10 and place <= 20")
-
-
-@query()
-def search_page(spark, sf):
-    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
-    return search.search(idx, "tion that", 20, 0, None, c.NOW)
-
-
-@query()
-def search_rss(spark, sf):
-    idx = index.build(c.corpus(spark, sf), ["tion", "that"])
-    return search.rss_page(search.search(idx, "tion that", 10, 0, None, c.NOW), "tion that")
-
-
 # the frontier
 
 FRONTIER = f"""FR AS (SELECT page_id AS url_key, url, {c.site_sql("lower(regexp_extract(url, '^https?://([^/?#]*)', 1))")} AS site, page_id % 4 AS depth, page_id * 7 % 1000 AS enqueued_at, page_id % 50 = 0 AS priority FROM pages)"""
@@ -531,39 +431,8 @@ def frontier_order(spark, sf):
     return crawl.frontier_order(_frontier(spark, sf)).select("url_key", "site", "place")
 
 
-HOST_STATE = [("example.com", 5000, 0, False), ("example.net", 20_000, 0, False), ("example.org", 0, 0, True)]
-
-
-@query(f"WITH {FRONTIER}, F1 AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, depth, enqueued_at, url_key) AS n FROM FR), HS AS (SELECT * FROM (VALUES ('example.com', 5000, 0, false), ('example.net', 20000, 0, false), ('example.org', 0, 0, true)) v(site, next_ms, ban, busy)) SELECT url_key, F1.site FROM F1 LEFT JOIN HS USING (site) WHERE n = 1 AND coalesce(next_ms, 0) <= 10000 AND coalesce(ban, 0) * 1000 <= 10000 AND NOT coalesce(busy, false)")
-def frontier_lease(spark, sf):
-    state = spark.createDataFrame(HOST_STATE, "site string, next_allowed_ms long, banned_until long, in_flight boolean")
-    return crawl.lease(_frontier(spark, sf), state, 10_000).select("url_key", "site")
-
-
-@query(f"WITH {FRONTIER} SELECT url_key, site FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY enqueued_at, url_key) AS n FROM FR) WHERE n <= 20")
-def site_budget(spark, sf):
-    n = F.row_number().over(Window.partitionBy("site").orderBy("enqueued_at", "url_key"))
-    return _frontier(spark, sf).withColumn("n", n).where("n <= 20").select("url_key", "site")
 
 
-WAITS = [(l, r, f) for l in (100, 3000, 40_000) for r in (0, 5000) for f in (0, 1, 3, 9)]
-
-
-@query("SELECT l AS latency, r AS robots, f AS failures, least(greatest(2000, r, l * 2) * CASE WHEN f > 0 THEN CAST(pow(2, least(f, 6)) AS BIGINT) ELSE 1 END, 30000) AS wait_ms FROM (VALUES " + ", ".join(str(w) for w in WAITS) + ") v(l, r, f)")
-def polite_wait(spark, sf):
-    w = spark.createDataFrame(WAITS, "latency int, robots int, failures int")
-    return w.withColumn("wait_ms", crawl.polite_wait_ms(F.col("latency"), F.col("robots"), F.col("failures")))
-
-
-FETCHES = [(200, True, 0, 0, None, None), (200, False, 0, 0, None, None), (304, False, 0, 0, None, None), (403, True, 0, 0, None, None), (429, True, 0, 0, 120, None), (429, True, 0, 0, None, None), (None, False, 1, 5, None, "timeout"), (None, False, 2, 1, None, "drip"), (500, True, 0, 0, None, None), (None, False, 2, 9, None, "other")]
-
-
-@query("""SELECT * FROM (VALUES (0, true, false, 0, 0), (1, true, false, 0, 0), (2, true, false, 0, 0), (3, false, false, 0, 0), (4, false, false, 120, 0), (5, false, false, 60, 0), (6, false, true, 0, 3600), (7, false, false, 0, 0), (8, false, true, 0, 0), (9, false, false, 0, 0)) v(i, ok, retry, penalty_s, ban_s)""")
-def status_routing(spark, sf):
-    rows = spark.createDataFrame([(i, *f) for i, f in enumerate(FETCHES)], "i int, status int, html boolean, attempts int, failures int, retry_after int, error string")
-    r = crawl.status_route(*(F.col(x) for x in ("status", "html", "attempts", "failures", "retry_after", "error")))
-    return rows.select("i", r.alias("r")).select("i", "r.ok", "r.retry", F.col("r.penalty_s").cast("int").alias("penalty_s"), F.col("r.ban_s").cast("int").alias("ban_s"))
-
 
 @query("""WITH E AS (SELECT event_id AS seq, 'u' || user_id AS site, event_id % 3 = 0 AS ok FROM events), R AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY site ORDER BY seq) AS g FROM E) SELECT seq, site, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY site, g ORDER BY seq) AS BIGINT) AS failures FROM R""")
 def failure_runs(spark, sf):
@@ -571,14 +440,6 @@ def failure_runs(spark, sf):
     return crawl.failures_in_a_row(e).select("seq", "site", F.col("failures").cast("long").alias("failures"))
 
 
-@query("SELECT doc_id % 100 AS url_key, min(doc_id) AS first FROM documents WHERE doc_id % 100 NOT IN (SELECT doc_id % 7 FROM documents) GROUP BY doc_id % 100")
-def seen_dedupe(spark, sf):
-    d = c.table(spark, sf, "documents")
-    new = d.select((F.col("doc_id") % 100).alias("url_key"), F.col("doc_id").alias("first"), F.lit(0).alias("depth"), F.col("doc_id").alias("enqueued_at"))
-    seen = d.select((F.col("doc_id") % 7).alias("url_key")).distinct()
-    return crawl.push(new.limit(0), seen, new).select("url_key", "first")
-
-
 @query(f"SELECT doc_id AS url_key FROM documents WHERE doc_id % 3 = 0 OR {c.NOW} - ({c.NOW} - doc_id * 10000) >= 604800")
 def recrawl_stale(spark, sf):
     d = c.table(spark, sf, "documents").select(F.col("doc_id").alias("url_key"))
@@ -592,12 +453,6 @@ def requeue_cap(spark, sf):
     return crawl.requeue(c.corpus(spark, sf), seen, c.NOW, crawl.CrawlConfig(max_pending=1000)).select("url", "score")
 
 
-@query()
-def frontier_expand(spark, sf):
-    p = c.table(spark, sf, "pages").select("page_id", extract.extract("html", "url")["links"].alias("links"), F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.lit(c.NOW).cast("long").alias("fetched_at"))
-    return crawl.expand(p, _frontier(spark, sf), spark.createDataFrame([], "url_key long, seen_at long"), files.read_blocklist(spark)).select("url", "site", "depth", "score")
-
-
 # maintenance
 
 
@@ -616,13 +471,6 @@ def prune_bytes(spark, sf):
     return maintain.prune(c.corpus(spark, sf), c.NOW, max_bytes=200_000)[0].select("doc_id")
 
 
-@query(f"WITH {c.SITES}, T AS (SELECT url, CASE WHEN page_id % 9 = 0 THEN 'Access denied' ELSE 'Fine' END AS title FROM PS WHERE page_id >= 0) SELECT url FROM T WHERE title <> 'Access denied'")
-def scrub(spark, sf):
-    d = c.table(spark, sf, "pages").select("url", F.when(F.col("page_id") % 9 == 0, "Access denied").otherwise("Fine").alias("title"))
-    kept, dropped = maintain.scrub(d)
-    return kept.select("url").unionByName(dropped.where(~text.junk_title(F.col("title"))).select("url"))
-
-
 @query(f"WITH {c.CORPUS} SELECT doc_id, CAST(0 AS DOUBLE) AS authority, '' AS description FROM D WHERE doc_id % 3 <> 0")
 def reindex_gap(spark, sf):
     d = c.corpus(spark, sf)
@@ -650,13 +498,6 @@ def export_jsonl(spark, sf):
     return spark.read.text(path).select(parsed).select("d.*")
 
 
-@query(f"WITH {c.CORPUS} SELECT url, host, title, fetched_at, CASE WHEN strlen(body[1:160]) = 160 THEN body[1:160] ELSE body END AS description FROM D")
-def import_jsonl(spark, sf):
-    path = new_path(spark, "import")
-    maintain.to_jsonl(c.corpus(spark, sf)).write.text(path)
-    return files.read_jsonl(spark, path, c.NOW).select("url", "host", "title", "fetched_at", "description")
-
-
 # the store
 
 
@@ -699,13 +540,6 @@ def retry_rows(spark, sf):
     return store.retry(_frontier(spark, sf).select("url_key", (F.col("url_key") % 4).alias("attempts")))
 
 
-KINDS = ["", "text/html; charset=utf-8", "TEXT/PLAIN", "application/rss+xml", "image/png", "application/json"]
-
-
-@query("SELECT kind, trim(kind) = '' OR regexp_matches(lower(kind), 'html|text/plain|xml') AS ok FROM (VALUES " + ", ".join(f"('{k}')" for k in KINDS) + ") v(kind)")
-def content_type_gate(spark, sf):
-    return spark.createDataFrame([(k,) for k in KINDS], "kind string").select("kind", text.content_type_ok(F.col("kind")).alias("ok"))
-
 
 @query("SELECT event_id, event_id * 100 >= 65536 AND event_id * 100 / 1024 / 20.0 < 8 AS slow FROM events")
 def slow_drip_gate(spark, sf):
@@ -734,16 +568,6 @@ def link_maze(spark, sf):
     return c.table(spark, sf, "pages").select("page_id", text.is_link_maze(F.col("html"), F.col("page_id") % 100).alias("maze"))
 
 
-@query(f"WITH {c.SITES} SELECT page_id, scheme <> '' AND host <> '' AND host <> 'localhost' AND NOT ends_with(host, '.localhost') AND host <> '10.1.2.3' AS public FROM PS")
-def public_urls(spark, sf):
-    return c.page_urls(spark, sf).select("page_id", urls.url_is_public(F.col("url")).alias("public"))
-
-
-@query(f"WITH {c.CORPUS} SELECT kind, count(*) AS docs, count(DISTINCT host) AS hosts FROM D GROUP BY kind")
-def kind_counts(spark, sf):
-    return c.corpus(spark, sf).groupBy("kind").agg(F.count("*").alias("docs"), F.count_distinct("host").alias("hosts"))
-
-
 # streams
 
 
@@ -761,24 +585,16 @@ def stream_kind_counts(spark, sf):
     return _streamed(stream, "complete")
 
 
-@query()
-def stream_politeness(spark, sf):
-    schema = c.table(spark, sf, "events").schema
-    e = crawl_stream.read_tables(spark, sf, "events", schema).select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("site"), F.col("event_id").alias("seq"), (F.col("event_id") * 1000).alias("at_ms"), (F.col("event_id") % 3 == 0).alias("ok"), (F.col("event_id") % 500).alias("latency_ms"), F.lit(0).alias("robots_ms")
-    )
-    return _streamed(crawl_stream.politeness(e), "append")
-
-
 def _streamed(stream: DataFrame, mode: str) -> DataFrame:
-    import uuid
-
-    return crawl_stream.run_available(stream, f"loam_{uuid.uuid4().hex}", mode)
+    return crawl_stream.run_available(stream, mode)
 
 
 def queries() -> dict[str, Query]:
+    from . import proofs  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -30,6 +30,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are much work each; where its files make fewer tasks than there are cores, rows are dealt out."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def loaded_index(spark: SparkSession, sf_dir: str):  # noqa: ANN201
+    """The index of the whole corpus, saved once a session and loaded from its files, as a service has it."""
+    from loam.operators import index
+    from loam.operators.tables import new_path
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        path = new_path(spark, "index")
+        index.build(corpus(spark, sf_dir)).save(path)
+        _INDEXES[key] = path
+    return index.Index.load(spark, _INDEXES[key])
+
+
 def quoted(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -45,8 +67,9 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGE_URLS = "PU AS (SELECT page_id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {quoted([u])})" for i, u in enumerate(URLS)) + ") v(page_id, url))"
-PARTS = f"""{PAGE_URLS}, PP AS (SELECT page_id, url, lower(regexp_extract(url, {URL_SQL}, 1)) AS scheme, regexp_extract(url, {URL_SQL}, 2) AS authority,
+URL_PARTS = f"""PP AS (SELECT page_id, url, lower(regexp_extract(url, {URL_SQL}, 1)) AS scheme, regexp_extract(url, {URL_SQL}, 2) AS authority,
  lower(regexp_replace(regexp_replace(regexp_extract(url, {URL_SQL}, 2), '^.*@', ''), ':[0-9]*$', '')) AS host, regexp_extract(url, {URL_SQL}, 3) AS path, regexp_extract(url, {URL_SQL}, 4) AS query FROM PU)"""
+PARTS = f"{PAGE_URLS}, {URL_PARTS}"
 
 
 def site_sql(host: str) -> str:
@@ -62,7 +85,7 @@ SITES = f"{PARTS}, PS AS (SELECT *, {site_sql('host')} AS site FROM PP)"
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a search engine, made of the documents table."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.concat(F.lit("https://"), "source", F.lit(".test/d/"), "doc_id").alias("url"), F.concat("source", F.lit(".test")).alias("host"), F.array_join(F.slice(text.words(F.col("text")), 1, 8), " ").alias("title"),
         F.col("text").alias("body"), F.lit("").alias("description"), F.when(F.col("doc_id") % 5 == 0, "rss").otherwise("page").alias("kind"), (F.lit(1_704_067_200) + F.col("doc_id") * 600).alias("fetched_at"),

@@ -16,8 +16,19 @@ from loam.functions.text import normalized, simhash64
 DOCS = "url string, host string, title string, body string, description string, kind string, fetched_at bigint, authority double, n_outlinks bigint, simhash bigint, links array<string>"
 
 
+#: White space as Unicode has it.
+_SPACE = r"[\u0009-\u000D\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def _lines(text: Column | str) -> Column:
-    return F.trim(F.regexp_replace(text, "\r$", ""))
+    return F.regexp_replace(text, f"^{_SPACE}|{_SPACE}$", "")
+
+
+def lead(text: Column, size: int = 160) -> Column:
+    """The first ``size`` bytes of a text if a character ends there, else the whole text."""
+    raw = F.encode(text, "UTF-8")
+    whole = (F.octet_length(text) <= size) | F.hex(F.substring(raw, size + 1, 1)).between("80", "BF")
+    return F.when(whole, text).otherwise(F.decode(F.substring(raw, 1, size), "UTF-8"))
 
 
 def read_seeds(spark: SparkSession, path: str | None = None, config: list[str] = (), listed: list[str] = (), default: list[str] = ()) -> DataFrame:
@@ -47,9 +58,8 @@ def read_jsonl(spark: SparkSession, path: str, now: int) -> DataFrame:
     rows = spark.read.text(path).select(_lines("value").alias("v")).where("startswith(v, '{')")
     d = rows.select(F.from_json("v", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*").where("startswith(url, 'http')")
     text = F.coalesce("text", F.lit(""))
-    lead = F.when(F.octet_length(F.substring(text, 1, 160)) == 160, F.substring(text, 1, 160)).otherwise(text)
     return d.select(
-        "url", F.coalesce("host", "domain", F.lit("")).alias("host"), F.coalesce("title", F.lit("")).alias("title"), text.alias("body"), lead.alias("description"), F.lit("page").alias("kind"),
+        "url", F.coalesce("host", "domain", F.lit("")).alias("host"), F.coalesce("title", F.lit("")).alias("title"), text.alias("body"), lead(text).alias("description"), F.lit("page").alias("kind"),
         F.coalesce("fetched_at", "added", "updated", F.lit(now)).alias("fetched_at"), F.lit(0.0).alias("authority"), F.lit(0).cast("bigint").alias("n_outlinks"), simhash64(text).alias("simhash"), F.array().cast("array<string>").alias("links"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loam.functions import urls
 from loam.operators.crawl import CrawlConfig
+from loam.operators.tables import discard, new_path
 
 
 def read_tables(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:  # noqa: ANN001
@@ -43,24 +45,27 @@ def politeness(fetches: DataFrame, config: CrawlConfig = CrawlConfig(jitter_ms=0
         if state.hasTimedOut:
             state.remove()
             return
-        failures, allowed = state.get if state.exists else (0, 0)
+        failures = state.get[0] if state.exists else 0
         rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for r in rows.itertuples():
-            failures = 0 if r.ok else failures + 1
-            wait = max(low, int(r.robots_ms), int(r.latency_ms * factor)) << min(failures, 6)
-            allowed = int(r.at_ms) + min(wait, high)
-            out.append((key[0], int(r.seq), failures, allowed))
-        state.update((failures, allowed))
+        ok = rows["ok"].to_numpy(bool)
+        place = np.arange(len(ok))
+        last = np.maximum.accumulate(np.where(ok, place, -1))  # the last success up to each fetch
+        run = np.where(last >= 0, place - last, place + 1 + failures)
+        base = np.maximum(np.maximum(low, rows["robots_ms"].to_numpy(np.int64)), (rows["latency_ms"].to_numpy(np.float64) * factor).astype(np.int64))
+        allowed = rows["at_ms"].to_numpy(np.int64) + np.minimum(base << np.minimum(run, 6), high)
+        state.update((int(run[-1]), int(allowed[-1])))
         if forget_after_s:
             state.setTimeoutDuration(forget_after_s * 1000)
-        yield pd.DataFrame(out, columns=["site", "seq", "failures", "next_allowed_ms"])
+        yield pd.DataFrame({"site": key[0], "seq": rows["seq"].to_numpy(np.int64), "failures": run.astype(np.int32), "next_allowed_ms": allowed})
 
     return fetches.groupBy("site").applyInPandasWithState(step, "site string, seq long, failures int, next_allowed_ms long", "failures int, allowed long", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after_s else GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(path: str, key: str = "url", order: str = "fetched_at") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: keep the newest row of each key in a table of versions; a batch that is run again changes nothing."""
+    """For ``foreachBatch``: keep the newest row of each key in a table of versions; a batch that is run again changes nothing.
+
+    The version before the last stays for its readers; older ones are deleted.
+    """
     from pyspark.sql import Window
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -72,6 +77,8 @@ def upsert_into(path: str, key: str = "url", order: str = "fetched_at") -> Calla
         both = batch.unionByName(spark.read.parquet(f"{path}/v{number - 1:09d}")) if number and exists(number - 1) else batch
         newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
         both.withColumn("__n", newest).where("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{path}/v{number:09d}")
+        if number > 1:
+            discard(spark, f"{path}/v{number - 2:09d}")
 
     return merge
 
@@ -82,11 +89,16 @@ def frontier_keys(pages: DataFrame) -> DataFrame:
     return pages.select(url.alias("url")).where("url is not null").select(F.xxhash64("url").alias("url_key"), "url", urls.site_key(urls.host_of(F.col("url"))).alias("site"))
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in memory."""
-    from loam.operators.tables import new_path
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into a table of the shared folder."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "stream")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "state")).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", path).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)  # a complete result takes the place of the one before
 
-    spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    writer.foreachBatch(replace).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

@@ -89,7 +89,7 @@ def test_snippets_of_whole_tables(spark, sf, tmp_path):
     hard.write.parquet(f"{tmp_path}/documents.parquet")
     for folder in (str(tmp_path), sf):
         wanted = {r.doc_id: plain(r.body, r.title) for r in corpora.corpus(spark, folder).collect()}
-        got = catalog.queries()["snippet_anywhere"](spark, folder).collect()
+        got = catalog.queries()["snippet"](spark, folder).collect()
         assert len(got) == len(wanted) and {r.doc_id: r.snippet for r in got} == wanted
 
 
@@ -99,6 +99,38 @@ def test_index_tables_round_trip(spark, tmp_path):
     assert urls_of(index.Index.load(spark, f"file://{tmp_path}/index"), "memory") == ["https://a.test/1"]
 
 
+def test_saves_are_versions_that_readers_see_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    with pytest.raises(FileNotFoundError):
+        index.Index.load(spark, path)
+    one = index.build(docs(spark, ("https://a.test/1", "Rust book", "memory safety guide", "page")))
+    one.save(path)
+    reader = index.Index.load(spark, path)
+    new = docs(spark, ("https://b.test/1", "Other", "memory lane", "page"), ("https://a.test/1", "Rust again", "no such word", "page")).withColumn("doc_id", F.col("doc_id") + 10)
+    index.Index.load(spark, path).upsert(new).save(path)
+    assert urls_of(reader, "safety") == ["https://a.test/1"]
+    index.Index.load(spark, path).upsert(new).save(path)
+    now = index.Index.load(spark, path)
+    assert urls_of(now, "memory") == ["https://b.test/1"] and urls_of(now, "again") == ["https://a.test/1"] and now.docs.count() == 2
+    fresh = index.build(now.docs)
+    for a, b in ((now.term_stats, fresh.term_stats), (now.field_stats, fresh.field_stats), (now.postings, fresh.postings)):
+        assert sorted(map(repr, (tuple(r) for r in a.select(*b.columns).collect()))) == sorted(map(repr, (tuple(r) for r in b.collect())))
+    assert len([p for p in (tmp_path / "index").iterdir() if p.name.startswith("v-")]) == 2
+    gone = now.delete(new.where("startswith(url, 'https://b')").select("url"))
+    assert urls_of(gone, "lane") == [] and gone.has(new).count() == 1
+    table = maintain.save_docs(one.docs, f"file://{tmp_path}/docs")
+    assert maintain.compact(spark, f"file://{tmp_path}/docs", 1).count() == table.count() == maintain.load_docs(spark, f"file://{tmp_path}/docs").count()
+
+
+def test_a_query_reads_its_own_terms(spark, tmp_path):
+    index.build(docs(spark, ("https://a.test/1", "Rust book", "memory safety guide", "page"))).save(f"file://{tmp_path}/index")
+    idx = index.Index.load(spark, f"file://{tmp_path}/index")
+    plan = search.retrieve(idx, queryspec.clauses("memory safety"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [In(term, [memory,safety])") == 2
+    assert "lengths" not in plan and plan.count("Exchange hashpartitioning") == 1  # only what is found is put together, by document
+    plan = search.suggestions(idx, ["memroy", "gudie"])._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,me)" in plan and "StringStartsWith(term,gu)" in plan
+
 def test_diversify_equals_the_greedy_walk(spark):
     rng = random.Random(5)
     for n, limit in ((5, 4), (30, 10), (40, 20), (9, 8)):
@@ -192,6 +224,96 @@ def test_documents_pass_the_gates_once(spark):
     assert capped.count() == 0
 
 
+def test_canonical_urls_are_those_of_documents(spark):
+    prose = lambda k: " ".join(f"{k}{i} is the {k}{i * i}" for i in range(40))
+    said = lambda k, to: f'<html><head><title>{k}</title><link rel="canonical" href="{to}"></head><body><p>{prose(k)}</p></body></html>'
+    pages = [
+        (1, "https://a.test/one?x=1", said("one", "HTTPS://A.test:443/one?utm_source=q")),  # written otherwise, the same URL
+        (2, "https://a.test/one?x=2", said("two", "/one")),  # there is one already
+        (3, "https://a.test/one", said("three", "/one")),  # the very URL replaces it
+        (4, "https://b.test/p", said("four", "https://a.test/one")),  # of another host
+        (5, "https://c.test/p?v=2", said("five", "/p")),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.url: r.page_id for r in crawl.documents(frame).collect()}
+    assert got == {"https://a.test/one": 3, "https://b.test/p": 4, "https://c.test/p": 5}
+    known = spark.createDataFrame([("https://c.test/p", 1), ("https://a.test/one", 2)], "url string, simhash long")
+    got = {r.url: r.page_id for r in crawl.documents(frame, known=known).collect()}
+    assert got == {"https://a.test/one": 3, "https://b.test/p": 4}
+
+
+def test_fates_and_links_to_follow(spark):
+    own = "".join(f'<a href="/m{i}"></a>' for i in range(60))
+    rows = [
+        (1, "https://a.test/x", page("Maze", "the short of it is " + "letters " * 40, own + '<a href="https://away.test/1"></a>')),
+        (2, "https://a.test/tag/list/1", page("Hub", "x", '<a href="/y"></a>')),
+        (3, "https://a.test/none", '<meta name="robots" content="noindex"><a href="/y">y</a>'),
+        (4, "https://a.test/thin", page("Thin", "x", '<a href="/y"></a>')),
+    ]
+    got = {r.page_id: (r.fate, r.follow) for r in crawl.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("tarpit", ["https://away.test/1"]), 2: ("hub", ["https://a.test/y"]), 3: ("noindex", []), 4: ("thin", [])}
+
+
+def _site(spark, pages, **more):
+    """What fetches of a small site give."""
+    rows = [(u, more.get("status", {}).get(u, 200), h, "text/html", 10, None, None, "e", "") for u, h in pages.items()]
+    return spark.createDataFrame(rows, "url string, status int, html string, content_type string, latency_ms int, retry_after int, error string, etag string, last_modified string")
+
+
+def test_crawl_passes(spark):
+    prose = lambda k: " ".join(f"{k}{i} is the {k}{i * i}" for i in range(40))
+    link = lambda *us: "".join(f'<a href="{u}"></a>' for u in us)
+    site = {
+        "https://s.test/": page("Home", prose("home"), link("/a", "/b", "/secret/x", "https://o.test/")),
+        "https://s.test/a": page("A", prose("alpha"), link("/b")),
+        "https://s.test/b": page("B", prose("beta")),
+        "https://s.test/secret/x": page("X", prose("hidden")),
+        "https://o.test/": page("O", prose("other")),
+        "https://s.test/sitemap.xml": "<urlset><url><loc>https://s.test/b?from=map</loc></url></urlset>",
+        "https://s.test/b?from=map": page("Map", prose("gamma")),
+    }
+    robots = spark.createDataFrame([("s.test", 200, "User-agent: *\nDisallow: /secret/\nSitemap: https://s.test/sitemap.xml")], "site string, status int, body string")
+    blocked = spark.createDataFrame([("bad.test",)], "domain string")
+    config = crawl.CrawlConfig(jitter_ms=0, min_delay_ms=1000)
+    state = crawl.new_state(spark, spark.createDataFrame([("https://s.test/",), ("https://bad.test/",), ("https://fail.test/",)], "url string"), NOW, config)
+    leases, now = 0, NOW * 1000
+    while not state.frontier.isEmpty() and leases < 14:
+        state = crawl.crawl_pass(state, _site(spark, site), blocked, now, robots, config)
+        leases, now = leases + 1, now + 40_000
+    assert {r.url for r in state.docs.collect()} == {"https://s.test/", "https://s.test/a", "https://s.test/b", "https://o.test/", "https://s.test/b?from=map"}
+    hosts = {r.site: r for r in state.host_state.collect()}
+    assert hosts["fail.test"].failures == 3 and hosts["s.test"].failures == 0 and not any(r.in_flight for r in hosts.values())
+    held = state.docs.count()
+    again = crawl.CrawlState(state.docs, crawl.seed(spark.createDataFrame([("https://s.test/a",)], "url string"), state.seen, NOW, config, True), state.seen, state.host_state)
+    after = crawl.crawl_pass(again, _site(spark, site), blocked, now, robots, config)
+    assert after.docs.count() == held and after.frontier.isEmpty()  # the etag is as it was
+    full = crawl.crawl_pass(again, _site(spark, site), blocked, now, robots, config, max_docs=1)
+    assert full is again
+
+
+def test_refusals_and_penalties_reach_the_host_state(spark):
+    pages = {"https://r.test/": "", "https://s.test/": ""}
+    web = _site(spark, pages, status={"https://r.test/": 429, "https://s.test/": 403}).withColumn("retry_after", F.lit(90))
+    config, none = crawl.CrawlConfig(jitter_ms=0), spark.createDataFrame([], "domain string")
+    state = crawl.new_state(spark, spark.createDataFrame([(u,) for u in pages], "url string"), NOW, config)
+    after = {r.site: r for r in crawl.crawl_pass(state, web, none, NOW * 1000, config=config).host_state.collect()}
+    assert (after["r.test"].next_allowed_ms, after["r.test"].failures) == (NOW * 1000 + 90_000, 1)
+    assert (after["s.test"].next_allowed_ms, after["s.test"].failures) == (NOW * 1000 + 4000, 1)
+
+
+def test_the_priority_lane_comes_first(spark):
+    rows = [(1, "a", 0, 1, False), (2, "b", 2, 9, True), (3, "c", 1, 5, True), (4, "c", 0, 1, False), (5, "d", 0, 0, False)]
+    queue = spark.createDataFrame(rows, "url_key long, site string, depth int, enqueued_at long, priority boolean")
+    state = spark.createDataFrame([("a", 50, 0, False), ("d", 9_999, 0, False)], "site string, next_allowed_ms long, banned_until long, in_flight boolean")
+    assert [r.url_key for r in crawl.lease(queue, state, 100, 3).collect()] == [3, 2, 1]
+
+
+def test_config_of_files_and_variables(tmp_path):
+    (tmp_path / "c.toml").write_text("[crawl]\nmax_depth = 7\ndelay_factor = 1.5\nunknown = 1\n")
+    got = crawl.load_config(str(tmp_path / "c.toml"), {"LOAM_MAX_OUTLINKS": "9", "LOAM_PAGES_PER_SITE": "many", "LOAM_MAX_DEPTH": "2"})
+    assert (got.max_depth, got.delay_factor, got.max_outlinks, got.pages_per_site) == (2, 1.5, 9, 500)
+
+
 def test_frontier(spark):
     seen = spark.createDataFrame([(None, NOW - 10)], "url_key long, seen_at long").limit(0)
     rows = crawl.seed(spark.createDataFrame([("https://a.test/1",), ("https://a.test/1#x",), ("https://a.test/x.pdf",)], "url string"), seen, NOW)
@@ -215,19 +337,21 @@ def test_prune_and_export(spark):
     assert maintain.prune(d, NOW, days=2)[0].count() == 3
     lines = [r.value for r in maintain.to_json_array(d).collect()]
     assert lines[0] == "[" and lines[-1] == "]" and lines.count(",") == 4 and len(json.loads("".join(lines))) == 5
-    assert len(maintain.metrics(maintain.stats(d)).collect()) >= 5
+    lines = maintain.metrics({"docs": 5, "uptime_secs": 7}).splitlines()
+    assert len(lines) == 11 and lines[0] == "loam_docs 5" and lines[-1] == "loam_uptime_secs 7" and "loam_io_errors 0" in lines
 
 
 def test_push_batches(spark, tmp_path):
     d = docs(spark, *[(f"https://a.test/{i}", "T", "b", "page") for i in range(7)]).coalesce(1)
     target = str(tmp_path / "sent")
 
-    def send(body):
+    def send(body, headers):
         with open(target, "a") as f:
-            f.write(body + "\n")
+            f.write(json.dumps([json.loads(body), headers]) + "\n")
 
-    sinks.push_batches(d, send, 3)
-    assert [len(json.loads(x)) for x in (tmp_path / "sent").read_text().splitlines()] == [3, 3, 1]
+    sinks.push_batches(d, send, 3, "secret")
+    sent = [json.loads(x) for x in (tmp_path / "sent").read_text().splitlines()]
+    assert [len(body["ops"]) for body, _ in sent] == [3, 3, 1] and all(h["X-Access-Token"] == "secret" for _, h in sent)
 
 
 def test_service(spark):
@@ -246,6 +370,16 @@ def test_service(spark):
     assert s.seed(["https://c.test/1"], seen) == 1
     feed = spark.createDataFrame([("<rss><channel><item><title>N</title><link>https://f.test/1</link><description>memory lane</description></item></channel></rss>",)], "body string")
     assert s.add_feed("https://f.test/feed", feed) == 1 and s.feeds == ["https://f.test/feed"] and s.search("lane")["hits"][0]["kind"] == "rss"
+    for bad in ("http://[::1]/", "http://127.1/", "http://2130706433/"):
+        with pytest.raises(BadRequest):
+            s.index_doc(bad)
+    s.index_doc("https://b.test/n", "New", "other words")
+    assert [h["url"] for h in s.search("memory safety")["hits"]] == ["https://a.test/1"]
+    v1 = s.search_v1("memory " + "x" * 600)
+    assert set(v1) == {"hits", "did_you_mean", "took_ms"} and set(s.search_v1("memory")["hits"][0]) == {"url", "host", "title", "snippet", "kind", "score", "ts"}
+    again = feed.select(F.lit("https://f.test/feed").alias("url"), F.replace("body", F.lit("lane"), F.lit("street")).alias("body"))
+    assert s.refresh_feeds(again) == 1 and s.search("street")["hits"][0]["kind"] == "rss" and s.stats()["docs"] == 3
+    assert s.accepts(b"x" * 9) and not s.accepts(b"x" * (s.body_limit + 1)) and "loam_queries_total 8" in s.metrics()
 
 
 def test_stream_upsert_and_windows(spark, tmp_path):
@@ -256,10 +390,12 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     merge(first, 0)
     merge(second, 1)
     merge(second, 1)  # again, as after a failure
+    merge(first.limit(0), 2)
+    assert not (tmp_path / "table" / "v000000000").exists()
     assert sorted((r.url, r.fetched_at) for r in spark.read.parquet(f"{path}/v000000001").collect()) == [("u1", 2), ("u2", 1), ("u3", 1)]
     spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", "a") for m in (1, 2, 40)], "t string, k string").selectExpr("to_timestamp(t) t", "k").write.parquet(f"{tmp_path}/events_x/events.parquet")
     stream = crawl_stream.read_tables(spark, f"{tmp_path}/events_x", "part", "t timestamp, k string")
-    out = crawl_stream.run_available(crawl_stream.counts(stream, "t", "30 minutes", ["k"]), "window_counts", "complete")
+    out = crawl_stream.run_available(crawl_stream.counts(stream, "t", "30 minutes", ["k"]), "complete")
     assert sorted(r.n for r in out.collect()) == [1, 2]
 
 
@@ -267,5 +403,5 @@ def test_stream_politeness_backs_off(spark, tmp_path):
     rows = [("a", 1, 0, False, 100, 0), ("a", 2, 5000, False, 100, 0), ("a", 3, 20_000, True, 100, 0), ("b", 1, 0, True, 100, 5000)]
     spark.createDataFrame(rows, "site string, seq long, at_ms long, ok boolean, latency_ms long, robots_ms long").write.parquet(f"{tmp_path}/fetches")
     stream = crawl_stream.read_tables(spark, f"{tmp_path}/fetches", "part", "site string, seq long, at_ms long, ok boolean, latency_ms long, robots_ms long")
-    out = crawl_stream.run_available(crawl_stream.politeness(stream), "polite")
+    out = crawl_stream.run_available(crawl_stream.politeness(stream))
     assert {(r.site, r.seq): (r.failures, r.next_allowed_ms) for r in out.collect()} == {("a", 1): (1, 4000), ("a", 2): (2, 13_000), ("a", 3): (0, 22_000), ("b", 1): (0, 5000)}
