@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +34,7 @@ class Encoder:
     word behind an ASCII letter or digit.  Texts are cut there; each distinct
     word, with what leads it, is encoded once and found again by a 64-bit hash
     in an open-addressed table.  Texts with white space of another shape are
-    encoded whole.
+    encoded whole, as are all texts where the file's settings are of another kind.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,6 +42,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        cutter, added = made["pre_tokenizer"] or {}, [t["content"] for t in made["added_tokens"]]
+        self.cuts = not made["normalizer"] and (cutter.get("type"), cutter.get("add_prefix_space"), cutter.get("use_regex", True)) == ("ByteLevel", False, True) and not any(set(t) & set(" \n,.") for t in added)
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values(), default=0) + 1
         # Ids whose bytes begin with a space or a line feed, as the vocabulary spells them.
@@ -161,6 +165,8 @@ class Encoder:
             yield None if bad else ids[4 * bounds[i] : 4 * bounds[i + 1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cuts:
+            return self.whole([t or "" for t in texts])
         out: list[bytes] = []
         held: list[bytes] = []
         n = begin = 0

@@ -148,6 +148,19 @@ def test_token_files(docs, spark, tmp_path):
     assert all(r.ids == [*encode(texts[r.doc_id]), 2] for r in out.collect())
 
 
+def test_vocabularies_that_cut_otherwise_are_left_alone():
+    import public_tokenizers
+
+    from loam.llm.tokens import Encoder
+
+    texts = ["A text, of Words.\nAnd  more", None, "", "<|endoftext|>x", "Ünïcode 語"]
+    for name, cuts in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        found, plain = Encoder(path), brute.tokenizer(path)
+        assert found.cuts is cuts
+        assert [list(memoryview(x).cast("I")) for x in found.encode(texts)] == [plain(t) for t in texts]
+
+
 def test_token_blocks_round_trip():
     import numpy as np
 
