@@ -405,3 +405,29 @@ def test_stream_politeness_backs_off(spark, tmp_path):
     stream = crawl_stream.read_tables(spark, f"{tmp_path}/fetches", "part", "site string, seq long, at_ms long, ok boolean, latency_ms long, robots_ms long")
     out = crawl_stream.run_available(crawl_stream.politeness(stream))
     assert {(r.site, r.seq): (r.failures, r.next_allowed_ms) for r in out.collect()} == {("a", 1): (1, 4000), ("a", 2): (2, 13_000), ("a", 3): (0, 22_000), ("b", 1): (0, 5000)}
+
+
+def test_commands(spark, tmp_path, capsys):
+    from loam.__main__ import main
+
+    data = f"file://{tmp_path}/data"
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"url": f"https://a.test/{i}", "host": "a.test", "title": f"Title {i}", "text": f"memory of number{i}", "fetched_at": NOW + i}) + "\n" for i in range(4)))
+
+    def run(*args):
+        assert main(["--data", data, *args], spark) == 0
+        return capsys.readouterr().out.strip().splitlines()
+
+    assert run("import", "-i", f"file://{tmp_path}/in.jsonl") == ["4"]
+    assert [json.loads(x)["url"] for x in run("search", "number2")] == ["https://a.test/2"]
+    assert json.loads(run("stats")[0])["docs"] == 4
+    assert run("prune", "--keep-docs", "3") == ["1"] and run("search", "number0 memory") != run("search", "number0")
+    assert run("compact") == ["3"] and run("reindex") == ["3"]
+    assert run("export", "-o", f"file://{tmp_path}/out", "-f", "array") == ["3"]
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/out").collect()]
+    assert lines.count("[") == lines.count("]") == 1 and sum(x.startswith("{") for x in lines) == 3
+    (tmp_path / "p.html").write_text("<title>T</title><a href='/x'>y</a>")
+    assert json.loads(run("fetch", "https://a.test/", "--html", str(tmp_path / "p.html"))[0])["links"] == ["https://a.test/x"]
+    prose = " ".join(f"w{i} is the w{i * i}" for i in range(40))
+    _site(spark, {"https://s.test/": page("Home", prose)}).write.parquet(f"file://{tmp_path}/web")
+    assert run("crawl", "--web", f"file://{tmp_path}/web", "--seed", "https://s.test/", "--passes", "1") == ["4"]
+    assert [json.loads(x)["url"] for x in run("search", "w3")] == ["https://s.test/"] and len(run("search", "memory")) == 3
