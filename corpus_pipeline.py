@@ -43,10 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
     prints = simhash.fingerprints(docs.select(key.alias("id"), "text"), drop=("text",))
     chosen = simhash.classes(materialize(prints)).select(F.col("component_id").alias("__key")).distinct()
-    # Rows that repeat each other are cut to one before they are dealt out, by the key of the join behind.
+    # Rows that repeat each other are cut to one before they are dealt out, once, by the key of the join behind.
+    # That is an inner one, of distinct keys: a semi-join would be moved before the window and deal the texts out again, as
+    # would a key that is not of the very type of theirs.
     first = F.row_number().over(Window.partitionBy("__key").orderBy("__key.a"))
-    single = docs.select("*", key.alias("__key")).withColumn("__n", first).where("__n = 1")
-    return single.join(chosen.hint("merge"), "__key", "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
+    single = docs.select("*", key.cast(chosen.schema["__key"].dataType).alias("__key")).withColumn("__n", first).where("__n = 1")
+    return single.join(chosen.hint("merge"), "__key").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
