@@ -264,31 +264,28 @@ def test_crawl_passes(spark):
     prose = lambda k: " ".join(f"{k}{i} is the {k}{i * i}" for i in range(40))
     link = lambda *us: "".join(f'<a href="{u}"></a>' for u in us)
     site = {
-        "https://s.test/": page("Home", prose("home"), link("/a", "/b", "/secret/x", "https://o.test/")),
-        "https://s.test/a": page("A", prose("alpha"), link("/b")),
-        "https://s.test/b": page("B", prose("beta")),
-        "https://s.test/secret/x": page("X", prose("hidden")),
+        "https://s.test/": page("Home", prose("home"), link("/a", "https://o.test/")),
+        "https://s.test/a": page("A", prose("alpha")),
+        "https://r.test/secret/x": page("X", prose("hidden")),
         "https://o.test/": page("O", prose("other")),
-        "https://s.test/sitemap.xml": "<urlset><url><loc>https://s.test/b?from=map</loc></url></urlset>",
-        "https://s.test/b?from=map": page("Map", prose("gamma")),
+        "https://m.test/sitemap.xml": "<urlset><url><loc>https://m.test/b?from=map</loc></url></urlset>",
+        "https://m.test/b?from=map": page("Map", prose("gamma")),
     }
-    robots = spark.createDataFrame([("s.test", 200, "User-agent: *\nDisallow: /secret/\nSitemap: https://s.test/sitemap.xml")], "site string, status int, body string")
+    robots = spark.createDataFrame([("r.test", 200, "User-agent: *\nDisallow: /secret/"), ("s.test", 200, "Sitemap: https://s.test/map.xml")], "site string, status int, body string")
     blocked = spark.createDataFrame([("bad.test",)], "domain string")
-    config = crawl.CrawlConfig(jitter_ms=0, min_delay_ms=1000)
-    state = crawl.new_state(spark, spark.createDataFrame([("https://s.test/",), ("https://bad.test/",), ("https://fail.test/",)], "url string"), NOW, config)
-    leases, now = 0, NOW * 1000
-    while not state.frontier.isEmpty() and leases < 14:
-        state = crawl.crawl_pass(state, _site(spark, site), blocked, now, robots, config)
-        leases, now = leases + 1, now + 40_000
-    assert {r.url for r in state.docs.collect()} == {"https://s.test/", "https://s.test/a", "https://s.test/b", "https://o.test/", "https://s.test/b?from=map"}
+    config, empty = crawl.CrawlConfig(jitter_ms=0), spark.createDataFrame([], "url_key long, seen_at long")
+    state = crawl.new_state(spark, spark.createDataFrame([(u,) for u in ("https://s.test/", "https://r.test/secret/x", "https://bad.test/", "https://fail.test/")], "url string"), NOW, config)
+    sitemap = crawl.seed(spark.createDataFrame([("https://m.test/map",)], "url string"), empty, NOW).withColumn("url", F.lit("https://m.test/sitemap.xml"))
+    state.frontier = state.frontier.unionByName(sitemap.select(*state.frontier.columns))
+    state = crawl.crawl_pass(state, _site(spark, site), blocked, NOW * 1000, robots, config)
+    assert {r.url for r in state.docs.collect()} == {"https://s.test/"}
+    assert {(r.url, r.attempts) for r in state.frontier.collect()} == {("https://s.test/a", 0), ("https://o.test/", 0), ("https://m.test/b?from=map", 0), ("https://s.test/map.xml", 0), ("https://fail.test/", 1)}
+    state = crawl.crawl_pass(state, _site(spark, site), blocked, NOW * 1000 + 40_000, robots, config)
+    # Of s.test one of its two URLs was leased.
+    assert {r.url for r in state.docs.collect()} - {"https://s.test/a"} == {"https://s.test/", "https://o.test/", "https://m.test/b?from=map"} and state.frontier.where("site = 's.test'").count() == 1
     hosts = {r.site: r for r in state.host_state.collect()}
-    assert hosts["fail.test"].failures == 3 and hosts["s.test"].failures == 0 and not any(r.in_flight for r in hosts.values())
-    held = state.docs.count()
-    again = crawl.CrawlState(state.docs, crawl.seed(spark.createDataFrame([("https://s.test/a",)], "url string"), state.seen, NOW, config, True), state.seen, state.host_state)
-    after = crawl.crawl_pass(again, _site(spark, site), blocked, now, robots, config)
-    assert after.docs.count() == held and after.frontier.isEmpty()  # the etag is as it was
-    full = crawl.crawl_pass(again, _site(spark, site), blocked, now, robots, config, max_docs=1)
-    assert full is again
+    assert hosts["fail.test"].failures == 2 and hosts["s.test"].failures == 0 and not any(r.in_flight for r in hosts.values())
+    assert crawl.crawl_pass(state, _site(spark, site), blocked, NOW * 1000, robots, config, max_docs=1) is state
 
 
 def test_refusals_and_penalties_reach_the_host_state(spark):
