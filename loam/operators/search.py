@@ -26,6 +26,11 @@ def _lit_rows(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # a query's terms: bounded by the query
 
 
+def _sum(values: Column) -> Column:
+    """The sum of a group's few values, the same in whatever order its rows come: equal documents have equal scores."""
+    return F.aggregate(F.array_sort(F.collect_list(values)), F.lit(0.0), lambda a, b: a + b)
+
+
 def retrieve(index: ix.Index, clauses: list[qs.Clause], need: int | None = None, boosts: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, bm25): documents that match ``need`` positive clauses (None: all) and no negative one.
 
@@ -43,12 +48,12 @@ def retrieve(index: ix.Index, clauses: list[qs.Clause], need: int | None = None,
     found = index.postings.where(asked).join(weights, ["term", "field"])
     single = found.where("n = 1").select("doc_id", "field", "clause", "negative", "boost", "idf", "avg_len", "tf", "len")
     phrases = found.where("n > 1").select("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "idf", "len", F.transform("positions", lambda p: p - F.col("place")).alias("starts"))
-    merged = phrases.groupBy("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "len").agg(F.sum("idf").alias("idf"), F.collect_list("starts").alias("all"))
+    merged = phrases.groupBy("doc_id", "field", "clause", "negative", "boost", "n", "avg_len", "len").agg(_sum(F.col("idf")).alias("idf"), F.collect_list("starts").alias("all"))
     together = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0)), lambda a, b: F.array_intersect(a, b))
     merged = merged.where(F.size("all") == F.col("n")).withColumn("tf", F.size(together)).where("tf > 0").select(*single.columns)
     hits = single.unionByName(merged) if any(len(c.terms) > 1 for c in clauses) else single
     weight = F.when(F.col("negative"), 0.0).otherwise(F.col("boost") * F.col("idf") * ix.term_weight(F.col("tf"), F.col("len"), F.col("avg_len")))
-    docs = hits.groupBy("doc_id").agg(F.sum(weight).alias("bm25"), F.size(F.collect_set(F.when(~F.col("negative"), F.col("clause")))).alias("met"), F.max("negative").alias("bad"))
+    docs = hits.groupBy("doc_id").agg(_sum(weight).alias("bm25"), F.size(F.collect_set(F.when(~F.col("negative"), F.col("clause")))).alias("met"), F.max("negative").alias("bad"))
     return docs.where((F.col("met") >= (len(positive) if need is None else need)) & ~F.col("bad")).select("doc_id", "bm25")
 
 

@@ -131,6 +131,19 @@ def test_a_query_reads_its_own_terms(spark, tmp_path):
     plan = search.suggestions(idx, ["memroy", "gudie"])._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(term,me)" in plan and "StringStartsWith(term,gu)" in plan
 
+def test_equal_documents_rank_by_id_however_their_postings_come(spark):
+    other = [(f"https://b.test/{i}", " ".join(["beta", "gamma", "delta"][: i % 3 + 1]), "alpha beta " * i + "gamma", "page") for i in range(1, 9)]
+    same = [(f"https://a.test/{i}", "alpha beta gamma delta", "beta alpha beta gamma beta gamma delta and more of it", "page") for i in range(60)]
+    idx = index.build(docs(spark, *same, *other))
+    rows = idx.postings.collect()
+    random.Random(3).shuffle(rows)
+    mixed = index.Index(idx.docs, spark.createDataFrame(rows, idx.postings.schema).coalesce(1), idx.lengths, idx.term_stats, idx.field_stats)
+    for q in ("alpha beta gamma delta", '"alpha beta gamma delta" alpha beta gamma delta'):
+        found = search.candidates(mixed, queryspec.parse(q), 20).join(idx.docs, "doc_id").where("host = 'a.test'").orderBy("rank").collect()
+        assert len(found) == 60 and len({r.bm25 for r in found}) == 1
+        assert [r.doc_id for r in found] == sorted(r.doc_id for r in found)
+
+
 def test_diversify_equals_the_greedy_walk(spark):
     rng = random.Random(5)
     for n, limit in ((5, 4), (30, 10), (40, 20), (9, 8)):
